@@ -9,7 +9,7 @@ Only the bucket totals, a few hundred rows per group, are ordered globally.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,34 +155,24 @@ def scalar_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
     return {c: packed.getField(c) for c in columns}
 
 
-def rank_cut(
-    df: DataFrame,
-    score: str,
-    tie_id: str,
-    k: Column,
-) -> DataFrame:
-    """Rows of the top ``k`` by ``score`` descending, ties by ``tie_id`` ascending.
+def rank_cut(df: DataFrame, score: str, tie_id: str, k: Callable[[Column], Column]) -> DataFrame:
+    """Rows of the top k by ``score`` descending, ties by the unique ``tie_id`` ascending.
 
-    ``k`` may be any share of the table, so no sort-and-limit: the cut score is
-    found on the score distribution, and only rows tied at the cut are ordered
-    by id, again bucket by bucket.
+    ``k`` maps the row count to the number wanted; it may be any share of the
+    table, so there is no sort-and-limit: the cut score is found on the score
+    distribution, and only rows tied at the cut are ordered by id, again bucket
+    by bucket.
     """
-    dist = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"))
-    placed = running_totals(dist, score, ["n"], descending=True)
-    cut = placed.select(
-        F.col(score).alias("__cut_score"),
-        "n_before",
-        "n",
-        F.greatest(F.lit(0), k - F.col("n_before")).alias("__room"),
-    ).filter(F.col("__room") > 0)
-    whole = cut.filter(F.col("__room") >= F.col("n")).select("__cut_score")
-    edge = cut.filter(F.col("__room") < F.col("n")).select("__cut_score", "__room")
-
-    full = df.join(whole, df[score].eqNullSafe(whole["__cut_score"]), "left_semi")
-    tied = df.join(edge, df[score].eqNullSafe(edge["__cut_score"]))
-    ids = tied.groupBy(tie_id, "__room").agg(F.count(F.lit(1)).alias("n"))
-    kept = running_totals(ids, tie_id, ["n"]).filter(F.col("n_before") < F.col("__room"))
-    partial = df.join(edge.select("__cut_score"), df[score].eqNullSafe(edge["__cut_score"]), "left_semi").join(
-        kept.select(tie_id), tie_id, "left_semi"
+    rows = df.select(F.col(tie_id).alias("__id"), F.col(score).alias("__score"))
+    dist = rows.groupBy("__score").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(dist, "__score", ["n"], descending=True)
+    room = k(F.col("n_total")) - F.col("n_before")
+    kept = placed.select(F.col("__score").alias("__s"), room.alias("__room"), (room >= F.col("n")).alias("__whole")).filter(
+        F.col("__room") > 0
     )
-    return full.select(*df.columns).unionByName(partial.select(*df.columns))
+    full = df.join(kept.filter("__whole"), df[score].eqNullSafe(F.col("__s")), "left_semi")
+    edge = kept.filter("not __whole").select("__s", "__room")
+    tied = rows.join(edge, F.col("__score").eqNullSafe(F.col("__s"))).select("__id", "__room", F.lit(1).alias("n"))
+    first = running_totals(tied, "__id", ["n"]).filter(F.col("n_before") < F.col("__room")).select("__id")
+    part = df.join(first, df[tie_id] == F.col("__id"), "left_semi")
+    return full.unionByName(part)

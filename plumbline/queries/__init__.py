@@ -1,6 +1,6 @@
 """Named queries on the driver tables with their SQL equivalents."""
 
-from . import portfolio
+from . import cleaning, portfolio
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "portfolio"]
+__all__ = ["ORACLES", "QUERIES", "cleaning", "portfolio"]
