@@ -1,6 +1,6 @@
 """Named queries on the driver tables with their SQL equivalents."""
 
-from . import cleaning, geo, portfolio
+from . import cleaning, geo, portfolio, scoring
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cleaning", "geo", "portfolio"]
+__all__ = ["ORACLES", "QUERIES", "cleaning", "geo", "portfolio", "scoring"]

@@ -98,8 +98,12 @@ UPPER_DOCS = "docs AS (SELECT doc_id, upper(regexp_replace(text, '[^ -~]', ' ',
 GEOCODED = (
     "WITH " + GAZETTEER.strip() + ",\n" + UPPER_DOCS + """,
     toks AS (SELECT doc_id, list_transform(regexp_extract_all(name, '[A-Z][A-Z0-9\\-]{2,}'), lambda t: regexp_replace(t, '[^A-Z0-9]', '', 'g')) AS t FROM docs),
-    runs AS (SELECT doc_id, s, k, array_to_string(t[s:s + k - 1], '') AS txt FROM toks, unnest(range(1, len(t) + 1)) AS a(s), (VALUES (1), (2), (3), (4), (5), (6)) b(k)
-             WHERE s + k - 1 <= len(t)),
+    words AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS s FROM toks),
+    ahead AS (SELECT *, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5, lead(w, 5) OVER o AS w6
+              FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+    runs AS (SELECT doc_id, s, 1 AS k, w AS txt FROM ahead UNION ALL SELECT doc_id, s, 2, w || w2 FROM ahead UNION ALL SELECT doc_id, s, 3, w || w2 || w3 FROM ahead
+             UNION ALL SELECT doc_id, s, 4, w || w2 || w3 || w4 FROM ahead UNION ALL SELECT doc_id, s, 5, w || w2 || w3 || w4 || w5 FROM ahead
+             UNION ALL SELECT doc_id, s, 6, w || w2 || w3 || w4 || w5 || w6 FROM ahead),
     hits AS (SELECT doc_id, place, lat, lon, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, s, place) AS rn
              FROM runs JOIN gaz ON txt = replace(place, ' ', '')),
     coded AS (SELECT d.doc_id, place AS matched, lat AS geo_latitude, lon AS geo_longitude FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id AND rn = 1)"""
@@ -189,9 +193,13 @@ def _(spark, d):
     "ngram_inventory", "",
     "WITH " + UPPER_DOCS + """,
     w AS (SELECT doc_id, list_filter(regexp_split_to_array(name, '[^A-Za-z0-9]+'), lambda t: length(t) >= 3 AND regexp_full_match(t, '[A-Z0-9]*[A-Z][A-Z0-9]*')) AS t FROM docs),
-    runs AS (SELECT t[s:s + k - 1] AS r FROM w, unnest(range(1, len(t) + 1)) AS a(s), (VALUES (2), (3), (4), (5)) b(k) WHERE s + k - 1 <= len(t))
-    SELECT array_to_string(r, ' ') AS ngram, count(*) AS n FROM runs WHERE NOT list_has_any(r, ['THE', 'AND', 'FOR', 'THAT', 'UND', 'LES'])
-    GROUP BY 1 ORDER BY n DESC, ngram LIMIT 700""",
+    words AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS s FROM w),
+    usable AS (SELECT doc_id, s, CASE WHEN w NOT IN ('THE', 'AND', 'FOR', 'THAT', 'UND', 'LES') THEN w END AS w FROM words),
+    ahead AS (SELECT w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5
+              FROM usable WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+    runs AS (SELECT w || ' ' || w2 AS g FROM ahead UNION ALL SELECT w || ' ' || w2 || ' ' || w3 FROM ahead
+             UNION ALL SELECT w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM ahead UNION ALL SELECT w || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM ahead)
+    SELECT g AS ngram, count(*) AS n FROM runs WHERE g IS NOT NULL GROUP BY g ORDER BY n DESC, g LIMIT 700""",
 )
 def _(spark, d):
     return op.ngram_inventory(upper_documents(spark, d), stop=("THE", "AND", "FOR", "THAT", "UND", "LES"))
