@@ -1,6 +1,565 @@
-"""placeholder"""
+"""MLlib learners, selection, serving, registry."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fv
+from ..plans.ordered import exact_percentiles
+from ..session import cut_lineage
+from ..sources.sinks import latest_version, write_metrics, write_table
+from . import assembly, evaluate, features, geo
+
+COST_FEATURES = (
+    "log_original_cost", "expenditure_ratio", "log_expenditure", "sector_rate", "geo_latitude", "geo_longitude",
+    "revise_log", "elapsed_share", "spend_pace", "price_esc", "price_level_approval", "schedule_risk",
+)
+TIME_FEATURES = (
+    "log_original_cost", "expenditure_ratio", "planned_duration_years", "sector_rate", "geo_latitude", "geo_longitude",
+    "elapsed_share", "spend_pace", "agency_rate",
+)
+DATE_FEATURES = ("elapsed_share", "spend_pace", "price_esc", "price_level_approval")
+MIN_ROWS = 100
+MIN_DELAYED_ROWS = 20
+
+
+# --------------------------------------------------------------------------- learners
+@dataclass(frozen=True)
+class Learners:
+    """Learner settings; the defaults are the full-size ones."""
+
+    trees: int = 400
+    rounds: int = 400
+    names: tuple[str, ...] = ("linear", "forest", "boosted")
+    seed: int = 42
+
+
+def _assembler(inputs: Sequence[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="error")
+
+
+def fit_logistic(df: DataFrame, inputs: Sequence[str], label: str, weight: str | None = None, c: float = 1.0) -> PipelineModel:
+    """L2 logistic regression with a penalty on the summed loss: MLlib averages it, hence 1 / (C n)."""
+    n = df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 1
+    stage = LogisticRegression(
+        featuresCol="features", labelCol="__label", regParam=1.0 / (c * float(n)), elasticNetParam=0.0,
+        standardization=False, maxIter=200,
+    )
+    if weight:
+        stage = stage.setWeightCol(weight)
+    data = df.withColumn("__label", F.col(label).cast("double"))
+    return Pipeline(stages=[_assembler(inputs), stage]).fit(data)
+
+
+def classifiers(n: int, spec: Learners = Learners()) -> dict:
+    table = {
+        "linear": lambda: LogisticRegression(
+            labelCol="__label", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=200
+        ),
+        "forest": lambda: RandomForestClassifier(
+            labelCol="__label", numTrees=spec.trees, maxDepth=8, minInstancesPerNode=8, featureSubsetStrategy="sqrt", seed=spec.seed
+        ),
+        "boosted": lambda: GBTClassifier(labelCol="__label", maxIter=spec.rounds, maxDepth=3, stepSize=0.05, seed=spec.seed),
+    }
+    return {k: table[k]() for k in spec.names}
+
+
+def regressors(spec: Learners = Learners()) -> dict:
+    table = {
+        "linear": lambda: LinearRegression(labelCol="__label"),
+        "forest": lambda: RandomForestRegressor(
+            labelCol="__label", numTrees=spec.trees, maxDepth=8, minInstancesPerNode=8, featureSubsetStrategy="all", seed=spec.seed
+        ),
+        "boosted": lambda: GBTRegressor(labelCol="__label", maxIter=spec.rounds, maxDepth=3, stepSize=0.05, seed=spec.seed),
+    }
+    return {k: table[k]() for k in spec.names}
+
+
+def fit_stage(df: DataFrame, inputs: Sequence[str], label: str, stage) -> PipelineModel:
+    return Pipeline(stages=[_assembler(inputs), stage]).fit(df.withColumn("__label", F.col(label).cast("double")))
+
+
+ML_COLUMNS = ("features", "rawPrediction", "probability", "prediction")
+
+
+def predict_probability(model: PipelineModel, df: DataFrame, output: str = "p") -> DataFrame:
+    return model.transform(df).withColumn(output, vector_to_array("probability")[1]).drop(*ML_COLUMNS)
+
+
+def predict_value(model: PipelineModel, df: DataFrame, output: str = "ratio") -> DataFrame:
+    return model.transform(df).withColumn(output, F.col("prediction")).drop(*ML_COLUMNS)
+
+
+# --------------------------------------------------------------------------- selection
+def cross_scores(df: DataFrame, inputs: Sequence[str], label: str, stage, fold: str = "fold", k: int = 5, kind: str = "p") -> DataFrame:
+    """Out-of-fold predictions of one learner: k fits, one union of the held-out rows."""
+    out = None
+    for i in range(k):
+        model = fit_stage(df.filter(F.col(fold) != i), inputs, label, stage)
+        held = df.filter(F.col(fold) == i)
+        part = predict_probability(model, held, "score") if kind == "p" else predict_value(model, held, "score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def select_best(
+    df: DataFrame, inputs: Sequence[str], label: str, task: str, spec: Learners = Learners(), fold: str = "fold", k: int = 5,
+    repeat: str | None = None, shift: str | None = None, actual: str | None = None,
+):
+    """Best learner by mean fold AUC (``classify``) or mean fold MAE (``regress``): (name, metric, scores per learner).
+
+    For regression ``label`` is the transformed target; ``shift`` names its shift column
+    and ``actual`` the untransformed one.
+    """
+    rows = df.select(*dict.fromkeys([*inputs, label, fold, *[c for c in (repeat, shift, actual) if c]])).persist()
+    n = rows.count()
+    learners = classifiers(n, spec) if task == "classify" else regressors(spec)
+    repeats = [None] if repeat is None else [r[0] for r in rows.select(repeat).distinct().limit(100).collect()]
+    scores: dict[str, float] = {}
+    for name, stage in learners.items():
+        values = []
+        for r in repeats:
+            part = rows if r is None else rows.filter(F.col(repeat) == r)
+            held = cross_scores(part, inputs, label, stage, fold, k, "p" if task == "classify" else "v")
+            if task == "classify":
+                found = evaluate.auc(held, "score", label, by=[fold]).agg(F.avg("auc")).first()[0]
+            else:
+                back = features.inverse_shifted_log(F.col("score"), F.col(shift)) if shift else F.col("score")
+                found = (
+                    held.withColumn("__e", F.abs(back - F.col(actual or label)))
+                    .groupBy(fold).agg(F.avg("__e").alias("m")).agg(F.avg("m")).first()[0]
+                )
+            if found is not None:
+                values.append(float(found))
+        if values:
+            scores[name] = sum(values) / len(values)
+    rows.unpersist()
+    if not scores:
+        return None, None, {}
+    pick = max if task == "classify" else min
+    best = pick(sorted(scores), key=lambda s: scores[s])
+    return best, scores[best], scores
+
+
+# --------------------------------------------------------------------------- feature frames
+@dataclass
+class FrameParams:
+    """What serving needs from training: small tables as dicts of bounded size and scalars."""
+
+    medians: dict[str, float] = field(default_factory=dict)
+    rates: dict[str, dict[str, float]] = field(default_factory=dict)
+    overall: dict[str, float] = field(default_factory=dict)
+    places: dict[str, tuple[float, float]] = field(default_factory=dict)
+    overall_place: tuple[float, float] = fv.DEFAULT_LAT_LON
+
+
+def _bounded_map(df: DataFrame, key: str, values: Sequence[str]) -> dict:
+    rows = geo.bounded_rows(df.select(key, *values), 100_000)
+    return {r[key]: (r[values[0]] if len(values) == 1 else tuple(r[v] for v in values)) for r in rows}
+
+
+def raw_features(df: DataFrame, prices: DataFrame | None = None, reference_year: int = fv.PRICE_REFERENCE_YEAR,
+                 fx_sectors: Sequence[str] = fv.FX_SECTORS) -> DataFrame:
+    """The projections shared by training and serving."""
+    out = features.pace_features(features.base_cost_features(df))
+    if "revised_cost_cr" in df.columns:
+        out = features.revise_log(out)
+    if prices is not None:
+        out = features.price_escalation(out, prices, reference_year, fx_sectors)
+    return out
+
+
+def fit_params(df: DataFrame, label: str, medians: Sequence[str], groups: Sequence[str] = ("sector",)) -> FrameParams:
+    """Medians, smoothed rates and mean places of a training frame (all small and bounded)."""
+    params = FrameParams()
+    found = exact_percentiles(df, list(medians)).select("column", "value").collect()
+    params.medians = {r["column"]: r["value"] for r in found}
+    for g in groups:
+        rates = features.rate_map(df.filter(F.col(g).isNotNull()), g, label)
+        params.rates[g] = _bounded_map(rates, g, ["rate"])
+    base = df.agg(F.avg(F.col(label).cast("double")).alias("m")).first()["m"]
+    params.overall = {g: base for g in groups}
+    located = df.filter(F.col("geo_latitude").isNotNull() & F.col("geo_longitude").isNotNull())
+    cells = located.groupBy("sector").agg(
+        F.avg("geo_latitude").alias("lat"), F.avg("geo_longitude").alias("lon")
+    )
+    params.places = _bounded_map(cells, "sector", ["lat", "lon"])
+    mean = located.agg(F.avg("geo_latitude").alias("lat"), F.avg("geo_longitude").alias("lon")).first()
+    if mean["lat"] is not None:
+        params.overall_place = (mean["lat"], mean["lon"])
+    return params
+
+
+def _lookup(df: DataFrame, key: str, table: dict, output: str, default) -> DataFrame:
+    rows = [(k, float(v)) for k, v in table.items() if k is not None] or [("", 0.0)]
+    small = df.sparkSession.createDataFrame(rows, "__k string, __v double")
+    joined = df.join(F.broadcast(small), F.col(key).cast("string") == F.col("__k"), "left")
+    return joined.withColumn(output, F.coalesce("__v", F.lit(default))).drop("__k", "__v")
+
+
+def apply_params(df: DataFrame, params: FrameParams, rates: bool = True) -> DataFrame:
+    """Fill medians and places, and (for serving) attach the stored rates: one path for train and serve."""
+    places = [(k, float(a), float(b)) for k, (a, b) in params.places.items() if k is not None] or [("", 0.0, 0.0)]
+    small = df.sparkSession.createDataFrame(places, "__k string, __lat double, __lon double")
+    both = F.col("geo_latitude").isNotNull() & F.col("geo_longitude").isNotNull()
+    out = df.join(F.broadcast(small), F.col("sector") == F.col("__k"), "left").withColumn("__both", both)
+    out = out.withColumns(
+        {
+            "geo_latitude": F.when(F.col("__both"), F.col("geo_latitude")).otherwise(F.coalesce("__lat", F.lit(params.overall_place[0]))),
+            "geo_longitude": F.when(F.col("__both"), F.col("geo_longitude")).otherwise(F.coalesce("__lon", F.lit(params.overall_place[1]))),
+        }
+    ).drop("__k", "__lat", "__lon", "__both")
+    for c, m in params.medians.items():
+        if c in out.columns:
+            out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(m), F.lit(0.0)))
+    if rates:
+        for g, table in params.rates.items():
+            out = _lookup(out, g, table, f"{g}_rate", params.overall[g])
+    return out
+
+
+# --------------------------------------------------------------------------- estimators
+@dataclass
+class Estimator:
+    """A fitted schedule-aware and schedule-blind pair with everything serving needs."""
+
+    task: str
+    params: FrameParams
+    metrics: dict[str, float]
+    features: dict[str, list[str]]
+    shift: float
+    classify: dict[str, PipelineModel] = field(default_factory=dict)
+    regress: dict[str, PipelineModel] = field(default_factory=dict)
+    prices: dict | None = None
+
+
+def _folds(df: DataFrame, label: str, key: str, seed: int = 7) -> DataFrame:
+    return evaluate.fold_assign(df, "stratified", 5, key=key, label=label, seed=seed)
+
+
+def _fit_variants(frame: DataFrame, est: Estimator, label: str, target: str, spec: Learners, reg_rows: Column | None) -> None:
+    reg = frame if reg_rows is None else frame.filter(reg_rows)
+    n, n_reg = frame.count(), reg.count()
+    for variant, cols in est.features.items():
+        if variant == "blind" and n < MIN_ROWS:
+            continue
+        best, score, _ = select_best(frame, cols, label, "classify", spec)
+        if best is None:
+            continue
+        est.metrics[f"{variant}_auc"] = score
+        est.classify[variant] = fit_stage(frame, cols, label, classifiers(n, spec)[best])
+        if n_reg < MIN_DELAYED_ROWS:
+            continue
+        # The regressor sees the continuous out-of-fold rate, not the binary one.
+        if "sector_rate_reg" in reg.columns:
+            reg_frame = reg.drop("sector_rate").withColumnRenamed("sector_rate_reg", "sector_rate")
+        else:
+            reg_frame = reg
+        best_r, mae, _ = select_best(reg_frame, cols, "__target", "regress", spec, shift="__shift", actual=target)
+        est.metrics[f"{variant}_mae"] = mae
+        est.regress[variant] = fit_stage(reg_frame, cols, "__target", regressors(spec)[best_r])
+
+
+def fit_cost(
+    df: DataFrame,
+    key: str,
+    prices: DataFrame | None = None,
+    reference_year: int = fv.PRICE_REFERENCE_YEAR,
+    fx_sectors: Sequence[str] = fv.FX_SECTORS,
+    spec: Learners = Learners(),
+) -> Estimator:
+    """Cost overrun: probability and ratio, schedule-aware and schedule-blind.
+
+    ``df`` carries schedule_risk (see ``schedule_risk``) for the aware variant.
+    """
+    rows = raw_features(df.filter("overrun_flag is not null"), prices, reference_year, fx_sectors)
+    aware = [c for c in COST_FEATURES if c in rows.columns or c == "sector_rate"]
+    blind = [c for c in aware if c not in DATE_FEATURES and c != "schedule_risk"]
+    filled = [c for c in aware if c not in ("sector_rate", "geo_latitude", "geo_longitude")]
+    rows = cut_lineage(_folds(rows, "overrun_flag", key))
+    params = fit_params(rows, "overrun_flag", filled)
+    shift = max(0.0, -float(rows.agg(F.min("overrun_ratio")).first()[0] or 0.0)) + 1.0
+    frame = features.oof_target_rate(rows, "sector", "overrun_flag")
+    frame = features.oof_target_rate(frame, "sector", "overrun_ratio", output="sector_rate_reg")
+    frame = apply_params(frame, params, rates=False).withColumns(
+        {"__shift": F.lit(shift), "__target": F.log1p(F.col("overrun_ratio") + shift)}
+    )
+    frame = cut_lineage(frame.select(*dict.fromkeys([*aware, "sector_rate_reg", "overrun_flag", "overrun_ratio", "fold", "__shift", "__target"])))
+    est = Estimator("cost", params, {}, {"aware": aware, "blind": blind}, shift)
+    _fit_variants(frame, est, "overrun_flag", "overrun_ratio", spec, F.col("overrun_ratio").isNotNull())
+    return est
+
+
+def fit_time(df: DataFrame, key: str, spec: Learners = Learners()) -> Estimator:
+    """Delay: probability on all rows, log months on delayed rows only."""
+    rows = raw_features(df.filter("delayed is not null"))
+    if "agency" not in rows.columns:
+        rows = features.agency_column(rows)
+    aware, blind = list(TIME_FEATURES), [c for c in TIME_FEATURES if c not in DATE_FEATURES]
+    filled = [c for c in aware if c not in ("sector_rate", "agency_rate", "geo_latitude", "geo_longitude")]
+    rows = cut_lineage(_folds(rows, "delayed", key))
+    params = fit_params(rows, "delayed", filled, ("sector", "agency"))
+    frame = features.oof_target_rate(features.oof_target_rate(rows, "sector", "delayed"), "agency", "delayed")
+    frame = apply_params(frame, params, rates=False).withColumns(
+        {"__shift": F.lit(0.0), "__target": features.capped_log_months(F.col("tor_months"))}
+    )
+    frame = cut_lineage(frame.select(*dict.fromkeys([*aware, "delayed", "tor_months", "fold", "__shift", "__target"])))
+    est = Estimator("time", params, {}, {"aware": aware, "blind": blind}, 0.0)
+    _fit_variants(frame, est, "delayed", "tor_months", spec, (F.col("delayed") == 1) & F.col("tor_months").isNotNull())
+    return est
+
+
+def serve_features(df: DataFrame, est: Estimator, prices: DataFrame | None = None,
+                   reference_year: int = fv.PRICE_REFERENCE_YEAR, fx_sectors: Sequence[str] = fv.FX_SECTORS) -> DataFrame:
+    """Serving rows through the same operators as training, with the stored parameters."""
+    rows = raw_features(df, prices, reference_year, fx_sectors)
+    if est.task == "time" and "agency" not in rows.columns:
+        rows = features.agency_column(rows)
+    return apply_params(rows, est.params)
+
+
+def score_batch(df: DataFrame, est: Estimator, prices: DataFrame | None = None,
+                reference_year: int = fv.PRICE_REFERENCE_YEAR, fx_sectors: Sequence[str] = fv.FX_SECTORS) -> DataFrame:
+    """Route each row to the aware or blind models and add the estimates.
+
+    Stateless projections and small joins only, so it serves streams too.
+    """
+    known = F.coalesce((F.col("approval_year") >= 1960) & (F.col("planned_duration_years") > 0), F.lit(False))
+    rows = serve_features(df.withColumn("schedule_used", known), est, prices, reference_year, fx_sectors)
+    variants = [v for v in ("aware", "blind") if v in est.classify]
+    out = None
+    for v in variants:
+        part = rows if len(variants) == 1 else rows.filter(F.col("schedule_used") == (v == "aware"))
+        part = predict_probability(est.classify[v], part, "p")
+        if v in est.regress:
+            part = predict_value(est.regress[v], part, "__pred")
+            value = F.expm1("__pred") - est.shift
+            part = part.withColumn("estimate", value).drop("__pred")
+        else:
+            part = part.withColumn("estimate", F.lit(None).cast("double"))
+        part = part.withColumns({"mae_bound": F.lit(est.metrics.get(f"{v}_mae")).cast("double"), "schedule_used": F.lit(v == "aware")})
+        out = part if out is None else out.unionByName(part)
+    if est.task == "time":
+        return out.withColumnsRenamed({"p": "delay_prob", "estimate": "delay_months_estimate"})
+    orig = F.coalesce("original_cost_cr", F.lit(0.0))
+    over = F.greatest(F.lit(0.0), F.col("estimate") * orig)
+    return out.withColumns(
+        {
+            "ratio": F.col("estimate"),
+            "overrun_cr": over,
+            "exposure_cr": F.col("p") * over,
+            "anticipated_estimate_cr": orig * (1 + F.col("estimate")),
+        }
+    ).drop("estimate")
+
+
+# --------------------------------------------------------------------------- schedule risk
+def schedule_risk(
+    cost: DataFrame, time: DataFrame, inputs: Sequence[str] = TIME_FEATURES, k: int = 5, spec: Learners = Learners(),
+    select: bool = True, kind: str = "group_balanced",
+) -> DataFrame:
+    """P(delayed) per cost row from a time model that saw only other states.
+
+    Both tables carry ``state``. Whole states go to k folds; per fold a time
+    model is fitted on the other states' rows, with its own medians and rates.
+    Fewer than 100 rows there leave the base rate. ``select=False`` fits the
+    first learner instead of choosing by cross-validation, for large data.
+    """
+    states = evaluate.fold_assign(cost.select("state").filter("state is not null"), kind, k, group="state").distinct()
+    states = states.select(F.col("state").alias("__s"), F.col("fold").alias("__fold"))
+    folded = cost.join(states, F.col("state") == F.col("__s"), "left").withColumn("__fold", F.coalesce("__fold", F.lit(0))).drop("__s")
+    train = raw_features(time.filter("delayed is not null"))
+    if "agency" not in train.columns:
+        train = features.agency_column(train)
+    train = train.join(states, F.col("state") == F.col("__s"), "left").drop("__s")
+    train = cut_lineage(train.select(*dict.fromkeys(["state", "sector", "agency", "delayed", "__fold", *[c for c in train.columns if c in inputs]])))
+    base = train.agg(F.avg("delayed")).first()[0]
+    base = 0.5 if base is None else float(base)
+    prepared = raw_features(folded)
+    if "agency" not in prepared.columns:
+        prepared = features.agency_column(prepared)
+    filled = [c for c in inputs if c not in ("sector_rate", "agency_rate", "geo_latitude", "geo_longitude")]
+    out = None
+    for i in range(k):
+        other = train.filter(F.coalesce(F.col("__fold") != i, F.lit(False)))
+        held = prepared.filter(F.col("__fold") == i)
+        n = other.count()
+        if n < MIN_ROWS:
+            part = held.withColumn("schedule_risk", F.lit(base))
+        else:
+            params = fit_params(other, "delayed", filled, ("sector", "agency"))
+            ready = apply_params(other, params).persist()
+            name = spec.names[0]
+            if select:
+                inner = ready.withColumn("fold", F.pmod(F.xxhash64(*inputs), F.lit(3)).cast("int"))
+                name = select_best(inner, inputs, "delayed", "classify", spec, k=3)[0] or name
+            model = fit_stage(ready, inputs, "delayed", classifiers(n, spec)[name])
+            ready.unpersist()
+            part = predict_probability(model, apply_params(held, params), "schedule_risk")
+        part = part.select(*cost.columns, "schedule_risk")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# --------------------------------------------------------------------------- ensembles and explanation
+def calibrate(oof: DataFrame, score: str, label: str):
+    """Isotonic calibration fitted on out-of-fold scores.
+
+    MLlib sorts and pools the rows in its own distributed steps; equal scores are
+    merged first, so its input is one row per distinct score.
+    """
+    cells = oof.filter(F.col(label).isNotNull()).groupBy(score).agg(
+        F.avg(F.col(label).cast("double")).alias("__y"), F.count(F.lit(1)).cast("double").alias("__w")
+    )
+    return IsotonicRegression(featuresCol=score, labelCol="__y", weightCol="__w", predictionCol="calibrated").fit(cells)
+
+
+def stack(df: DataFrame, scores: Sequence[str], label: str, raw: Sequence[str] = ()) -> PipelineModel:
+    """Logistic regression on out-of-fold scores, with raw features if given."""
+    return fit_logistic(df, [*scores, *raw], label)
+
+
+def soft_vote(df: DataFrame, scores: Sequence[str], output: str = "p") -> DataFrame:
+    return df.withColumn(output, sum((F.col(c) for c in scores), F.lit(0.0)) / len(scores))
+
+
+def driver_analysis(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Mean absolute contribution coef x (x - mean) per feature of a linear model, largest first."""
+    inputs = model.stages[0].getInputCols()
+    weights = model.stages[-1].coefficients.toArray()
+    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in inputs]).alias("m")).scalar()
+    terms = F.array(
+        *[
+            F.struct(F.lit(c).alias("feature"), F.abs((F.col(c) - F.col("__m").getField(c)) * F.lit(float(w))).alias("v"))
+            for c, w in zip(inputs, weights, strict=True)
+        ]
+    )
+    return (
+        df.withColumn("__m", means)
+        .select(F.explode(terms).alias("t"))
+        .groupBy("t.feature")
+        .agg(F.avg("t.v").alias("importance"))
+        .orderBy(F.col("importance").desc(), "feature")
+    )
+
+
+def permutation_drop(model: PipelineModel, df: DataFrame, label: str, key: str, inputs: Sequence[str] | None = None) -> DataFrame:
+    """AUC lost when one feature is shuffled between rows, per feature.
+
+    The shuffle is a join of row hash order with itself shifted: values are
+    dealt out by a salted hash within buckets of a few thousand rows.
+    """
+    names = list(inputs or model.stages[0].getInputCols())
+    rows = df.select(key, label, *model.stages[0].getInputCols())
+    base = evaluate.auc(predict_probability(model, rows), "p", label).select("auc").first()[0]
+    out = None
+    for c in names:
+        moved = shuffle_column(rows, c, key)
+        part = evaluate.auc(predict_probability(model, moved), "p", label).select(
+            F.lit(c).alias("feature"), (F.lit(base) - F.col("auc")).alias("auc_drop")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out.orderBy(F.col("auc_drop").desc(), "feature")
+
+
+def shuffle_column(df: DataFrame, column: str, key: str, bucket_rows: int = 4096) -> DataFrame:
+    """Move the values of ``column`` between rows; the set of values is kept exactly.
+
+    Rows fall into hash buckets of about ``bucket_rows``; within a bucket, values
+    in one hash order are handed to rows in another.
+    """
+    from pyspark.sql import Window
+
+    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    bucketed = df.withColumn("__n", n).withColumn(
+        "__bucket", F.pmod(F.xxhash64(key), F.greatest(F.lit(1), F.ceil(F.col("__n") / bucket_rows)).cast("long"))
+    )
+    seat = Window.partitionBy("__bucket").orderBy(F.xxhash64(key, F.lit("seat")), key)
+    draw = Window.partitionBy("__bucket").orderBy(F.xxhash64(key, F.lit(column)), key)
+    seats = bucketed.drop(column).withColumn("__pos", F.row_number().over(seat))
+    values = bucketed.select("__bucket", F.row_number().over(draw).alias("__pos"), F.col(column))
+    return seats.join(values, ["__bucket", "__pos"]).drop("__bucket", "__pos", "__n").select(*df.columns)
+
+
+# --------------------------------------------------------------------------- registry
+def save_version(spark: SparkSession, estimators: dict[str, Estimator], root: str) -> int:
+    """Store the estimators as the next version; the pointer row is the commit."""
+    version = latest_version(spark, f"{root}/versions")[0] + 1
+    folder = f"{root}/models/v{version}"
+    rows = []
+    for name, est in estimators.items():
+        for kind, table in (("classify", est.classify), ("regress", est.regress)):
+            for variant, model in table.items():
+                model.write().overwrite().save(f"{folder}/{name}/{kind}/{variant}")
+        state = {
+            "task": est.task,
+            "metrics": est.metrics,
+            "features": est.features,
+            "shift": est.shift,
+            "classify": sorted(est.classify),
+            "regress": sorted(est.regress),
+            "medians": est.params.medians,
+            "rates": est.params.rates,
+            "overall": est.params.overall,
+            "places": est.params.places,
+            "overall_place": est.params.overall_place,
+        }
+        rows.append((name, folder, json.dumps(state)))
+    table = spark.createDataFrame(rows, "name string, folder string, state string")
+    committed = write_table(table, f"{root}/versions")
+    metrics = [
+        (name, version, est.task, m, float(v)) for name, est in estimators.items() for m, v in est.metrics.items() if v is not None
+    ]
+    if metrics:
+        write_metrics(
+            spark.createDataFrame(metrics, "experiment string, cutoff int, task string, metric string, value double"), f"{root}/metrics"
+        )
+    return committed
+
+
+def load_latest(spark: SparkSession, root: str) -> tuple[int, dict[str, Estimator]]:
+    """Latest committed version and its estimators."""
+    version, path, _ = latest_version(spark, f"{root}/versions")
+    if path is None:
+        raise FileNotFoundError(f"no model version in {root}")
+    out = {}
+    for row in spark.read.parquet(path).collect():
+        s = json.loads(row["state"])
+        params = FrameParams(
+            s["medians"], s["rates"], s["overall"], {k: tuple(v) for k, v in s["places"].items()}, tuple(s["overall_place"])
+        )
+        est = Estimator(s["task"], params, s["metrics"], s["features"], s["shift"])
+        for kind, table in (("classify", est.classify), ("regress", est.regress)):
+            for variant in s[kind]:
+                table[variant] = PipelineModel.load(f"{row['folder']}/{row['name']}/{kind}/{variant}")
+        out[row["name"]] = est
+    return version, out
+
+
+def ingest_and_retrain(
+    spark: SparkSession, table: str, registry: str, new: DataFrame, keys: Sequence[str], key: str, spec: Learners = Learners()
+) -> dict:
+    """Upsert a report into the TIME table, age the labels, refit, register; returns row deltas and versions.
+
+    The data version is committed before the fit, the model version after it.
+    """
+    from ..sources.sinks import read_table
 
-def soft_vote(df, columns, output):
-    return df.withColumn(output, sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns))
+    before = read_table(spark, table)
+    n_before = before.count()
+    merged = assembly.census_age(assembly.upsert(before, new, keys))
+    data_version = write_table(merged.select(*before.columns), table)
+    after = read_table(spark, table)
+    n_after = after.count()
+    model_version = save_version(spark, {"time": fit_time(after, key, spec)}, registry)
+    return {"rows_before": n_before, "rows_after": n_after, "rows_delta": n_after - n_before, "data_version": data_version, "model_version": model_version}

@@ -208,14 +208,14 @@ def _(spark, d):
 @query(
     "shifted_log_target", "cost",
     """WITH s AS (SELECT greatest(0.0, -min(overrun_ratio)) + 1 AS shift FROM cost_t)
-       SELECT project_id, line, project_name, round(ln(1 + overrun_ratio + shift), 4) AS log_target, round(shift, 6) AS target_shift,
-         round(overrun_ratio, 4) AS back FROM cost_t, s""",
+       SELECT project_id, line, project_name, round(ln(1 + overrun_ratio + shift), 9) AS log_target, round(shift, 6) AS target_shift,
+         round(overrun_ratio, 9) AS back FROM cost_t, s""",
 )
 def _(spark, d):
     out = op.shifted_log_target(dt.cost_table(spark, d), "overrun_ratio")
     out = out.withColumn("back", op.inverse_shifted_log(F.col("log_target"), F.col("target_shift")))
     out = out.select("project_id", "line", "project_name", "log_target", "target_shift", "back")
-    return rounded(rounded(out, 6, "target_shift"), 4, "log_target", "back")
+    return rounded(rounded(out, 6, "target_shift"), 9, "log_target", "back")
 
 
 @query("capped_log_months", "time", "SELECT project_id, round(ln(1 + least(tor_months, 240)), 6) AS log_months FROM time_t")

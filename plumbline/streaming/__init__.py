@@ -1 +1 @@
-
+"""Report streams: idempotent upserts and scoring."""
