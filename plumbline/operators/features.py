@@ -50,18 +50,21 @@ def snap_vintage(df: DataFrame, snap_year: float | None = None, per_row: bool =
     return df.withColumn("snap_year", F.when(seen, F.lit(fv.VINTAGE_SNAPSHOT)).otherwise(F.lit(fv.VINTAGE_ANNEXURE)))
 
 
-def pace_features(df: DataFrame, snap_year: float | None = None) -> DataFrame:
+def pace_features(df: DataFrame, snap_year: float | None = None, year_fallback: bool = True) -> DataFrame:
     """elapsed_share and spend_pace.
 
     The planned completion year stands in for the duration only when the whole
-    duration column is empty (a scalar subquery decides).
+    duration column is empty (a scalar subquery decides); a stream has no whole
+    column and switches this off.
     """
     if "approval_year" not in df.columns:
         return df.withColumns({"elapsed_share": F.lit(None).cast("double"), "spend_pace": F.lit(None).cast("double")})
     df = snap_vintage(df, snap_year)
     fallback = next((c for c in ("planned_doc_year", "original_doc_year") if c in df.columns), None)
     by_year = F.col(fallback) - F.col("approval_year") if fallback else F.lit(None)
-    if "planned_duration_years" in df.columns:
+    if "planned_duration_years" in df.columns and not year_fallback:
+        dur = F.col("planned_duration_years")
+    elif "planned_duration_years" in df.columns:
         filled = df.agg(F.count("planned_duration_years").alias("n")).scalar()
         dur = F.when(filled > 0, F.col("planned_duration_years")).otherwise(by_year)
     else:

@@ -42,6 +42,7 @@ class Learners:
     rounds: int = 400
     names: tuple[str, ...] = ("linear", "forest", "boosted")
     seed: int = 42
+    folds: int = 5
 
 
 def _assembler(inputs: Sequence[str]) -> VectorAssembler:
@@ -131,6 +132,8 @@ def select_best(
         for r in repeats:
             part = rows if r is None else rows.filter(F.col(repeat) == r)
             held = cross_scores(part, inputs, label, stage, fold, k, "p" if task == "classify" else "v")
+            # written once: the metric reads the scores several times and must not score the rows again
+            held = cut_lineage(held.select(*dict.fromkeys([fold, label, "score", *[c for c in (shift, actual) if c]])))
             if task == "classify":
                 found = evaluate.auc(held, "score", label, by=[fold]).agg(F.avg("auc")).first()[0]
             else:
@@ -169,9 +172,9 @@ def _bounded_map(df: DataFrame, key: str, values: Sequence[str]) -> dict:
 
 
 def raw_features(df: DataFrame, prices: DataFrame | None = None, reference_year: int = fv.PRICE_REFERENCE_YEAR,
-                 fx_sectors: Sequence[str] = fv.FX_SECTORS) -> DataFrame:
-    """The projections shared by training and serving."""
-    out = features.pace_features(features.base_cost_features(df))
+                 fx_sectors: Sequence[str] = fv.FX_SECTORS, year_fallback: bool = True) -> DataFrame:
+    """The projections shared by training and serving; serving has no whole column to inspect, so no fallback there."""
+    out = features.pace_features(features.base_cost_features(df), year_fallback=year_fallback)
     if "revised_cost_cr" in df.columns:
         out = features.revise_log(out)
     if prices is not None:
@@ -243,8 +246,8 @@ class Estimator:
     prices: dict | None = None
 
 
-def _folds(df: DataFrame, label: str, key: str, seed: int = 7) -> DataFrame:
-    return evaluate.fold_assign(df, "stratified", 5, key=key, label=label, seed=seed)
+def _folds(df: DataFrame, label: str, key: str, spec: Learners, seed: int = 7) -> DataFrame:
+    return evaluate.fold_assign(df, "stratified", spec.folds, key=key, label=label, seed=seed)
 
 
 def _fit_variants(frame: DataFrame, est: Estimator, label: str, target: str, spec: Learners, reg_rows: Column | None) -> None:
@@ -253,7 +256,7 @@ def _fit_variants(frame: DataFrame, est: Estimator, label: str, target: str, spe
     for variant, cols in est.features.items():
         if variant == "blind" and n < MIN_ROWS:
             continue
-        best, score, _ = select_best(frame, cols, label, "classify", spec)
+        best, score, _ = select_best(frame, cols, label, "classify", spec, k=spec.folds)
         if best is None:
             continue
         est.metrics[f"{variant}_auc"] = score
@@ -265,7 +268,7 @@ def _fit_variants(frame: DataFrame, est: Estimator, label: str, target: str, spe
             reg_frame = reg.drop("sector_rate").withColumnRenamed("sector_rate_reg", "sector_rate")
         else:
             reg_frame = reg
-        best_r, mae, _ = select_best(reg_frame, cols, "__target", "regress", spec, shift="__shift", actual=target)
+        best_r, mae, _ = select_best(reg_frame, cols, "__target", "regress", spec, k=spec.folds, shift="__shift", actual=target)
         est.metrics[f"{variant}_mae"] = mae
         est.regress[variant] = fit_stage(reg_frame, cols, "__target", regressors(spec)[best_r])
 
@@ -286,7 +289,7 @@ def fit_cost(
     aware = [c for c in COST_FEATURES if c in rows.columns or c == "sector_rate"]
     blind = [c for c in aware if c not in DATE_FEATURES and c != "schedule_risk"]
     filled = [c for c in aware if c not in ("sector_rate", "geo_latitude", "geo_longitude")]
-    rows = cut_lineage(_folds(rows, "overrun_flag", key))
+    rows = cut_lineage(_folds(rows, "overrun_flag", key, spec))
     params = fit_params(rows, "overrun_flag", filled)
     shift = max(0.0, -float(rows.agg(F.min("overrun_ratio")).first()[0] or 0.0)) + 1.0
     frame = features.oof_target_rate(rows, "sector", "overrun_flag")
@@ -307,7 +310,7 @@ def fit_time(df: DataFrame, key: str, spec: Learners = Learners()) -> Estimator:
         rows = features.agency_column(rows)
     aware, blind = list(TIME_FEATURES), [c for c in TIME_FEATURES if c not in DATE_FEATURES]
     filled = [c for c in aware if c not in ("sector_rate", "agency_rate", "geo_latitude", "geo_longitude")]
-    rows = cut_lineage(_folds(rows, "delayed", key))
+    rows = cut_lineage(_folds(rows, "delayed", key, spec))
     params = fit_params(rows, "delayed", filled, ("sector", "agency"))
     frame = features.oof_target_rate(features.oof_target_rate(rows, "sector", "delayed"), "agency", "delayed")
     frame = apply_params(frame, params, rates=False).withColumns(
@@ -322,7 +325,7 @@ def fit_time(df: DataFrame, key: str, spec: Learners = Learners()) -> Estimator:
 def serve_features(df: DataFrame, est: Estimator, prices: DataFrame | None = None,
                    reference_year: int = fv.PRICE_REFERENCE_YEAR, fx_sectors: Sequence[str] = fv.FX_SECTORS) -> DataFrame:
     """Serving rows through the same operators as training, with the stored parameters."""
-    rows = raw_features(df, prices, reference_year, fx_sectors)
+    rows = raw_features(df, prices, reference_year, fx_sectors, year_fallback=False)
     if est.task == "time" and "agency" not in rows.columns:
         rows = features.agency_column(rows)
     return apply_params(rows, est.params)
@@ -389,6 +392,7 @@ def schedule_risk(
     if "agency" not in prepared.columns:
         prepared = features.agency_column(prepared)
     filled = [c for c in inputs if c not in ("sector_rate", "agency_rate", "geo_latitude", "geo_longitude")]
+    prepared = cut_lineage(prepared.select(*dict.fromkeys([*cost.columns, "agency", "__fold", *[c for c in prepared.columns if c in inputs]])))
     out = None
     for i in range(k):
         other = train.filter(F.coalesce(F.col("__fold") != i, F.lit(False)))

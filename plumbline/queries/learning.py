@@ -18,7 +18,7 @@ from .base import query
 from .storage import scratch
 
 ALL = m.Learners(trees=10, rounds=5)
-LINEAR = m.Learners(names=("linear",))
+LINEAR = m.Learners(names=("linear",), folds=2)
 INPUTS = ["log_original_cost", "expenditure_ratio", "planned_duration_years", "elapsed_share", "spend_pace"]
 FX = ("BUILDING", "MACHINERY")
 
