@@ -43,6 +43,8 @@ class Learners:
     names: tuple[str, ...] = ("linear", "forest", "boosted")
     seed: int = 42
     folds: int = 5
+    iterations: int = 200
+    tolerance: float = 1e-6
 
 
 def _assembler(inputs: Sequence[str]) -> VectorAssembler:
@@ -65,8 +67,9 @@ def fit_logistic(df: DataFrame, inputs: Sequence[str], label: str, weight: str |
 def classifiers(n: int, spec: Learners = Learners()) -> dict:
     table = {
         "linear": lambda: LogisticRegression(
-            labelCol="__label", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=200
-        ),
+            labelCol="__label", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
+            maxIter=spec.iterations, tol=spec.tolerance,
+        ),
         "forest": lambda: RandomForestClassifier(
             labelCol="__label", numTrees=spec.trees, maxDepth=8, minInstancesPerNode=8, featureSubsetStrategy="sqrt", seed=spec.seed
         ),

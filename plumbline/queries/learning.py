@@ -17,8 +17,8 @@ from ..streaming import reports
 from .base import query
 from .storage import scratch
 
-ALL = m.Learners(trees=10, rounds=5)
-LINEAR = m.Learners(names=("linear",), folds=2)
+ALL = m.Learners(trees=10, rounds=5, iterations=25)
+LINEAR = m.Learners(names=("linear",), folds=2, iterations=25)
 INPUTS = ["log_original_cost", "expenditure_ratio", "planned_duration_years", "elapsed_share", "spend_pace"]
 FX = ("BUILDING", "MACHINERY")
 
@@ -67,7 +67,7 @@ def _(spark, d):
 @query("select_best")
 def _(spark, d):
     frame = ev.fold_assign(time_frame(spark, d), "stratified", 3, key="project_id", label="delayed")
-    spec = m.Learners(trees=10, names=("linear", "forest"))
+    spec = m.Learners(trees=10, names=("linear", "forest"), iterations=25)
     best, _, scores = m.select_best(frame, INPUTS, "delayed", "classify", spec, k=3)
     return spark.createDataFrame([(k, float(v), k == best) for k, v in scores.items()], "learner string, auc double, chosen boolean")
 
