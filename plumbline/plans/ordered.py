@@ -32,20 +32,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
-def with_bucket(df: DataFrame, order_col: str, weight: str | None = None) -> DataFrame:
+def with_bucket(df: DataFrame, order_col: str) -> DataFrame:
     """Add the bucket number of ``order_col``: how many quantile bounds lie at or below it.
 
     The bounds come from a scalar subquery over ``df`` (one small array), so the
     plan stays lazy. ``df`` should hold distinct values: then no bucket can
     hold much more than its share of the rows, whatever the distribution.
     The lookup is two-step, 15 coarse bounds and then the 15 between two of them.
-    ``weight`` names a positive column kept in the subquery so that its shuffle
-    is the same as, and shared with, the main branch.
     """
     steps = COARSE * COARSE
-    probs = F.array(*[F.lit(i / steps) for i in range(1, steps)])
-    source = df if weight is None else df.filter(F.col(weight) > 0)
-    bounds = source.agg(F.percentile_approx(F.col(order_col), probs, F.lit(10 * steps)).alias("b"))
+    probs = F.expr("array(" + ", ".join(f"{i / steps}D" for i in range(1, steps)) + ")")
+    bounds = df.agg(F.percentile_approx(F.col(order_col), probs, F.lit(10 * steps)).alias("b"))
 
     def below(values: Column) -> Column:
         return F.greatest(F.lit(0), F.size(F.filter(values, lambda b: b <= F.col(order_col))))
@@ -76,7 +73,11 @@ def running_totals(
     by = list(by)
     direction = F.col(order_col).desc() if descending else F.col(order_col).asc()
     bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
-    marked = with_bucket(df, order_col, totals[0])
+    # Always true, but it names every column: the three readers of ``df`` below then need the same
+    # columns, their plans are equal, and the shuffle under ``df`` runs once (ReusedExchange).
+    others = [c for c in df.columns if c != totals[0]]
+    df = df.filter((F.col(totals[0]) > 0) | (F.hash(*others) == 0))
+    marked = with_bucket(df, order_col)
 
     local = Window.partitionBy(*by, _BUCKET).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
     scanned = marked.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"__l_{c}") for c in totals])
