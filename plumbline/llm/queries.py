@@ -1,6 +1,6 @@
 """All queries of this package; importing an operator's module registers its query."""
 
-from . import op01_warc, op05_bpe
+from . import op01_warc, op05_bpe, op07_mix
 from .common import LLM_ORACLES, LLM_QUERIES
 
-__all__ = ["LLM_ORACLES", "LLM_QUERIES", "op01_warc", "op05_bpe"]
+__all__ = ["LLM_ORACLES", "LLM_QUERIES", "op01_warc", "op05_bpe", "op07_mix"]
