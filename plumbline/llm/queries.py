@@ -1,6 +1,6 @@
 """All queries of this package; importing an operator's module registers its query."""
 
-from . import op01_warc, op03_language, op05_bpe, op07_mix, op09_merkle
+from . import op01_warc, op02_toxicity, op03_language, op05_bpe, op07_mix, op08_minhash, op09_merkle
 from .common import LLM_ORACLES, LLM_QUERIES
 
-__all__ = ["LLM_ORACLES", "LLM_QUERIES", "op01_warc", "op03_language", "op05_bpe", "op07_mix", "op09_merkle"]
+__all__ = ["LLM_ORACLES", "LLM_QUERIES", "op01_warc", "op02_toxicity", "op03_language", "op05_bpe", "op07_mix", "op08_minhash", "op09_merkle"]
