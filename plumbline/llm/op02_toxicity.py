@@ -98,6 +98,8 @@ class ToxicityModel:
     def score(self, text: str | None) -> float:
         if self.weights is None:
             return self.base_rate
+        if not (text or "").split():
+            return 0.0
         return float(1 / (1 + np.exp(-np.clip(self.features(self.gains(text)) @ self.weights, -30, 30))))
 
 
@@ -191,7 +193,7 @@ def learn(
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score, predicted for every whole text. Empty and NULL texts have no window and get the score of none.
+    """id, score, predicted for every whole text. Texts without a word, NULL among them, have no window and score 0.
 
     Without labels of both kinds every score is the share of toxic labels (0 if there are none).
     """
