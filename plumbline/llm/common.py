@@ -69,7 +69,8 @@ def batch_map(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str,
 def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """Join with a table written before (so that counting it is cheap): broadcast if its counted rows and size
     in memory stay under fixed bounds, by a shuffle otherwise. The result is the same either way."""
-    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("binary", "string") else F.lit(8) for c, t in right.dtypes]
+    lists = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.octet_length(x))
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("binary", "string") else F.coalesce(lists(c), F.lit(0)) if t == "array<binary>" else F.lit(8) for c, t in right.dtypes]
     total = sizes[0]
     for s in sizes[1:]:
         total = total + s

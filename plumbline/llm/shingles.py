@@ -6,7 +6,8 @@ import numpy as np
 import xxhash
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-_S = np.uint64(29)
+_N = np.uint64(0xC2B2AE3D27D4EB4F)
+_S, _T = np.uint64(29), np.uint64(32)
 
 
 def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
@@ -15,16 +16,29 @@ def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in (data.lower() if lower else data).split()], dtype=np.uint64)
 
 
-def sequence_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """One hash for each run of ``size`` words; none if there are fewer."""
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a * _M) ^ (b + _N)
+    h ^= h >> _S
+    h *= _N
+    h ^= h >> _T
+    return h
+
+
+def sequence_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """One hash for each run of ``size`` words, none if there are fewer; runs of doubling length are put together."""
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    h = np.full(n, size, dtype=np.uint64)
-    for i in range(size):
-        h = (h ^ words[i : i + n]) * _M
-        h ^= h >> _S
-    return h
+    out = np.full(n, size + (seed << 32), dtype=np.uint64)
+    level, width, at = words, 1, 0
+    while width <= size:
+        if size & width:
+            out = _mix(out, level[at : at + n])
+            at += width
+        if 2 * width <= size:
+            level = _mix(level[:-width], level[width:])
+        width *= 2
+    return out
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
