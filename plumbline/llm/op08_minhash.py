@@ -4,9 +4,9 @@ Two permutations of the 32-bit numbers make all signature coordinates: the first
 k places around the circle, gives coordinate k. Bands of equal coordinates are candidate buckets.
 
 Texts with equal shingle sets are one class with its least id as representative. In a bucket, every representative is
-compared with the least one; a bucket's pairs are never all formed. What that leaves open, members that did not join the least one's component, is
-compared with the members of other components of the bucket in a second step, so links between members other than the least are
-found too. Links are confirmed on full sets.
+compared with the least one, the pivot. That leaves open the members which did not join the pivot's component: these are a query set, compared
+with all members of the pivot's buckets in blocks of bounded size, inside tasks that return links only. So links that no
+pivot has are found too, and no pairs of a group are formed as rows. Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,53 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> D
     return cut_lineage(batch_map(joined, block, "a long, b long", 128))
 
 
+def _met(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, from products of slices of their incidence matrices."""
+    a, b = np.concatenate(one), np.concatenate(two)
+    both = np.intersect1d(a, b)
+    rows_a, rows_b = np.repeat(np.arange(len(one)), [len(s) for s in one]), np.repeat(np.arange(len(two)), [len(s) for s in two])
+    at_a, at_b = np.searchsorted(both, a), np.searchsorted(both, b)
+    in_a, in_b = np.isin(a, both), np.isin(b, both)
+    out = np.zeros((len(one), len(two)), dtype=np.float32)
+    for i in range(0, len(both), 4096):
+        x, y = np.zeros((len(one), 4096), dtype=np.float32), np.zeros((len(two), 4096), dtype=np.float32)
+        for m, rows, at, here in ((x, rows_a, at_a, in_a & (at_a >= i) & (at_a < i + 4096)), (y, rows_b, at_b, in_b & (at_b >= i) & (at_b < i + 4096))):
+            m[rows[here], at[here] - i] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _links_in_blocks(docs: DataFrame, groups: DataFrame, words: int, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) between components inside groups (pivot, rep, comp, home), of members that are not in the pivot's one.
+
+    Open members and all members are dealt by hash into blocks of about ``block`` documents; a task gets one block of each.
+    """
+    open_ = F.col("comp") != F.col("home")
+    sizes = groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("all"), F.sum(open_.cast("int")).alias("open")).filter("open > 0 AND all > 2")
+    blocks = sizes.select("pivot", F.ceil(F.col("open") / block).cast("int").alias("n_open"), F.ceil(F.col("all") / block).cast("int").alias("n_all"))
+    members = cut_lineage(groups.filter("rep <> pivot").join(blocks, "pivot"))
+    named = cut_lineage(members.select(F.col("rep").alias("id")).distinct())
+    texts = lookup_join(docs, named, "id", "left_semi").withColumnRenamed("id", "rep")
+    have = members.join(texts, "rep").withColumn("h", F.xxhash64("rep"))
+    own = lambda n: F.pmod("h", F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = have.filter(open_).select("pivot", own("n_open").alias("i"), every("n_all").alias("j"), F.lit(True).alias("open"), "rep", "comp", "text")
+    right = have.select("pivot", every("n_open").alias("i"), own("n_all").alias("j"), F.lit(False).alias("open"), "rep", "comp", "text")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        sides = [part[part["open"]], part[~part["open"]]]
+        if not len(sides[0]) or not len(sides[1]):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        one, two = ([shingle_set(t, words) for t in side["text"]] for side in sides)
+        met = _met(one, two)
+        total = np.array([len(s) for s in one])[:, None] + np.array([len(s) for s in two])[None, :] - met
+        linked = (met > 0) & (100 * met >= percent * total) & (sides[0]["comp"].to_numpy()[:, None] != sides[1]["comp"].to_numpy()[None, :])
+        x, y = np.nonzero(linked)
+        return pd.DataFrame({"a": sides[0]["rep"].to_numpy()[x], "b": sides[1]["rep"].to_numpy()[y]})
+
+    return cut_lineage(left.unionByName(right).groupBy("pivot", "i", "j").applyInPandas(compare, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -106,7 +154,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     member = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.min("rep").alias("pivot"), F.min(F.struct("rep", "n")).getField("n").alias("pivot_n"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = cut_lineage(member.join(shared, "key").select("key", "rep", "n", "pivot", "pivot_n", "size"))
+    buckets = cut_lineage(member.join(shared, "key").select("rep", "n", "pivot", "pivot_n"))
 
     def fits(x: str, y: str):
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -116,14 +164,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = _confirmed(nodes, star, words, percent)
     label = components(links)
 
-    # second step: buckets that still hold several components
-    told = buckets.filter("size > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
-    home = told.filter("rep = pivot").select("key", F.col("comp").alias("home")).distinct()
-    split = cut_lineage(told.join(home, "key"))
-    apart = split.filter("comp <> home").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    others = split.filter("rep <> pivot").select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "home")
-    open_pairs = apart.join(others, "key").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("home")) | (F.col("a") > F.col("b"))) & fits("na", "nb")).select("a", "b")
-    more = _confirmed(nodes, open_pairs, words, percent)
+    # second step: pivots whose buckets still hold several components
+    told = buckets.select("pivot", "rep").distinct().join(label.withColumnRenamed("node", "rep"), "rep", "left").select("pivot", "rep", F.coalesce("label", "rep").alias("comp"))
+    home = told.filter("rep = pivot").select("pivot", F.col("comp").alias("home"))
+    more = _links_in_blocks(nodes, cut_lineage(told.join(home, "pivot")), words, percent)
 
     label = components(links.unionByName(more).unionByName(alike))
     found = lookup_join(rows, label.withColumnRenamed("node", "id"), "id")
