@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_map, cut_lineage, held_out, query, table
+from .common import batch_map, cut_lineage, held_out, lookup_join, query, table
 
 LOW, HIGH = -12, 24
 GRAM = 5
@@ -124,22 +124,26 @@ def _trained(samples: list[str], size: int, segment: int) -> bytes:
 
 
 def learn(
-    labelled: DataFrame, window_words: int = 1, toxic_docs: int = 6000, ordinary_docs: int = 9000, ordinary_bytes: int = 131_072, toxic_bytes: int = 65_536, level: int = 13
+    docs: DataFrame, labels: DataFrame, window_words: int = 1, toxic_docs: int = 6000, ordinary_docs: int = 9000, ordinary_bytes: int = 131_072, toxic_bytes: int = 65_536, level: int = 13
 ) -> ToxicityModel:
-    """Fit on ``labelled`` (id, text, toxic 0/1) with NULL texts and labels left out.
+    """Fit on texts of ``docs`` (doc_id, text) with a label in ``labels`` (doc_id, toxic 0/1); NULL texts and labels are left out.
 
-    About ``toxic_docs`` and ``ordinary_docs`` documents, drawn by a hash, take part; three fifths of them give the
+    About ``toxic_docs`` and ``ordinary_docs`` labels, drawn by a hash, take part, so few that their ids can be sent to all tasks and texts
+    without one of them stay where they are. Three fifths of them give the
     dictionaries and the rest the calibration, so that odds are not told by words which a dictionary has from the same text.
-    Only counts, 12,000 short passages and one row of counts for each calibration document reach the driver.
+    Only counts, 12,000 short passages and one row of counts for each calibration document reach the driver. An id with several labels
+    counts as toxic if one is.
     """
-    rows = labelled.select("id", "text", F.col("toxic").cast("int").alias("toxic")).filter("text IS NOT NULL AND toxic IN (0, 1)")
+    told = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)")
+    rows = told.groupBy("id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     base = counts.get(1, 0) / max(1, sum(counts.values()))
     if len(counts) < 2:
         return ToxicityModel(b"", b"", base, window_words, level)
     draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) / (1 << 20)
     rate = F.when(F.col("toxic") == 1, min(1.0, toxic_docs / counts[1])).otherwise(min(1.0, ordinary_docs / counts[0]))
-    drawn = cut_lineage(rows.filter(draw < rate).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(12)), F.lit(5))))
+    ids = cut_lineage(rows.filter(draw < rate).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(12)), F.lit(5))))
+    drawn = cut_lineage(lookup_join(docs.select(F.col("doc_id").alias("id"), "text").filter("text IS NOT NULL"), ids, "id", "inner"))
     base_docs = drawn.filter("fold < 3")
     n = {r.toxic: r["count"] for r in base_docs.groupBy("toxic").count().collect()}
     n1, n0 = max(1, n.get(1, 0)), max(1, n.get(0, 0))
@@ -206,14 +210,27 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_col:
     return batch_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), block, f"`{id_col}` long, score double, predicted int", 64)
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """id, text, toxic of labelled documents that are not held out; an id with several labels counts as toxic if one is."""
-    told = labels.filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col("doc_id").alias("id"), "text").join(told, "id")
+def reject(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index(text_col)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield part.filter(pa.array([shared.value.score(t) < threshold for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Labels of documents that are not held out."""
+    return labels.filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
 
 
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model = learn(labelled_documents(docs, table(spark, folder, "labels")))
+    model = learn(docs, training_labels(table(spark, folder, "labels")))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -89,8 +89,9 @@ def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     return _lines(docs).select("id", "at", "lid", "lid2").join(first, ["lid", "lid2"]).filter(F.col("near") | (F.struct("id", "at") > F.col("first"))).select("id", "at", "lid", "near").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its text less the lines that go, and n_lines, n_exact, n_near; other columns, whatever their names, stay.
+def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str, str] = ("n_lines", "n_exact", "n_near")) -> DataFrame:
+    """``docs`` with its text less the lines that go, and three ``counts``: lines, lines equal to an earlier one, near lines. Other columns, whatever
+    their names, stay; a count whose name is taken is left out.
 
     A line without a word always stays. A NULL text stays NULL; rows without an id neither lose lines nor make others lose them. Rows of equal id are one
     document: equal lines at the same place of them do not count as earlier than each other.
@@ -109,7 +110,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", tex
     left = coded.withColumn("kept", F.array_except("own", F.concat("exact", "close")))
     kept = F.when(F.col("kept").isNull(), text).otherwise(F.array_join(F.transform("kept", lambda c: F.get("parts", F.shiftright(c, 32).cast("int"))), "\n"))
     columns = [(kept if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
-    n = {"n_lines": F.size("parts"), "n_exact": F.size(F.array_intersect("own", "exact")), "n_near": F.size(F.array_intersect("own", "close"))}
+    n = dict(zip(counts, (F.size("parts"), F.size(F.array_intersect("own", "exact")), F.size(F.array_intersect("own", "close"))), strict=True))
     return left.select(*columns, *[F.coalesce(F.greatest(v, F.lit(0)), F.lit(0)).cast("long").alias(k) for k, v in n.items() if k not in docs.columns])
 
 

@@ -22,24 +22,24 @@ def test_held_out_accuracy_and_odd_rows(spark):
     odd = [(5000, None, None, None), (5001, "", "en", "s"), (5002, " \n", "en", "s"), (None, sentence(rng, 3), "en", "s"), (5003, sentence(rng, 60, 40_000), "en", "s"), (0, rows[0][1], "en", "s")]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, score string, toxic string")
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(700)] + [(3, None), (5000, 1), (9999, 1)], "doc_id long, toxic int")
-    model = m.learn(m.labelled_documents(docs, labels))
+    model = m.learn(docs, m.training_labels(labels))
     got = m.score(docs, model).collect()
     assert len(got) == len(rows) + len(odd) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     found = {r.doc_id: r for r in got}
     ids = [r.doc_id for r in docs.filter(held_out(docs.doc_id)).collect() if r.doc_id < 900]
     assert np.mean([found[i].predicted == int(i % 5 == 0) for i in ids]) > 0.97
     assert found[5000].score == found[5001].score == found[5002].score < 0.3
-    again = {r.doc_id: r.score for r in m.score(docs.repartition(3), m.learn(m.labelled_documents(docs.repartition(7), labels))).collect()}
+    again = {r.doc_id: r.score for r in m.score(docs.repartition(3), m.learn(docs.repartition(7), m.training_labels(labels))).collect()}
     assert all(abs(again[i] - found[i].score) < 1e-6 for i in found)
 
 
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert m.score(docs, m.learn(m.labelled_documents(docs, none))).first().score == 0.0
+    assert m.score(docs, m.learn(docs, none)).first().score == 0.0
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
-    assert m.score(docs, m.learn(m.labelled_documents(docs, one))).first().score == 1.0
-    assert m.score(docs.limit(0), m.learn(m.labelled_documents(docs, one))).count() == 0
+    assert m.score(docs, m.learn(docs, one)).first().score == 1.0
+    assert m.score(docs.limit(0), m.learn(docs, one)).count() == 0
 
 
 def test_gain_follows_the_dictionaries():
