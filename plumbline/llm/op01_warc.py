@@ -46,6 +46,11 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     return joined.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("last_id")), F.col("last_id")).alias("refers_to"))
 
 
+def uri(url: str) -> str:
+    """``url`` with what a URI cannot hold (blanks, control and non-ASCII characters) percent-encoded."""
+    return urllib.parse.quote(url, safe="!#$%&'()*+,/:;=?@[]~")
+
+
 def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
     revisit = refers_to is not None
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -55,7 +60,7 @@ def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
         ("WARC-Date", date),
-        ("WARC-Target-URI", None if url is None else urllib.parse.quote(url, safe="!#$%&'()*+,/:;=?@[]~")),
+        ("WARC-Target-URI", None if url is None else uri(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Refers-To", f"<urn:page:{refers_to}>" if revisit else None),
         ("WARC-Profile", REVISIT_PROFILE if revisit else None),
@@ -168,9 +173,8 @@ def _parse(record: bytes) -> dict:
     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     if fields["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    url = fields.get("WARC-Target-URI")
     return {
-        "page_id": _page(fields["WARC-Record-ID"]), "url": None if url is None else urllib.parse.unquote(url), "record_type": fields["WARC-Type"],
+        "page_id": _page(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"],
         "payload_bytes": size, "payload_digest": digest, "refers_to": _page(fields.get("WARC-Refers-To")), "payload": payload if fields["WARC-Type"] == "response" else None,
     }
 
@@ -178,7 +182,7 @@ def _parse(record: bytes) -> dict:
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records of the archives below ``path``; the payload of every response is checked against its digest.
 
-    Columns: page_id, url, record_type, payload_bytes, payload_digest, refers_to and, with ``payloads``, payload (NULL for
+    Columns: page_id, url (as a URI), record_type, payload_bytes, payload_digest, refers_to and, with ``payloads``, payload (NULL for
     revisits). An archive is read as one value, so it must stay below two gigabytes; tasks write far smaller ones.
     """
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
