@@ -14,14 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut_lineage, lookup_join, query, table
+from .common import cut_lineage, lookup_join, query, table
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """id, at, line, words, lid, lid2 of every line with a word, of rows with an id and a text."""
-    cut = docs.filter("id IS NOT NULL AND text IS NOT NULL").select("id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    words = cut.select("id", "at", F.filter(F.split("line", SPACE), lambda w: w != "").alias("words")).filter(F.size("words") > 0)
-    return words.select("*", F.xxhash64("words").alias("lid"), F.xxhash64(F.lit(7), "words").alias("lid2"))
+def _cut(docs: DataFrame) -> DataFrame:
+    """id, at, line of every line, of rows with an id and a text."""
+    return docs.filter("id IS NOT NULL AND text IS NOT NULL").select("id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+
+
+def _words(line: Column) -> Column:
+    """Words of a line: a plain blank is the cheapest to cut at, so the other white space becomes one first."""
+    return F.array_remove(F.split(F.regexp_replace(line, r"[\x09-\x0D]", " "), " "), "")
 
 
 def _halves(words: Column, n: Column) -> Column:
@@ -30,23 +33,24 @@ def _halves(words: Column, n: Column) -> Column:
     return F.flatten(F.transform(lengths, lambda m: F.array(F.xxhash64(F.lit(1), m, F.slice(words, 1, m)), F.xxhash64(F.lit(2), m, F.slice(words, n - m + 1, m)))))
 
 
-def near_lines(docs: DataFrame, min_words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (lid, lid2, id, at, n_lines: first place and number) and near ones (lid, lid2, other_id, other_at).
+def near_lines(docs: DataFrame, min_words: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All lines with a word (id, at, lid, lid2), distinct ones (lid, lid2, id, at, n_lines: first place and number) and near ones
+    (lid, lid2, other_id, other_at); lid and lid2 are two hashes of a line's words.
 
     ``docs`` has id and text. A near line has an earlier line, by (id, line number) of first places, within one edit; both have ``min_words`` words or
     more. The earlier line counts whether or not it is near a still earlier one.
     """
-    lines = _lines(docs)
-    n = F.size("words")
-    told = lines.select("id", "at", "lid", "lid2", F.when(n >= min_words, _halves(F.col("words"), n)).alias("halves"))
+    lines, n = _cut(docs), F.size("words")
+    hashed = lines.select("id", "at", _words(F.col("line")).alias("words")).filter(n > 0)
+    told = cut_lineage(hashed.select("id", "at", F.xxhash64("words").alias("lid"), F.xxhash64(F.lit(7), "words").alias("lid2"), F.when(n >= min_words, _halves(F.col("words"), n)).alias("halves")))
     distinct = cut_lineage(told.groupBy("lid", "lid2").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n_lines"), F.first("halves").alias("halves")))
     halves = distinct.select("lid", "lid2", "first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
     able = cut_lineage(halves.join(shared, "half").select("lid", "lid2", "first.id", "first.at").distinct())
 
     # the words of those lines, under a short number of their own
-    found = lookup_join(lines.select("id", "at", "lid", "lid2", "words"), able, ["id", "at", "lid", "lid2"], "left_semi")
-    known = cut_lineage(found.distinct().withColumn("sid", F.monotonically_increasing_id()))
+    found = lookup_join(lines, able, ["id", "at"], "inner").withColumn("words", _words(F.col("line"))).filter((F.xxhash64("words") == F.col("lid")) & (F.xxhash64(F.lit(7), "words") == F.col("lid2")))
+    known = cut_lineage(found.drop("line").distinct().withColumn("sid", F.monotonically_increasing_id()))
 
     # a word counts with its place, so the variant without word p is: words before p, and words after p one place to the left
     each = known.select("sid", F.size("words").alias("n"), F.posexplode(F.transform("words", lambda w: F.xxhash64(w))).alias("p", "w"))
@@ -78,15 +82,15 @@ def near_lines(docs: DataFrame, min_words: int = 5) -> tuple[DataFrame, DataFram
 
     verified = pairs.join(mine, "sid").join(theirs, "other").filter(less("a", "p") == less("b", "q"))
     near = verified.groupBy("lid", "lid2").agg(F.min(F.struct("other_id", "other_at")).alias("o")).select("lid", "lid2", "o.other_id", "o.other_at")
-    return distinct.select("lid", "lid2", "first.id", "first.at", "n_lines"), cut_lineage(near)
+    return told.select("id", "at", "lid", "lid2"), distinct.select("lid", "lid2", "first.id", "first.at", "n_lines"), cut_lineage(near)
 
 
 def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """id, at, lid, near of every line that goes: equal to an earlier line (near false) or near one (true, for all its places)."""
-    distinct, near = near_lines(docs, min_words)
+    lines, distinct, near = near_lines(docs, min_words)
     marked = distinct.join(near.withColumn("near", F.lit(True)), ["lid", "lid2"], "left").filter("n_lines > 1 OR near")
     first = marked.select("lid", "lid2", F.struct("id", "at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    return _lines(docs).select("id", "at", "lid", "lid2").join(first, ["lid", "lid2"]).filter(F.col("near") | (F.struct("id", "at") > F.col("first"))).select("id", "at", "lid", "near").distinct()
+    return lines.join(first, ["lid", "lid2"]).filter(F.col("near") | (F.struct("id", "at") > F.col("first"))).select("id", "at", "lid", "near").distinct()
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str, str] = ("n_lines", "n_exact", "n_near")) -> DataFrame:
@@ -105,7 +109,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", tex
     joined = lookup_join(packed, cut_lineage(gone), "id")
     text = F.col("row").getField(text_col)
     parts = joined.withColumn("parts", F.split(text, "\n", -1))
-    own = F.transform("parts", lambda line, at: _code(at, F.xxhash64(F.filter(F.split(line, SPACE), lambda w: w != ""))))
+    own = F.transform("parts", lambda line, at: _code(at, F.xxhash64(_words(line))))
     coded = parts.withColumn("own", F.when(F.col("exact").isNotNull(), own))
     left = coded.withColumn("kept", F.array_except("own", F.concat("exact", "close")))
     kept = F.when(F.col("kept").isNull(), text).otherwise(F.array_join(F.transform("kept", lambda c: F.get("parts", F.shiftright(c, 32).cast("int"))), "\n"))

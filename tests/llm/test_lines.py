@@ -58,7 +58,7 @@ def test_against_brute_force(spark, least, seed):
 
 def test_pairs_and_plan(spark):
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four FIVE six"), (3, "one two three four five six seven\nquite another line of words here")], "id long, text string")
-    _, close = m.near_lines(docs)
+    _, _, close = m.near_lines(docs)
     assert sorted((r.other_id, r.other_at) for r in close.collect()) == [(1, 0), (1, 0)]
     plan = m.dedup_lines(docs.withColumnRenamed("id", "doc_id"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
