@@ -198,15 +198,17 @@ PENALTY_TIER_2 = 3
 PENALTY_NORTH_EAST = 6
 INTERACTION_SCALE = 0.6
 
-# Words that cannot be part of a place candidate.
+# Words that cannot be part of a place candidate, without hyphens (fixed values).
 PLACE_STOP = tuple(
     """
+    A AN AND OR OF THE IN AT FOR ON FROM WITH TO BY AS LT IPR
+    C O N E P R I S D T M X L K U V G J H F B
     NEW INDIA INDIAN NATIONAL INTERNATIONAL PROJECT PROJECTS SYSTEM SYSTEMS WORKS WORK DEVELOPMENT CONSTRUCTION
     EXTENSION EXPANSION UPGRADATION UPGRADE MASTER PLAN OPERATING OPERATION OPERATIONS CAPACITY POWER PLANT PLANTS
     ENHANCEMENT IMPROVEMENT MODERNISATION REHABILITATION RESTORATION REVITALISATION COMPLEX COMPLEXES CAMPUS CAMPUSES
-    PHASE PHASES STAGE FACILITY FACILITIES BUILDING BUILDINGS TERMINAL TERMINALS AIRPORT AERODROME PORT PATAN TOWNSHIP
+    PHASE PHASES PHASEI PHASE1 STAGE STAGEI FACILITY FACILITIES BUILDING BUILDINGS TERMINAL TERMINALS AIRPORT AERODROME PORT PATAN TOWNSHIP
     HOUSING HEADQUARTERS OFFICE OFFICES BLOCK SECTION SECTIONS UNIT UNITS TYPE NOS NUMBER NO UNDER COMPLETION BEDDED
     BED PROGRAMME PROGRAM CIVIL MAINTENANCE GENERATION TRANSMISSION DISTRIBUTION SUPPLY TOWN CITY AREA REGION STATE
-    DISTRICT ROAD ROADS HIGHWAY ODISHA BIHAR
+    DISTRICT ROAD ROADS HIGHWAY ODISHA BIHAR ETC
     """.split()
 )

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import exact_percentiles, rank_cut, running_totals
-
-MAX_BALANCED_GROUPS = 1_000_000
+from ..plans.ordered import exact_percentiles, global_rank, rank_cut, running_totals
 
 
 # --------------------------------------------------------------------------- folds
@@ -50,14 +48,9 @@ def fold_assign(
     if kind == "group":
         return df.withColumn(output, F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(k)).cast("int"))
     if kind == "group_balanced":
-        # One row per group is ordered in one task, hence the guard.
-        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-        too_many = sizes.agg(F.count(F.lit(1)) > MAX_BALANCED_GROUPS).scalar()
-        checked = sizes.withColumn(
-            "__ok", F.when(too_many, F.raise_error(F.lit("too many groups for group_balanced; use kind='group'")).cast("boolean"))
-        )
-        deal = F.row_number().over(Window.orderBy(F.col("__n").desc(), F.col(group).asc())) - 1
-        folds = checked.select(F.col(group).alias("__g"), F.pmod(deal, F.lit(k)).cast("int").alias(output), "__ok").drop("__ok")
+        sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+        ranked = global_rank(sizes, [F.col("__n").desc(), F.col("__g").asc()], "__deal")
+        folds = ranked.select("__g", F.pmod("__deal", F.lit(k)).cast("int").alias(output))
         return df.join(folds, df[group].eqNullSafe(folds["__g"])).drop("__g")
     raise ValueError(f"unknown fold kind: {kind}")
 

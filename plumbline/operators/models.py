@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..plans.ordered import exact_percentiles
 from ..session import cut_lineage
-from ..sources.sinks import latest_version, write_metrics, write_table
+from ..sources.sinks import latest_version, read_table, write_metrics, write_table
 from . import assembly, evaluate, features, geo
 
 COST_FEATURES = (
@@ -128,7 +129,7 @@ def select_best(
     rows = df.select(*dict.fromkeys([*inputs, label, fold, *[c for c in (repeat, shift, actual) if c]])).persist()
     n = rows.count()
     learners = classifiers(n, spec) if task == "classify" else regressors(spec)
-    repeats = [None] if repeat is None else [r[0] for r in rows.select(repeat).distinct().limit(100).collect()]
+    repeats = [None] if repeat is None else [r[0] for r in rows.select(repeat).distinct().orderBy(repeat).collect()]
     scores: dict[str, float] = {}
     for name, stage in learners.items():
         values = []
@@ -500,9 +501,12 @@ def shuffle_column(df: DataFrame, column: str, key: str, bucket_rows: int = 4096
 
 # --------------------------------------------------------------------------- registry
 def save_version(spark: SparkSession, estimators: dict[str, Estimator], root: str) -> int:
-    """Store the estimators as the next version; the pointer row is the commit."""
-    version = latest_version(spark, f"{root}/versions")[0] + 1
-    folder = f"{root}/models/v{version}"
+    """Store the estimators as the next version; estimators of the latest version that are not given are carried over.
+
+    Models go to a folder of their own, and the commit fails if another version was committed meanwhile.
+    """
+    base, path, _ = latest_version(spark, f"{root}/versions")
+    folder = f"{root}/models/{uuid.uuid4().hex}"
     rows = []
     for name, est in estimators.items():
         for kind, table in (("classify", est.classify), ("regress", est.regress)):
@@ -523,7 +527,9 @@ def save_version(spark: SparkSession, estimators: dict[str, Estimator], root: st
         }
         rows.append((name, folder, json.dumps(state)))
     table = spark.createDataFrame(rows, "name string, folder string, state string")
-    committed = write_table(table, f"{root}/versions")
+    if path is not None:
+        table = table.unionByName(spark.read.parquet(path).filter(~F.col("name").isin(list(estimators))))
+    version = committed = write_table(table, f"{root}/versions", base=base)
     metrics = [
         (name, version, est.task, m, float(v)) for name, est in estimators.items() for m, v in est.metrics.items() if v is not None
     ]
@@ -554,19 +560,23 @@ def load_latest(spark: SparkSession, root: str) -> tuple[int, dict[str, Estimato
 
 
 def ingest_and_retrain(
-    spark: SparkSession, table: str, registry: str, new: DataFrame, keys: Sequence[str], key: str, spec: Learners = Learners()
+    spark: SparkSession, table: str, registry: str, new: DataFrame, keys: Sequence[str], key: str, spec: Learners = Learners(), task: str = "time"
 ) -> dict:
-    """Upsert a report into the TIME table, age the labels, refit, register; returns row deltas and versions.
+    """Upsert a report into the TIME (or, with ``task`` cost, the COST) table, age TIME labels, refit, register.
 
-    The data version is committed before the fit, the model version after it.
+    Returns row deltas and versions. The data version is committed before the fit, the model version after it; the other
+    task's estimator stays in the new version.
     """
-    from ..sources.sinks import read_table
-
-    before = read_table(spark, table)
+    base, path, _ = latest_version(spark, table)
+    if path is None:
+        raise FileNotFoundError(f"no committed version in {table}")
+    before = spark.read.parquet(path)
     n_before = before.count()
-    merged = assembly.census_age(assembly.upsert(before, new, keys))
-    data_version = write_table(merged.select(*before.columns), table)
+    merged = assembly.upsert(before, new, keys)
+    merged = assembly.census_age(merged) if task == "time" else merged
+    data_version = write_table(merged.select(*before.columns), table, base=base)
     after = read_table(spark, table)
     n_after = after.count()
-    model_version = save_version(spark, {"time": fit_time(after, key, spec)}, registry)
+    fitted = fit_time(after, key, spec) if task == "time" else fit_cost(after, key, spec=spec)
+    model_version = save_version(spark, {task: fitted}, registry)
     return {"rows_before": n_before, "rows_after": n_after, "rows_delta": n_after - n_before, "data_version": data_version, "model_version": model_version}

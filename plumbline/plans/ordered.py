@@ -4,7 +4,8 @@ A window with no partition key moves every row into one task. The recipes here
 first collapse the input to one row per distinct value (partial aggregation on
 the map side), cut the value axis into buckets of about equal row count, run a
 local window inside each (group, bucket) and add the totals of earlier buckets.
-Only the bucket totals, a few hundred rows per group, are ordered globally.
+The number of buckets follows the number of values. Only the bucket totals, a
+few thousand rows per group at most, are ordered globally.
 """
 
 from __future__ import annotations
@@ -14,19 +15,21 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COARSE = 16
+#: At most FINEST buckets of about BUCKET_VALUES values each.
+FINEST = 1024
+BUCKET_VALUES = 20_000
 _BUCKET = "__bucket"
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that treats NULL keys as equal and keeps one copy of the keys."""
+    """Equi-join that treats NULL keys as equal and keeps one copy of the keys; the bucket is never NULL."""
     renamed = right.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys],
         *[c for c in right.columns if c not in keys],
     )
     cond = None
     for k in keys:
-        term = left[k].eqNullSafe(renamed[f"__r_{k}"])
+        term = left[k] == renamed[f"__r_{k}"] if k == _BUCKET else left[k].eqNullSafe(renamed[f"__r_{k}"])
         cond = term if cond is None else cond & term
     joined = left.join(renamed, cond, how)
     return joined.drop(*[f"__r_{k}" for k in keys])
@@ -35,24 +38,29 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def with_bucket(df: DataFrame, order_col: str) -> DataFrame:
     """Add the bucket number of ``order_col``: how many quantile bounds lie at or below it.
 
-    The bounds come from a scalar subquery over ``df`` (one small array), so the
-    plan stays lazy. ``df`` should hold distinct values: then no bucket can
-    hold much more than its share of the rows, whatever the distribution.
-    The lookup is two-step, 15 coarse bounds and then the 15 between two of them.
+    The bounds come from a scalar subquery over ``df`` (one array), so the plan
+    stays lazy; of FINEST bounds every so-manieth is kept, as many as the number
+    of rows asks for. ``df`` should hold distinct values: then no bucket can hold
+    much more than its share of the rows, whatever the distribution. The lookup
+    is two-step, coarse bounds and then those between two of them.
     """
-    steps = COARSE * COARSE
-    probs = F.expr("array(" + ", ".join(f"{i / steps}D" for i in range(1, steps)) + ")")
-    bounds = df.agg(F.percentile_approx(F.col(order_col), probs, F.lit(10 * steps)).alias("b"))
+    probs = F.expr("array(" + ", ".join(f"{i / FINEST}D" for i in range(1, FINEST)) + ")")
+    found = df.agg(
+        F.percentile_approx(F.col(order_col), probs, F.lit(10 * FINEST)).alias("b"),
+        F.least(F.lit(FINEST), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BUCKET_VALUES))).cast("int").alias("n"),
+    )
+    picked = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - 1)), lambda i: F.get("b", (i * FINEST / F.col("n")).cast("int") - 1)))
+    bounds = found.select("n", F.coalesce(picked, F.array().cast(f"array<{df.schema[order_col].dataType.simpleString()}>")).alias("b")).withColumn("step", F.ceil(F.sqrt("n")).cast("int"))
+    every = F.sequence(F.col("step"), F.greatest(F.col("step"), F.col("n") - 1), F.col("step"))
+    packed = bounds.select(F.struct("b", "step", F.when(F.col("n") > F.col("step"), F.transform(every, lambda i: F.get("b", i - 1))).otherwise(F.slice("b", 1, 0)).alias("c")))
 
     def below(values: Column) -> Column:
         return F.greatest(F.lit(0), F.size(F.filter(values, lambda b: b <= F.col(order_col))))
 
-    every = F.sequence(F.lit(COARSE), F.lit(steps - COARSE), F.lit(COARSE))
-    packed = bounds.select(F.struct("b", F.transform(every, lambda i: F.get("b", i - 1)).alias("c")))
     return (
         df.withColumn("__q", packed.scalar())
         .withColumn("__c", below(F.col("__q.c")))
-        .withColumn(_BUCKET, F.col("__c") * COARSE + below(F.slice("__q.b", F.col("__c") * COARSE + 1, COARSE - 1)))
+        .withColumn(_BUCKET, F.col("__c") * F.col("__q.step") + below(F.slice("__q.b", F.col("__c") * F.col("__q.step") + 1, F.greatest(F.lit(0), F.col("__q.step") - 1))))
         .drop("__q", "__c")
     )
 
@@ -67,16 +75,15 @@ def running_totals(
     """Exclusive running sums and group totals, distributed.
 
     ``df`` holds one row per (``by``, ``order_col``). For every column c in
-    ``totals`` (the first one positive, a row count) the result adds ``c_before`` (sum over earlier rows) and
+    ``totals`` the result adds ``c_before`` (sum over earlier rows) and
     ``c_total`` (sum over the group).
     """
     by = list(by)
     direction = F.col(order_col).desc() if descending else F.col(order_col).asc()
     bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
-    # Always true, but it names every column: the three readers of ``df`` below then need the same
-    # columns, their plans are equal, and the shuffle under ``df`` runs once (ReusedExchange).
-    others = [c for c in df.columns if c != totals[0]]
-    df = df.filter((F.col(totals[0]) > 0) | (F.hash(*others) == 0))
+    # True for every row, since a hash is a 32-bit number, but it names every column: the three readers of ``df`` below
+    # then need the same columns, their plans are equal, and the shuffle under ``df`` runs once (ReusedExchange).
+    df = df.filter(F.hash(*df.columns) <= 2**31 - 1)
     marked = with_bucket(df, order_col)
 
     local = Window.partitionBy(*by, _BUCKET).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
@@ -161,19 +168,33 @@ def rank_cut(df: DataFrame, score: str, tie_id: str, k: Callable[[Column], Colum
 
     ``k`` maps the row count to the number wanted; it may be any share of the
     table, so there is no sort-and-limit: the cut score is found on the score
-    distribution, and only rows tied at the cut are ordered by id, again bucket
-    by bucket.
+    distribution and compared in place, and only rows tied at the cut are ordered
+    by id, again bucket by bucket.
     """
     rows = df.select(F.col(tie_id).alias("__id"), F.col(score).alias("__score"))
     dist = rows.groupBy("__score").agg(F.count(F.lit(1)).alias("n"))
     placed = running_totals(dist, "__score", ["n"], descending=True)
-    room = k(F.col("n_total")) - F.col("n_before")
-    kept = placed.select(F.col("__score").alias("__s"), room.alias("__room"), (room >= F.col("n")).alias("__whole")).filter(
-        F.col("__room") > 0
-    )
-    full = df.join(kept.filter("__whole"), df[score].eqNullSafe(F.col("__s")), "left_semi")
-    edge = kept.filter("not __whole").select("__s", "__room")
-    tied = rows.join(edge, F.col("__score").eqNullSafe(F.col("__s"))).select("__id", "__room", F.lit(1).alias("n"))
-    first = running_totals(tied, "__id", ["n"]).filter(F.col("n_before") < F.col("__room")).select("__id")
-    part = df.join(first, df[tie_id] == F.col("__id"), "left_semi")
-    return full.unionByName(part)
+    wanted = F.least(k(F.col("n_total")), F.col("n_total"))
+    cut = placed.filter((F.col("n_before") < wanted) & (F.col("n_before") + F.col("n") >= wanted))
+    marked = df.withColumn("__cut", cut.agg(F.max(F.struct(F.col("__score").alias("score"), (wanted - F.col("n_before")).alias("room")))).scalar())
+    above = (F.col(score) > F.col("__cut.score")) | (F.col("__cut.score").isNull() & F.col(score).isNotNull())
+    tied = marked.filter(F.col("__cut").isNotNull() & F.col(score).eqNullSafe(F.col("__cut.score")))
+    ordered = running_totals(tied.select(F.col(tie_id).alias("__id"), F.col("__cut.room").alias("__room"), F.lit(1).alias("n")), "__id", ["n"])
+    last = ordered.filter(F.col("n_before") < F.col("__room")).agg(F.max("__id")).scalar()
+    full = marked.filter(F.col("__cut").isNotNull() & above)
+    return full.drop("__cut").unionByName(tied.filter(F.col(tie_id) <= last).drop("__cut"))
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], output: str) -> DataFrame:
+    """``df`` with its 0-based place in ``order``: a range partitioning, and the counts of earlier parts added.
+
+    Runs once and is written, since the bounds of a range partitioning may differ between runs.
+    """
+    from ..session import cut_lineage
+
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    placed = cut_lineage(sorted_.withColumn("__part", F.shiftright("__place", 33)))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    parts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    place = F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(parts.select("__part", "__before")), "__part").select(*df.columns, place.alias(output))

@@ -366,13 +366,13 @@ def _(spark, d):
 @query(
     "upsert", "",
     """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, event_id, value FROM events WHERE ts < TIMESTAMP '2024-01-16'),
-         n AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-29')
+         n AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-16')
        SELECT * FROM e WHERE (user_id, event_type) NOT IN (SELECT user_id, event_type FROM n) UNION ALL SELECT * FROM n""",
 )
 def _(spark, d):
     e = dt.load(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts")
     old = e.filter(F.col("ts") < F.lit("2024-01-16").cast("timestamp")).drop("ts")
-    new = e.filter(F.col("ts") >= F.lit("2024-01-29").cast("timestamp")).drop("ts")
+    new = e.filter(F.col("ts") >= F.lit("2024-01-16").cast("timestamp")).drop("ts")
     return op.upsert(old, new, ["user_id", "event_type"])
 
 

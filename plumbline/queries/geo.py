@@ -61,14 +61,15 @@ def _(spark, d):
     """SELECT t.project_id, CASE WHEN project_id % 2 = 0 THEN (SELECT max(n_name) FROM nation n WHERE starts_with(n_name, t.state) AND length(n_name) =
            (SELECT max(length(n_name)) FROM nation m WHERE starts_with(m.n_name, t.state)) AND n_name = (SELECT min(n_name) FROM nation q WHERE starts_with(q.n_name, t.state)
            AND length(q.n_name) = (SELECT max(length(n_name)) FROM nation m WHERE starts_with(m.n_name, t.state))))
-         WHEN geo_latitude IS NOT NULL THEN t.state ELSE 'UNKNOWN' END AS state FROM time_t t""",
+         WHEN project_id % 3 = 0 THEN 'known ' || t.state WHEN geo_latitude IS NOT NULL THEN t.state ELSE 'UNKNOWN' END AS state FROM time_t t""",
 )
 def _(spark, d):
     points = nation_points(spark, d)
-    t = dt.time_table(spark, d).select("project_id", "sector", "project_name", "geo_latitude", "geo_longitude")
-    bare = F.when(F.col("project_id") % 2 == 0, F.col("project_name")).otherwise(F.lit("no tail"))
-    known = t.limit(0).select("sector", "project_name", F.lit("").alias("state"))
-    return op.attach_state(t.withColumn("project_name", bare), known, names=list(points), centroids=points).select("project_id", "state")
+    t = dt.time_table(spark, d).select("project_id", "sector", "project_name", "state", "geo_latitude", "geo_longitude")
+    bare = F.when(F.col("project_id") % 2 == 0, F.col("project_name")).otherwise(F.concat(F.lit("no tail "), F.col("project_id").cast("string")))
+    t = t.withColumn("project_name", bare)
+    known = t.filter(F.col("project_id") % 3 == 0).select("sector", "project_name", F.concat(F.lit("known "), F.col("state")).alias("state"))
+    return op.attach_state(t.drop("state"), known, names=list(points), centroids=points).select("project_id", "state")
 
 
 def upper_documents(spark, d):
@@ -194,7 +195,7 @@ def _(spark, d):
     "WITH " + UPPER_DOCS + """,
     w AS (SELECT doc_id, list_filter(regexp_split_to_array(name, '[^A-Za-z0-9]+'), lambda t: length(t) >= 3 AND regexp_full_match(t, '[A-Z0-9]*[A-Z][A-Z0-9]*')) AS t FROM docs),
     words AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS s FROM w),
-    usable AS (SELECT doc_id, s, CASE WHEN w NOT IN ('THE', 'AND', 'FOR', 'THAT', 'UND', 'LES') THEN w END AS w FROM words),
+    usable AS (SELECT doc_id, s, CASE WHEN w NOT IN (""" + ", ".join(f"'{w}'" for w in fv.PLACE_STOP) + """) THEN w END AS w FROM words),
     ahead AS (SELECT w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5
               FROM usable WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
     runs AS (SELECT w || ' ' || w2 AS g FROM ahead UNION ALL SELECT w || ' ' || w2 || ' ' || w3 FROM ahead
@@ -202,7 +203,7 @@ def _(spark, d):
     SELECT g AS ngram, count(*) AS n FROM runs WHERE g IS NOT NULL GROUP BY g ORDER BY n DESC, g LIMIT 700""",
 )
 def _(spark, d):
-    return op.ngram_inventory(upper_documents(spark, d), stop=("THE", "AND", "FOR", "THAT", "UND", "LES"))
+    return op.ngram_inventory(upper_documents(spark, d))
 
 
 @query(

@@ -132,12 +132,12 @@ def _(spark, d):
 
 @query(
     "apply_rate", "time cost",
-    """WITH o AS (SELECT avg(CAST(overrun_flag AS DOUBLE)) AS overall FROM cost_t WHERE state <> 'NATION_4'),
-       r AS (SELECT state, (sum(overrun_flag) + 20.0 * max(overall)) / (count(*) + 20.0) AS rate FROM cost_t, o WHERE state <> 'NATION_4' GROUP BY state)
+    """WITH o AS (SELECT avg(CAST(overrun_flag AS DOUBLE)) AS overall FROM cost_t),
+       r AS (SELECT state, (sum(overrun_flag) + 20.0 * max(overall)) / (count(*) + 20.0) AS rate FROM cost_t, o GROUP BY state)
        SELECT project_id, round(coalesce(rate, (SELECT overall FROM o)), 6) AS state_rate FROM time_t t LEFT JOIN r ON t.state = r.state""",
 )
 def _(spark, d):
-    rates = op.rate_map(dt.cost_table(spark, d).filter("state <> 'NATION_4'"), "state", "overrun_flag")
+    rates = op.rate_map(dt.cost_table(spark, d), "state", "overrun_flag")
     out = op.apply_rate(dt.time_table(spark, d).select("project_id", "state"), rates, "state", "state_rate")
     return rounded(out.select("project_id", "state_rate"), 6, "state_rate")
 

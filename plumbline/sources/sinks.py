@@ -1,47 +1,81 @@
-"""Writers. A table is a folder of immutable versions plus a pointer row that commits one of them."""
+"""Writers. A table is a folder of immutable versions; a pointer file, created once per version number, commits one of them."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POINTER = "_pointer"
-POINTER_SCHEMA = T.StructType(
-    [
-        T.StructField("version", T.LongType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("batch_id", T.LongType()),
-    ]
-)
 
 
-def _pointers(spark: SparkSession, table: str) -> list:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{POINTER}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return []
-    # One row per committed version, so only a short list reaches the driver.
-    return (
-        spark.read.schema(POINTER_SCHEMA).json(f"{table}/{POINTER}").orderBy(F.col("version").desc()).limit(1).collect()
-    )
+class ConcurrentWrite(RuntimeError):
+    """Another writer committed a version after the one that this write was made from."""
+
+
+def _folder(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _pointer(spark: SparkSession, table: str) -> dict | None:
+    """The newest whole pointer: version, path, and the last batch id of every stream that wrote here."""
+    fs, folder = _folder(spark, f"{table}/{POINTER}")
+    if not fs.exists(folder):
+        return None
+    for status in sorted(fs.listStatus(folder), key=lambda x: x.getPath().getName(), reverse=True):
+        stream = fs.open(status.getPath())
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        if text.endswith("\n"):  # else its writer has not come to the end, or was lost
+            return json.loads(text)
+    return None
+
 
+def latest_version(spark: SparkSession, table: str) -> tuple[int, str | None, dict[str, int]]:
+    """Version number, folder and the streams' last batch ids; (0, None, {}) for a table without a version."""
+    found = _pointer(spark, table)
+    return (found["version"], found["path"], found["batches"]) if found else (0, None, {})
 
-def latest_version(spark: SparkSession, table: str) -> tuple[int, str | None, int | None]:
-    rows = _pointers(spark, table)
-    return (rows[0]["version"], rows[0]["path"], rows[0]["batch_id"]) if rows else (0, None, None)
 
+def write_table(df: DataFrame, table: str, batch: tuple[str, int] | None = None, base: int | None = None) -> int:
+    """Write a new version and commit it; the version being read is never touched.
 
-def write_table(df: DataFrame, table: str, batch_id: int | None = None) -> int:
-    """Write a new version and commit it; the version being read is never touched."""
+    The pointer of a version number can be created only once. With ``base``, the version that ``df`` was made from, a write
+    fails with ``ConcurrentWrite`` if another version was committed since; without it, it takes the next free number.
+    ``batch`` (stream, batch id) is remembered; what other streams have written is carried over.
+    """
     spark = df.sparkSession
-    version = latest_version(spark, table)[0] + 1
-    path = f"{table}/v{version}-{uuid.uuid4().hex}"
+    path = f"{table}/v-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    pointer = spark.createDataFrame([(version, path, batch_id)], POINTER_SCHEMA)
-    pointer.coalesce(1).write.mode("append").json(f"{table}/{POINTER}")
-    return version
+    tried = 0
+    while True:
+        version, _, batches = latest_version(spark, table)
+        if base is not None and version != base:
+            raise ConcurrentWrite(f"{table}: version {version} was committed after {base}")
+        number = max(version, tried) + 1
+        told = {"version": number, "path": path, "batches": batches | ({batch[0]: batch[1]} if batch else {})}
+        fs, pointer = _folder(spark, f"{table}/{POINTER}/{number:012d}.json")
+        try:
+            out = fs.create(pointer, False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" not in str(error.java_exception):
+                raise
+            tried = number  # taken meanwhile, or left unfinished by a lost writer
+            if base is not None and latest_version(spark, table)[0] != base:
+                raise ConcurrentWrite(f"{table}: version {number} was committed after {base}") from error
+            continue
+        try:
+            out.write(bytearray((json.dumps(told) + "\n").encode()))
+        finally:
+            out.close()
+        return number
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:

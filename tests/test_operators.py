@@ -255,13 +255,95 @@ def test_schema_violations_are_loud(spark):
 
 def test_versions_and_replayed_batches(spark, tmp_path):
     table = str(tmp_path / uuid.uuid4().hex)
-    merge = reports.upsert_batch(table, ["k"], ["o"])
+    merge = reports.upsert_batch(table, ["k"], ["o"], "stream")
     schema = "k string, o int, v int"
     merge(spark.createDataFrame([("a", 1, 1), ("a", 2, 2)], schema), 0)
     merge(spark.createDataFrame([("a", 3, 3), ("b", 1, 4)], schema), 1)
     merge(spark.createDataFrame([("a", 9, 9)], schema), 1)
     assert sorted((r["k"], r["v"]) for r in sinks.read_table(spark, table).collect()) == [("a", 3), ("b", 4)]
     assert sinks.latest_version(spark, table)[0] == 2
+    # a plain write keeps the streams' ids, so a replay after it changes nothing
+    sinks.write_table(sinks.read_table(spark, table).filter("k = 'a'"), table)
+    merge(spark.createDataFrame([("a", 9, 9)], schema), 1)
+    # a new checkpoint counts from 0 again, and its rows arrive
+    again = reports.upsert_batch(table, ["k"], ["o"], "restarted")
+    again(spark.createDataFrame([("c", 1, 7)], schema), 0)
+    again(spark.createDataFrame([("c", 1, 8)], schema), 0)
+    assert sorted((r["k"], r["v"]) for r in sinks.read_table(spark, table).collect()) == [("a", 3), ("c", 7)]
+    assert sinks.latest_version(spark, table)[2] == {"stream": 1, "restarted": 0}
+
+
+def test_two_writers(spark, tmp_path):
+    table = f"file://{tmp_path}/t"
+    one = spark.range(3)
+    base = sinks.write_table(one, table)
+    assert sinks.write_table(spark.range(5), table, base=base) == base + 1
+    with pytest.raises(sinks.ConcurrentWrite):
+        sinks.write_table(spark.range(7), table, base=base)
+    assert sinks.read_table(spark, table).count() == 5
+    # a writer that was lost between creating the pointer and filling it blocks nobody
+    (tmp_path / "t" / "_pointer" / f"{base + 2:012d}.json").write_text("")
+    assert sinks.read_table(spark, table).count() == 5
+    assert sinks.write_table(spark.range(9), table) == base + 3 and sinks.read_table(spark, table).count() == 9
+
+
+def test_a_batch_merges_anew_after_another_commit(spark, tmp_path, monkeypatch):
+    table, schema = f"file://{tmp_path}/t", "k string, o int, v int"
+    merge = reports.upsert_batch(table, ["k"], ["o"], "s")
+    merge(spark.createDataFrame([("a", 1, 1)], schema), 0)
+    real, raced = reports.write_table, []
+
+    def write(df, table, batch, base):
+        if not raced:
+            raced.append(sinks.write_table(spark.createDataFrame([("a", 1, 1), ("z", 1, 5)], schema), table))
+        return real(df, table, batch, base)
+
+    monkeypatch.setattr(reports, "write_table", write)
+    merge(spark.createDataFrame([("b", 1, 2)], schema), 1)
+    assert sorted((r["k"], r["v"]) for r in sinks.read_table(spark, table).collect()) == [("a", 1), ("b", 2), ("z", 5)]
+
+
+def test_retraining_one_task_keeps_the_other_model(spark, tmp_path):
+    from plumbline.operators import models
+
+    root = f"file://{tmp_path}/registry"
+    make = lambda task: models.Estimator(task, models.FrameParams(medians={"x": 1.0}, overall={"sector": 0.5}), {"blind_auc": 0.6}, {"aware": ["x"], "blind": ["x"]}, 0.0)
+    assert models.save_version(spark, {"time": make("time"), "cost": make("cost")}, root) == 1
+    changed = make("time")
+    changed.metrics["blind_auc"] = 0.7
+    assert models.save_version(spark, {"time": changed}, root) == 2
+    version, found = models.load_latest(spark, root)
+    assert version == 2 and set(found) == {"time", "cost"}
+    assert found["time"].metrics["blind_auc"] == 0.7 and found["cost"].metrics["blind_auc"] == 0.6
+
+
+def test_running_totals_keep_every_row_and_follow_the_data(spark, monkeypatch):
+    from plumbline.plans import ordered
+
+    rows = [(0.0, 0), (1.0, 3)]
+    got = ordered.running_totals(spark.createDataFrame(rows, "v double, n long"), "v", ["n"]).collect()
+    assert sorted((r.v, r.n_before, r.n_total) for r in got) == [(0.0, 0, 3), (1.0, 0, 3)]
+    for size in (1, 7, 100):
+        monkeypatch.setattr(ordered, "BUCKET_VALUES", size)
+        df = spark.range(1, 501).selectExpr("CAST(id * id % 1009 AS DOUBLE) AS v", "id AS n").groupBy("v").agg({"n": "sum"}).toDF("v", "n")
+        for down in (False, True):
+            found = sorted(((r.v, r.n, r.n_before, r.n_total) for r in ordered.running_totals(df, "v", ["n"], descending=down).collect()), reverse=down)
+            total = 0
+            for v, n, before, whole in found:
+                assert before == total and whole == 125_250
+                total += n
+
+
+def test_rank_cut_with_ties_and_nulls(spark):
+    from plumbline.plans import ordered
+
+    rows = [(i, None if i % 11 == 0 else float(i * 7 % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, s double")
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    for k in (1, 30, 81, 185, 200, 999):
+        got = ordered.rank_cut(df, "s", "i", lambda n, k=k: F.lit(k))
+        assert sorted(r.i for r in got.collect()) == sorted(i for i, _ in order[:k])
+    assert ordered.rank_cut(df.limit(0), "s", "i", lambda n: F.lit(3)).count() == 0
 
 
 def test_portal_export(spark, tmp_path):
