@@ -83,8 +83,10 @@ def _unpack(data: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.cumsum(steps)
 
 
-def _meetings(docs: DataFrame, starts: Callable[[np.ndarray, object], np.ndarray | None], width: int, stride: int, words: int, buckets: int, least: int) -> DataFrame:
-    """id, hits: packed places (int32) at which a run of ``width`` words hits, in one or more rows for a document.
+def _meetings(docs: DataFrame, starts: Callable[[np.ndarray, bytes | None], np.ndarray | None], width: int, stride: int, words: int, buckets: int, least: int) -> DataFrame:
+    """id, hits: packed places (int32, in order) at which a run of ``width`` words hits, one row for a document that has some.
+
+    Hits leave a bucket packed by slots, as many as buckets, into which documents fall by a hash; each slot is then taken apart.
 
     ``docs`` has id, text and mark; ``starts(words, mark)`` gives the places that take part (None: all). Places divisible by
     ``stride`` are blocks; if all are, hits are those of later documents alone. ``words`` hashes make a key; 48 bits of each
@@ -107,11 +109,11 @@ def _meetings(docs: DataFrame, starts: Callable[[np.ndarray, object], np.ndarray
             rows: dict[str, list] = {"bucket": [], "kind": [], "docs": [], "data": []}
             bucket = ((key[0] & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64) if buckets <= 4096 else (key[0] % np.uint64(buckets)).astype(np.int64)
             told = np.concatenate([np.diff(doc, prepend=0), np.diff(offset)]).tobytes()
-            for k, part in _by(which[hit], place[hit]):
-                rows["bucket"].append(int(doc[k]) % buckets)
+            for slot, data in _pack_hits(doc[which[hit]], place[hit], buckets):
+                rows["bucket"].append(slot)
                 rows["kind"].append(0)
-                rows["docs"].append(doc[k].tobytes())
-                rows["data"].append(part.astype(np.int32).tobytes())
+                rows["docs"].append(b"")
+                rows["data"].append(data)
             rest = np.flatnonzero(~later)
             rest = rest[np.argsort(bucket[rest], kind="stable")]
             cuts = np.flatnonzero(np.diff(bucket[rest])) + 1
@@ -147,7 +149,7 @@ def _meetings(docs: DataFrame, starts: Callable[[np.ndarray, object], np.ndarray
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("hits", pa.binary())])
+        schema = pa.schema([("slot", pa.int32()), ("data", pa.binary())])
         now, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -165,15 +167,17 @@ def _meetings(docs: DataFrame, starts: Callable[[np.ndarray, object], np.ndarray
                 return
             key, doc, place = np.concatenate(keys, axis=1), np.concatenate(docs_of), np.concatenate(places)
             hit, _ = _settle(key, doc, place % stride == 0, stride > 1)
-            found = list(_by(doc[hit], place[hit]))
-            for i in range(0, len(found), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array([int(d) for d, _ in found[i : i + 4096]], pa.int64()), pa.array([p.astype(np.int32).tobytes() for _, p in found[i : i + 4096]], pa.binary())], schema=schema)
+            yield from sent(list(_pack_hits(doc[hit], place[hit], buckets)))
+
+        def sent(found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(found), 256):
+                part = found[i : i + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int32()), pa.array([d for _, d in part], pa.binary())], schema=schema)
 
         for batch in batches:
-            ready = [(told, data) for kind, told, data in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True) if kind == 0]
-            if ready:
-                yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(t, np.int64)[0]) for t, _ in ready], pa.int64()), pa.array([d for _, d in ready], pa.binary())], schema=schema)
-            for bucket, kind, told, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            columns = [c.to_pylist() for c in batch.columns]
+            yield from sent([(bucket, data) for bucket, kind, _, data in zip(*columns, strict=True) if kind == 0])
+            for bucket, kind, told, data in zip(*columns, strict=True):
                 if kind == 0:
                     continue
                 if bucket != now:
@@ -182,8 +186,47 @@ def _meetings(docs: DataFrame, starts: Callable[[np.ndarray, object], np.ndarray
                 held.append((told, data))
         yield from close()
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("hits", pa.binary())])
+        now, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            parts = [_unpack_hits(x) for x in held]
+            held.clear()
+            if not parts:
+                return
+            found = list(_by(np.concatenate([d for d, _ in parts]), np.concatenate([p for _, p in parts])))
+            for i in range(0, len(found), 1024):
+                part = found[i : i + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array([int(d) for d, _ in part], pa.int64()), pa.array([np.unique(p).astype(np.int32).tobytes() for _, p in part], pa.binary())], schema=schema)
+
+        for batch in batches:
+            for slot, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if slot != now:
+                    yield from close()
+                    now = slot
+                held.append(data)
+        yield from close()
+
     packed = docs.select("id", "text", "mark").mapInArrow(pack, "bucket int, kind int, docs binary, data binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id long, hits binary")
+    met = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "slot int, data binary")
+    return met.repartition(buckets, "slot").sortWithinPartitions("slot").mapInArrow(gather, "id long, hits binary")
+
+
+def _pack_hits(doc: np.ndarray, place: np.ndarray, slots: int) -> Iterator[tuple[int, bytes]]:
+    """(slot, documents, their numbers of hits, places) for each slot that has a hit."""
+    slot = ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % slots
+    order = np.lexsort((place, doc, slot))
+    slot, doc, place = slot[order], doc[order], place[order]
+    for part in np.split(np.arange(len(slot)), np.flatnonzero(np.diff(slot)) + 1) if len(slot) else []:
+        ids, counts = np.unique(doc[part], return_counts=True)
+        yield int(slot[part[0]]), np.int64(len(ids)).tobytes() + ids.astype(np.int64).tobytes() + counts.astype(np.int32).tobytes() + place[part].astype(np.int32).tobytes()
+
+
+def _unpack_hits(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    counts = np.frombuffer(data, np.int32, n, 8 + 8 * n)
+    return np.repeat(np.frombuffer(data, np.int64, n, 8), counts), np.frombuffer(data, np.int32, -1, 8 + 12 * n)
 
 
 def _by(group: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -196,8 +239,8 @@ def _by(group: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]
             yield g[0], v
 
 
-def _places(mark: object) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in mark])) if mark else np.empty(0, dtype=np.int32)
+def _places(mark: bytes | None) -> np.ndarray:
+    return np.frombuffer(mark or b"", np.int32)
 
 
 def _spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -209,7 +252,7 @@ def _spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
-    """id, starts (list of packed int32): places of windows that also start in a document with a smaller id.
+    """id, starts (packed int32): places of windows that also start in a document with a smaller id.
 
     ``docs`` has id and text; rows without an id take no part. Equal texts are to be settled before.
     """
@@ -218,7 +261,7 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     total = named.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_ENTRIES + 1)
 
-    def around(hashed: np.ndarray, mark: object) -> np.ndarray:
+    def around(hashed: np.ndarray, mark: bytes | None) -> np.ndarray:
         """Starts of all windows that hold a hit."""
         hits = _places(mark)
         hits = hits[hits <= len(hashed) - size]
@@ -227,10 +270,9 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
         np.add.at(change, hits + 1, -1)
         return np.flatnonzero(np.cumsum(change)[: len(hashed) - window + 1] > 0)
 
-    hits = cut_lineage(_meetings(named.withColumn("mark", F.lit(None)), lambda *_: None, size, size, 1, buckets, window).groupBy("id").agg(F.collect_list("hits").alias("mark")))
+    hits = cut_lineage(_meetings(named.withColumn("mark", F.lit(None).cast("binary")), lambda *_: None, size, size, 1, buckets, window).withColumnRenamed("hits", "mark"))
     near = lookup_join(named, hits, "id", "inner")
-    confirmed = _meetings(near, around, window, 1, 2, buckets, window)
-    return confirmed.groupBy("id").agg(F.collect_list("hits").alias("starts"))
+    return _meetings(near, around, window, 1, 2, buckets, window).withColumnRenamed("hits", "starts")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
