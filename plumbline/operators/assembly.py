@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import text
 from ..plans.ordered import exact_percentiles
+from ..session import sized
 
 CHUNK_PAGES = 64
 
@@ -278,7 +279,7 @@ def attach_by_key(
     if policy != "fan_out":
         right = (dedupe_keep_last if policy == "last" else dedupe_keep_first)(right, keys, order)
     right = right.select(*keys, *[F.col(c).alias(f"__n_{c}") for c in columns])
-    out = df.join(right, list(keys), "left")
+    out = df.join(right if policy == "fan_out" else sized(right), list(keys), "left")
     for c in columns:
         if c in df.columns:
             filled = df.agg(F.count(c).alias("n")).scalar()
@@ -335,7 +336,7 @@ def attach_year_covariates(
             for c in columns
         ],
     )
-    return df.join(filled, df[year].cast("int") == filled["__year"], "left").drop("__year")
+    return df.join(sized(filled), F.col(year).cast("int") == F.col("__year"), "left").drop("__year")
 
 
 # --------------------------------------------------------------------------- splits

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import extract_agency, strip
 from ..plans.ordered import scalar_medians
+from ..session import sized
 
 
 def _floor0(name: str) -> Column:
@@ -110,7 +111,7 @@ def price_escalation(
     )
     uses_fx = F.upper(F.trim("sector")).isin(*fx_sectors)
     joined = df.withColumn("__ref", ref.scalar()).join(
-        index, F.col("approval_year").cast("int") == F.col("__year"), "left"
+        sized(index), F.col("approval_year").cast("int") == F.col("__year"), "left"
     )
     at = F.when(uses_fx, F.col("__fx")).otherwise(F.col("__works"))
     ref_at = F.when(uses_fx, F.col("__ref.fx")).otherwise(F.col("__ref.works"))
@@ -149,11 +150,11 @@ def oof_target_rate(
     y = F.col(target).cast("double")
     cells = df.filter(y.isNotNull()).groupBy(group, fold).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
     per_fold = cells.groupBy(fold).agg(F.sum("s").alias("fs"), F.sum("n").alias("fn"))
-    everything = Window.partitionBy(F.lit(1))
-    overall = per_fold.select(
-        F.col(fold).alias("__of"),
-        ((F.sum("fs").over(everything) - F.col("fs")) / F.nullif(F.sum("fn").over(everything) - F.col("fn"), F.lit(0))).alias("__overall"),
-    )
+    # the folds' means are one small map, taken once, so the rows are joined a single time
+    folds = F.collect_list(F.struct(F.col(fold).alias("f"), "fs", "fn"))
+    sums = per_fold.agg(folds.alias("e"), F.sum("fs").alias("ts"), F.sum("fn").alias("tn"))
+    known = F.filter("e", lambda x: x.f.isNotNull() & (F.col("tn") > x.fn))
+    overall = sums.select(F.map_from_entries(F.transform(known, lambda x: F.struct(x.f, (F.col("ts") - x.fs) / (F.col("tn") - x.fn)))))
     known_group = cells.filter(F.col(group).isNotNull())
     totals = known_group.groupBy(group).agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     others = known_group.join(totals, group).select(
@@ -162,14 +163,14 @@ def oof_target_rate(
         (F.col("ts") - F.col("s")).alias("__s"),
         (F.col("tn") - F.col("n")).alias("__n"),
     )
-    joined = df.join(others, (df[group] == others["__g"]) & (df[fold] == others["__f"]), "left").join(
-        overall, F.col(fold) == F.col("__of"), "left"
+    joined = df.join(sized(others), (F.col(group) == F.col("__g")) & (F.col(fold) == F.col("__f")), "left").withColumn(
+        "__overall", F.try_element_at(overall.scalar(), F.col(fold))
     )
     weight = F.coalesce("__n", F.lit(0)) + F.lit(float(m))
     rate = F.when(
         (F.coalesce("__n", F.lit(0)) > 0) & (weight > 0), (F.col("__s") + F.lit(float(m)) * F.col("__overall")) / weight
     ).otherwise(F.col("__overall"))
-    return joined.withColumn(output, rate).drop("__g", "__f", "__s", "__n", "__of", "__overall")
+    return joined.withColumn(output, rate).drop("__g", "__f", "__s", "__n", "__overall")
 
 
 def oof_mean(df: DataFrame, group: str, target: str, fold: str = "fold", output: str | None = None) -> DataFrame:
@@ -192,7 +193,7 @@ def apply_rate(df: DataFrame, rates: DataFrame, group: str, output: str) -> Data
     base = rates.agg(F.max("overall").alias("o")).scalar()
     lookup = rates.select(F.col(group).alias("__g"), F.col("rate").alias("__rate"))
     return (
-        df.join(lookup, df[group] == lookup["__g"], "left")
+        df.join(sized(lookup), F.col(group) == F.col("__g"), "left")
         .withColumn("__base", base)
         .withColumn(output, F.coalesce("__rate", "__base"))
         .drop("__g", "__rate", "__base")
@@ -425,17 +426,17 @@ def instruction_dataset(
     ``per_source`` is the documented size of the sample (half of it for the last two sources).
     """
 
-    def sized(df: DataFrame, n: int | None) -> DataFrame:
+    def limited(df: DataFrame, n: int | None) -> DataFrame:
         return df if n is None else df.orderBy(*order).limit(n)
 
     half = None if per_source is None else per_source // 2
-    delayed = risk_scores_alt(sized(time.filter("delayed = 1"), per_source)).withColumn("kind", F.lit("delayed"))
+    delayed = risk_scores_alt(limited(time.filter("delayed = 1"), per_source)).withColumn("kind", F.lit("delayed"))
     on_time = (
-        risk_scores_alt(sized(time.filter("delayed = 0"), half))
+        risk_scores_alt(limited(time.filter("delayed = 0"), half))
         .withColumns({"delay_risk": F.lit(0.05), "cost_overrun_pct": F.lit(0.0)})
         .withColumn("kind", F.lit("on_time"))
     )
-    costs = risk_scores_alt(sized(cost.drop("tor_months"), half)).withColumn("kind", F.lit("cost"))
+    costs = risk_scores_alt(limited(cost.drop("tor_months"), half)).withColumn("kind", F.lit("cost"))
     tall = None
     for part in (delayed, costs, on_time):
         part = part.select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import norm_key, nullif_blank, strip
+from ..session import sized
 
 MAX_PLACES = 10_000
 HOT_TOKENS = 12
@@ -227,7 +228,7 @@ def propagate_geo(
     out = df.withColumns({"__k_full": full, "__k_base": base})
     for kind in ("full", "base"):
         lookup = rows.groupBy(F.col(kind).alias(f"__{kind}")).agg(F.min_by("geo", "rank").alias(f"__geo_{kind}"))
-        out = out.join(lookup, F.col(f"__k_{kind}") == F.col(f"__{kind}"), "left")
+        out = out.join(sized(lookup), F.col(f"__k_{kind}") == F.col(f"__{kind}"), "left")
     found = F.coalesce(F.col(f"__geo_{prefer[0]}"), F.col(f"__geo_{prefer[1]}"))
     missing = F.col("geo_latitude").isNull()
     return out.withColumns(
@@ -330,7 +331,7 @@ def impute_group_mean(
     )
     overall = cells.agg(F.struct((F.sum("sy") / F.sum("n")).alias("lat"), (F.sum("sx") / F.sum("n")).alias("lon")).alias("o"))
     means = cells.select(F.col(group).alias("__g"), (F.col("sy") / F.col("n")).alias("__lat"), (F.col("sx") / F.col("n")).alias("__lon"))
-    joined = df.join(means, df[group] == F.col("__g"), "left").withColumn("__o", overall.scalar())
+    joined = df.join(sized(means), F.col(group) == F.col("__g"), "left").withColumn("__o", overall.scalar())
     return joined.withColumns(
         {
             "geo_latitude": F.when(both, lat).otherwise(F.coalesce("__lat", "__o.lat", F.lit(fallback[0]))),

@@ -41,6 +41,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def sized(lookup: DataFrame) -> DataFrame:
+    """A lookup table written, so that the planner knows its size.
+
+    An aggregate has no usable estimate, so both sides of a join with one are shuffled before its size is seen. A written one
+    below the broadcast threshold is sent to the rows at once; a larger one is joined by a shuffle.
+    """
+    return cut_lineage(lookup)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so lost executors cost no recomputation."""
     spark = df.sparkSession
