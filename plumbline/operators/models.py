@@ -370,6 +370,26 @@ def score_batch(df: DataFrame, est: Estimator, prices: DataFrame | None = None,
     ).drop("estimate")
 
 
+def score_projects(df: DataFrame, time_est: Estimator, cost_est: Estimator, prices: DataFrame | None = None,
+                   reference_year: int = fv.PRICE_REFERENCE_YEAR, fx_sectors: Sequence[str] = fv.FX_SECTORS) -> DataFrame:
+    """Both estimates of each row: the delay probability of a dated row is the cost model's ``schedule_risk``.
+
+    The input columns are carried as one value past the time model, so that the cost model sees what came in. Stateless, for
+    streams too.
+    """
+    carried = df.drop("schedule_risk")
+    timed = score_batch(carried.withColumn("__row", F.struct(*carried.columns)), time_est)
+    rows = timed.select(
+        "__row.*",
+        F.col("schedule_used").alias("time_schedule_used"),
+        "delay_prob",
+        "delay_months_estimate",
+        F.col("mae_bound").alias("delay_mae_bound"),
+        F.when(F.col("schedule_used"), F.col("delay_prob")).alias("schedule_risk"),
+    )
+    return score_batch(rows, cost_est, prices, reference_year, fx_sectors)
+
+
 # --------------------------------------------------------------------------- schedule risk
 def schedule_risk(
     cost: DataFrame, time: DataFrame, inputs: Sequence[str] = TIME_FEATURES, k: int = 5, spec: Learners = Learners(),

@@ -407,17 +407,18 @@ def portfolio_overview(view: DataFrame) -> DataFrame:
 
 
 def keyword_overlap_search(view: DataFrame, query: str, order: str = "project_id") -> DataFrame:
-    """The row whose name contains most query words; the earliest row on ties."""
+    """The project that a question is about: one whose whole name (over six characters) stands in it, else the one whose
+    name contains most query words; the earliest row on ties."""
     import re
 
     words = sorted(set(re.findall(r"[a-z0-9]{4,}", query.lower())) - set(fv.QUERY_STOP))
-    if not words:
-        return view.limit(0).select(order, "project_name", F.lit(0).alias("hits"))
+    name = F.lower("project_name")
+    named = F.coalesce((F.length("project_name") > 6) & F.lit(query.lower()).contains(name), F.lit(False))
     hits = sum((_has("project_name", w).cast("int") for w in words), F.lit(0))
     return (
-        view.withColumn("hits", hits)
-        .filter("hits > 0")
-        .orderBy(F.col("hits").desc(), order)
+        view.withColumns({"hits": hits, "__named": named})
+        .filter("__named OR hits > 0")
+        .orderBy(F.col("__named").desc(), F.when(~F.col("__named"), -F.col("hits")), order)
         .limit(1)
         .select(order, "project_name", "hits")
     )

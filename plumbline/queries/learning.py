@@ -89,6 +89,25 @@ def _(spark, d):
     return scored.select("project_id", "line", "project_name", "schedule_used", "p", "ratio", "overrun_cr", "exposure_cr", "anticipated_estimate_cr", "mae_bound")
 
 
+def logistic_estimator(rows, task, label, inputs, groups, medians):
+    """One schedule-aware logistic model with its serving parameters, without selection."""
+    raw = m.raw_features(rows)
+    params = m.fit_params(raw, label, medians, groups)
+    frame = m.apply_params(raw, params)
+    return m.Estimator(task, params, {}, {"aware": inputs}, 0.0, {"aware": m.fit_logistic(frame, inputs, label)})
+
+
+@query("score_projects")
+def _(spark, d):
+    time_est = logistic_estimator(time_rows(spark, d), "time", "delayed", INPUTS, ("sector", "agency"), INPUTS)
+    cost = m.cut_lineage(dated_cost(spark, d))
+    dated = m.cut_lineage(m.score_batch(cost, time_est).select(*cost.columns, F.col("delay_prob").alias("schedule_risk")))
+    inputs = ["log_original_cost", "expenditure_ratio", "schedule_risk", "sector_rate"]
+    cost_est = logistic_estimator(dated, "cost", "overrun_flag", inputs, ("sector",), inputs[:3])
+    scored = m.score_projects(cost, time_est, cost_est)
+    return scored.select("project_id", "line", "time_schedule_used", "delay_prob", "schedule_risk", "p")
+
+
 @query("schedule_risk")
 def _(spark, d):
     risk = m.schedule_risk(dated_cost(spark, d), time_rows(spark, d), spec=LINEAR, select=False)

@@ -296,6 +296,17 @@ def _(spark, d):
     return op.keyword_overlap_search(view(spark, d), "What about the URGENT nation delay?")
 
 
+@query(
+    "full_name_search", "view",
+    """WITH h AS (SELECT project_id, 'Project ' || CAST(project_id AS VARCHAR) AS project_name FROM view_t)
+       SELECT *, CAST(contains(project_name, '345') AS INTEGER) * 0 AS hits FROM h
+       WHERE contains('tell me about project 345 of the portfolio', lower(project_name)) AND length(project_name) > 6 ORDER BY project_id LIMIT 1""",
+)
+def _(spark, d):
+    named = view(spark, d).withColumn("project_name", F.concat(F.lit("Project "), F.col("project_id").cast("string")))
+    return op.keyword_overlap_search(named, "Tell me about Project 345 of the portfolio")
+
+
 SCORED_SQL = """
 scored AS (SELECT *, least(1.0::DOUBLE, expenditure_cum_cr / (original_cost_cr + expenditure_cum_cr)) AS p, 0.3::DOUBLE AS ratio FROM cost_t),
 clean AS (SELECT *, p * greatest(0.0, ratio * original_cost_cr) AS e FROM scored WHERE overrun_flag = 0)"""
