@@ -2,7 +2,8 @@
 
 A public vocabulary is a yardstick for text: junk needs more tokens for its characters, falls back to bytes more often or
 repeats its tokens more (or less) than the other texts of its language. Each measure has a band per language (per script where a language is
-missing), set from the quartiles of all documents that pass the plain rules; a document outside of a band is rejected.
+missing), set from the quartiles of all documents that pass the plain rules; a document outside of a band is rejected. Entropy falls as
+a text grows, so its band follows a line over the logarithm of the number of tokens.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 import public_tokenizers
 import regex
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_map, cut_lineage, lookup_join, query, table
@@ -22,6 +23,8 @@ SYMBOLS = "#*$%&|<>"
 _SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Katakana", "Hangul", "Thai")
 _LETTERS = [(name, regex.compile(rf"\p{{Script={name}}}")) for name in _SCRIPTS]
 MEASURES = ("chars_per_token", "byte_share", "entropy")
+#: Quartile ranges count as so much at least.
+FLOOR = {"chars_per_token": 0.05, "byte_share": 0.005, "entropy": 0.01}
 
 
 @lru_cache(maxsize=2)
@@ -99,23 +102,41 @@ def measure(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return batch_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), lang.alias("lang")), block, schema, 64)
 
 
-def quality(docs: DataFrame, path: str, widths: tuple[float, float, float] = (4.5, 8.0, 6.0), least: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+def quality(
+    docs: DataFrame,
+    path: str,
+    widths: tuple[tuple[float | None, float], ...] = ((4.5, 4.5), (None, 8.0), (3.0, 6.0)),
+    least: int = 50,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str | None = "lang",
+) -> DataFrame:
     """``measure`` with base_failed, kept and, for each measure, whether it lies in its band.
 
-    base_failed: fewer than 50 words, or over half of them in repeated windows of three. A band reaches ``widths`` quartile
-    ranges (at least a hundredth of the measure's scale each) beyond the quartiles of documents that did not fail; a language of fewer than ``least``
+    base_failed: fewer than 50 words, or over half of them in repeated windows of three. A band reaches ``widths`` (below, above) quartile
+    ranges (at least FLOOR each) beyond the quartiles of documents that did not fail; None is no end, since no byte token is the best share.
+    Quartiles of entropy are those of its distance from the language's line over log2 of the number of tokens (of the vocabulary, if that is
+    less); where quartiles lie far apart, or a text is short, an end may lie outside of what is possible. A language of fewer than ``least``
     such documents has no band and rejects nothing. A NULL or short text fails.
     """
     rows = cut_lineage(measure(docs, path, id_col, text_col, lang_col).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
-    width = dict(zip(MEASURES, widths, strict=True))
-    floor = {"chars_per_token": 0.05, "byte_share": 0.01, "entropy": 0.01}
-    parts = [F.percentile_approx(m, [0.25, 0.75], 2000).alias(m) for m in MEASURES]
-    spans = rows.filter("NOT base_failed").groupBy("band").agg(F.count(F.lit(1)).alias("n"), *parts).filter(F.col("n") >= least)
-    limits = [(F.col(m)[0] - width[m] * F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(floor[m]))).alias(f"{m}_low") for m in MEASURES]
-    limits += [(F.col(m)[1] + width[m] * F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(floor[m]))).alias(f"{m}_high") for m in MEASURES]
-    bands = cut_lineage(spans.select("band", *limits))
-    joined = lookup_join(rows, bands, "band")
-    inside = {m: F.coalesce(F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")), F.lit(True)) for m in MEASURES}
+    length = F.log2(F.greatest(F.lit(1), F.least(F.col("n_tokens"), F.lit(len(_pieces(path)[1])))))
+    counted = rows.filter("NOT base_failed").groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("entropy", length).alias("slope")).filter(F.col("n") >= least)
+    slopes = cut_lineage(counted.select("band", F.round(F.coalesce("slope", F.lit(0.0)), 6).alias("slope")))  # rounded: the order of sums is not fixed
+    sloped = lookup_join(rows, slopes, "band").withColumn("bend", F.col("slope") * length)
+    value = {m: F.col(m) - F.col("bend") if m == "entropy" else F.col(m) for m in MEASURES}
+    spans = sloped.filter("NOT base_failed AND slope IS NOT NULL").groupBy("band").agg(*[F.percentile_approx(value[m], [0.25, 0.75], 2000).alias(m) for m in MEASURES])
+    bands = cut_lineage(spans.select("band", *[F.col(m)[i].alias(f"{m}_{q}") for m in MEASURES for i, q in enumerate(("first", "last"))]))
+    joined = lookup_join(sloped, bands, "band")
+
+    def within(m: str, below: float | None, above: float) -> Column:
+        bend = F.col("bend") if m == "entropy" else F.lit(0.0)
+        first, last = F.col(f"{m}_first"), F.col(f"{m}_last")
+        span = F.greatest(last - first, F.lit(FLOOR[m]))
+        low = F.lit(0.0) if below is None else first + bend - below * span
+        return F.coalesce(F.col(m).between(low, last + bend + above * span), F.lit(True))
+
+    inside = {m: within(m, *w) for m, w in zip(MEASURES, widths, strict=True)}
     verdict = ~F.col("base_failed")
     for m in MEASURES:
         verdict = verdict & inside[m]

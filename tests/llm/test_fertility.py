@@ -58,3 +58,29 @@ def test_measures():
     assert n > 0 and per > 2 and share == 0 and 0 < entropy <= 1
     assert m.fertility(["⠁⠂⠃"], PATH)[0][2] > 0.5 and m.fertility([""], PATH)[0] == (0, 0.0, 0.0, 0.0)
     assert m.script("Привет") == "Cyrillic" and m.script("12") == "none" and m.script(None) == "none"
+
+
+def test_each_measure_rejects_what_only_it_can_tell(spark):
+    rng = random.Random(6)
+    own, _ = m._pieces(PATH)
+    names = [own.id_to_piece(i) for i in range(own.get_piece_size())]
+    plain = [p[1:] for p in names if p[0] == "▁" and p[1:].isascii() and p[1:].isalpha() and p[1:].islower()]
+    words = [w for w in plain if 4 <= len(w) <= 7][:3000]
+    short, fours, fives = [w for w in plain if len(w) in (3, 4)], [w for w in words if len(w) == 4], [w for w in words if len(w) == 5]
+    weights = [(k + 3) ** -1.1 for k in range(len(words))]
+    drawn = lambda n: rng.choices(words, weights, k=n)
+    bytes_in = [w for w in drawn(600) if len(w) > 4][:270]  # longer words make up for the short tokens
+    bytes_in[::35] = ["⠁"] * len(bytes_in[::35])
+    planted = {
+        "chars_per_token": [" ".join(rng.choices(short, weights[: len(short)], k=400))],
+        "byte_share": [" ".join(bytes_in)],
+        "entropy": [" ".join(rng.choices(fours[:10] + fives[:15], k=200)), " ".join(rng.sample(fours[:160] + fives[:240], 400))],
+    }
+    rows = [(i, " ".join(drawn(rng.choice([60, 150, 400, 1500]))), "en") for i in range(400)]
+    cases = {1000 + i: (name, text) for i, (name, text) in enumerate((n, t) for n, texts in planted.items() for t in texts)}
+    docs = spark.createDataFrame(rows + [(i, text, "en") for i, (_, text) in cases.items()], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in m.quality(docs, PATH).collect()}
+    assert sum(not found[i].kept for i in range(400)) <= 8
+    for i, (name, _) in cases.items():
+        assert not found[i].base_failed and not found[i].kept, name
+        assert [k for k in m.MEASURES if not found[i][f"{k}_ok"]] == [name]
