@@ -66,14 +66,35 @@ def batch_map(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str,
     return df.mapInArrow(run, schema)
 
 
+_FIXED = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"}
+
+
+def _bytes(name: str, kind: str) -> Column | None:
+    """Bytes of a column's value; None for a type that is not sized here."""
+    c = F.col(f"`{name}`")
+    if kind in _FIXED:
+        return F.lit(8).cast("long")
+    if kind in ("binary", "string"):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    item = kind.removeprefix("array<").removesuffix(">")
+    if item == kind or item not in _FIXED | {"binary", "string"}:
+        return None
+    n = F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") * 8
+    if item in _FIXED:
+        return n
+    return n + F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda sum_, x: sum_ + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """Join with a table written before (so that counting it is cheap): broadcast if its counted rows and size
-    in memory stay under fixed bounds, by a shuffle otherwise. The result is the same either way."""
-    lists = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.octet_length(x))
-    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("binary", "string") else F.coalesce(lists(c), F.lit(0)) if t == "array<binary>" else F.lit(8) for c, t in right.dtypes]
+    in memory, arrays by their elements, stay under fixed bounds, by a shuffle otherwise and for columns that cannot be
+    sized. The result is the same either way."""
+    sizes = [_bytes(c, t) for c, t in right.dtypes]
+    if any(s is None for s in sizes):
+        return left.join(right, on, how)
     total = sizes[0]
     for s in sizes[1:]:
         total = total + s
-    n, size = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(total.cast("long")), F.lit(0))).first()
+    n, size = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
     small = n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     return left.join(F.broadcast(right) if small else right, on, how)
