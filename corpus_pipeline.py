@@ -14,14 +14,12 @@ from plumbline.llm import op02_toxicity, op04_lines, op05_bpe, op07_mix, op08_mi
 from plumbline.llm.common import cut_lineage, lookup_join, table, word_count
 
 ORACLE_SQL = None
-#: Documents go from this score on; a little above the classifier's own threshold, since a clean document lost is a loss.
-REJECT_FROM = 0.4
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of ``sf_dir``, does not reject."""
+    """Documents that the classifier, fitted on the labels of ``sf_dir``, does not reject at its own threshold."""
     model = op02_toxicity.learn(docs, op02_toxicity.training_labels(table(spark, sf_dir, "labels")))
-    return op02_toxicity.reject(docs, model, REJECT_FROM)
+    return op02_toxicity.reject(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

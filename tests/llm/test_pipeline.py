@@ -4,7 +4,7 @@ from collections import Counter
 import public_tokenizers
 
 import corpus_pipeline as pipeline
-from plumbline.llm import op05_bpe
+from plumbline.llm import op02_toxicity, op05_bpe
 from tests.llm import test_lines, test_minhash, test_mix, test_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,3 +75,13 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     spark.createDataFrame([], SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
     assert pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_toxicity_stage_rejects_what_the_operator_predicts(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.createDataFrame([(1, "some text", "en", "s", 9)], SCHEMA)
+    for score in (0.25, 0.35, 0.45):
+        model = op02_toxicity.ToxicityModel(b"", b"", score)  # without weights every text has this score
+        monkeypatch.setattr(op02_toxicity, "learn", lambda *_, own=model: own)
+        assert pipeline.toxicity(spark, docs, folder).count() == 1 - op02_toxicity.score(docs, model).first().predicted
