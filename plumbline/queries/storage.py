@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import assembly
 from ..session import shared_folder
 from ..sources import driver_tables as dt
 from ..sources import sinks, tables
@@ -132,3 +133,22 @@ def _(spark, d):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     reports.stream_upsert(stream, table, ["user_id", "event_type"], ["ts", "event_id"], checkpoint).awaitTermination()
     return sinks.read_table(spark, table).select("user_id", "event_type", "event_id", "value")
+
+
+@query(
+    "stream_upsert_census", "time",
+    """SELECT CAST(project_id AS VARCHAR) AS project_id, sector, coalesce(delayed, 0) AS delayed,
+         CASE WHEN coalesce(delayed, 0) = 0 OR tor_months IS NULL THEN 0 ELSE least(tor_months, 240) END AS tor_months, CAST(planned_doc_year - approval_year AS DOUBLE) AS planned_duration_years
+       FROM time_t""",
+)
+def _(spark, d):
+    """The TIME table kept by a stream of yearly reports, labels aged as they arrive; each project arrives twice, the last row counts."""
+    source, table = scratch(spark, "reports"), scratch(spark, "time")
+    t = dt.time_table(spark, d).select("project_id", "sector", "approval_year", "planned_doc_year", "tor_months", F.coalesce("delayed", F.lit(0)).alias("delayed"))
+    first = t.withColumns({"report": F.lit(0), "tor_months": F.lit(900.0), "delayed": F.lit(1)})
+    both = first.unionByName(t.withColumn("report", F.lit(1)))
+    both.write.partitionBy("report").parquet(source)
+    stream = spark.readStream.schema(both.schema).parquet(source)
+    age = lambda rows: assembly.census_age(rows.withColumn("planned_duration_years", F.lit(None).cast("double")))
+    reports.stream_upsert(stream, table, ["project_id"], ["report"], scratch(spark, "checkpoint"), prepare=age).awaitTermination()
+    return sinks.read_table(spark, table).select("project_id", "sector", "delayed", "tor_months", "planned_duration_years")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Folders of local sessions without that setting, which cannot be set on a running session.
+_OWN: dict[str, str] = {}
 
 
 def build_session(app: str = "plumbline", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -30,15 +33,14 @@ def build_session(app: str = "plumbline", master: str | None = None, shuffle_par
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only on a local master."""
+    """The shared folder named by the session; without one, a temporary folder on a local master only."""
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):  # "local-cluster" has executors of its own
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    folder = os.path.join(tempfile.gettempdir(), f"plumbline-{uuid.uuid4().hex}")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    return _OWN.setdefault(context.applicationId, os.path.join(tempfile.gettempdir(), f"plumbline-{uuid.uuid4().hex}"))
 
 
 def sized(lookup: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Hand-computed fixtures and properties."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 import uuid
 
 import pytest
@@ -281,24 +284,109 @@ def test_two_writers(spark, tmp_path):
     with pytest.raises(sinks.ConcurrentWrite):
         sinks.write_table(spark.range(7), table, base=base)
     assert sinks.read_table(spark, table).count() == 5
-    # a writer that was lost between creating the pointer and filling it blocks nobody
-    (tmp_path / "t" / "_pointer" / f"{base + 2:012d}.json").write_text("")
+    # a writer that was lost before its pointer got its name blocks nobody
+    (tmp_path / "t" / "_pointer" / "_lost").write_text('{"number": 3')
     assert sinks.read_table(spark, table).count() == 5
-    assert sinks.write_table(spark.range(9), table) == base + 3 and sinks.read_table(spark, table).count() == 9
+    assert sinks.write_table(spark.range(9), table) == base + 2 and sinks.read_table(spark, table).count() == 9
+
+
+def test_a_pointer_finished_late_does_not_take_the_number_of_another_writer(spark, tmp_path, monkeypatch):
+    table, claim, order = str(tmp_path / "t"), sinks._claim, []
+    base = sinks.write_table(spark.range(3), table)
+
+    def late(session, aside, pointer):
+        if not order:  # writer A has its pointer ready and has not named it; writer B starts and commits
+            order.append("A")
+            order.append(sinks.write_table(spark.range(5), table, ("b", 0), base=base))
+        return claim(session, aside, pointer)
+
+    monkeypatch.setattr(sinks, "_claim", late)
+    with pytest.raises(sinks.ConcurrentWrite):
+        sinks.write_table(spark.range(7), table, ("a", 0), base=base)
+    assert order == ["A", base + 1] and sinks.read_table(spark, table).count() == 5 and sinks.latest_version(spark, table)[2] == {"b": 0}
+    order.clear()  # without a base, A takes the number after B's and both batches are remembered
+    base += 1
+    assert sinks.write_table(spark.range(7), table, ("a", 0)) == base + 2
+    assert sinks.latest_version(spark, table)[2] == {"a": 0, "b": 0} and sinks.read_table(spark, table).count() == 7
+
+
+def files(folder):
+    return {p: p.stat().st_size for p in folder.rglob("*.parquet")}
+
+
+def test_an_upsert_writes_the_buckets_of_its_keys_only(spark, tmp_path):
+    table, schema = tmp_path / "t", "k string, o int, v int"
+    merge = reports.upsert_batch(str(table), ["k"], ["o"], "s", buckets=64)
+    merge(spark.createDataFrame([(f"k{i}", 1, i) for i in range(20_000)], schema), 0)
+    first = files(table)
+    merge(spark.createDataFrame([("k5", 2, -5), ("new", 1, 7)], schema), 1)
+    second = files(table)
+    added = sum(size for p, size in second.items() if p not in first)
+    assert 0 < added < sum(first.values()) / 16
+    merge(spark.createDataFrame([], schema), 2)
+    assert files(table) == second and sinks.latest_version(spark, str(table))[2] == {"s": 2}
+    rows = {r.k: r.v for r in sinks.read_table(spark, str(table)).collect()}
+    assert rows == {f"k{i}": i for i in range(20_000)} | {"k5": -5, "new": 7}
+    # a plain version is dealt into buckets again; duplicates of untouched keys and NULL keys stay
+    sinks.write_table(spark.createDataFrame([("a", 1, 1), ("a", 1, 2), (None, 1, 3)], schema), str(table))
+    merge(spark.createDataFrame([("", 5, 4), ("b", 1, 6)], schema), 3)
+    assert sorted((r.k, r.v) for r in sinks.read_table(spark, str(table)).collect()) == [("", 4), ("a", 1), ("a", 2), ("b", 6)]
+    empty = reports.upsert_batch(str(tmp_path / "e"), ["k"], ["o"], "s")
+    empty(spark.createDataFrame([], schema), 0)
+    assert sinks.read_table(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_two_streams_on_one_table_and_a_restart(spark, tmp_path):
+    table, schema = str(tmp_path / "t"), "k string, o int, v int"
+    for n in range(2):
+        (tmp_path / f"in{n}").mkdir()
+
+    def run(n):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / f"in{n}"))
+        return reports.stream_upsert(stream, table, ["k"], ["o"], str(tmp_path / f"c{n}"), buckets=8)
+
+    want = {}
+    for turn in range(2):  # the second turn restarts both streams from their checkpoints
+        for n in range(2):
+            for f in range(3):
+                rows = [{"k": f"{n}-{i}", "o": turn, "v": 100 * turn + 10 * f + i} for i in range(f, f + 4)]
+                spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / f"in{n}"))
+        both = [run(0), run(1)]
+        for q in both:
+            q.awaitTermination()
+        got = {r.k: r.v for r in sinks.read_table(spark, table).collect()}
+        assert set(got) == {f"{n}-{i}" for n in range(2) for i in range(6)}
+        assert all(v // 100 == turn for v in got.values())
+        want = got
+    assert len(want) == 12 and sum(sinks.latest_version(spark, table)[2].values()) == 10
+
+
+def test_a_session_without_a_shared_folder_runs(tmp_path):
+    code = (
+        "from plumbline.session import build_session, shared_folder\n"
+        "from plumbline.operators.features import oof_target_rate\n"
+        "s = build_session('bare', 'local[2]', 2)\n"
+        "df = s.createDataFrame([('a', 1, 0), ('a', 0, 1), ('b', 1, 1)], 'g string, y int, fold int')\n"
+        "assert s.sparkContext.getConf().get('spark.checkpoint.dir') is None\n"
+        "assert oof_target_rate(df, 'g', 'y').count() == 3 and shared_folder(s) == shared_folder(s)\n"
+    )
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYSPARK_SUBMIT_ARGS": "pyspark-shell"}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
 
 
 def test_a_batch_merges_anew_after_another_commit(spark, tmp_path, monkeypatch):
     table, schema = f"file://{tmp_path}/t", "k string, o int, v int"
     merge = reports.upsert_batch(table, ["k"], ["o"], "s")
     merge(spark.createDataFrame([("a", 1, 1)], schema), 0)
-    real, raced = reports.write_table, []
+    real, raced = reports.upsert_table, []
 
-    def write(df, table, batch, base):
+    def write(*args):
         if not raced:
             raced.append(sinks.write_table(spark.createDataFrame([("a", 1, 1), ("z", 1, 5)], schema), table))
-        return real(df, table, batch, base)
+        return real(*args)
 
-    monkeypatch.setattr(reports, "write_table", write)
+    monkeypatch.setattr(reports, "upsert_table", write)
     merge(spark.createDataFrame([("b", 1, 2)], schema), 1)
     assert sorted((r["k"], r["v"]) for r in sinks.read_table(spark, table).collect()) == [("a", 1), ("b", 2), ("z", 5)]
 
