@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import exact_percentiles, global_rank, rank_cut, running_totals
+from ..session import cut_lineage
 
 
 # --------------------------------------------------------------------------- folds
@@ -117,13 +118,12 @@ def threshold_metrics(df: DataFrame, score: str, label: str, threshold: float =
 
 def recall_at_top(df: DataFrame, score: str, label: str, tie_id: str, top: float = 0.2) -> DataFrame:
     """Share of all positives among the top ``top`` of rows, and its lift over chance."""
-    chosen = rank_cut(
-        df.select(score, label, tie_id), score, tie_id, lambda n: F.greatest(F.lit(1), F.bround(n * F.lit(float(top))).cast("long"))
-    )
-    positives = df.agg(F.count(F.when(F.col(label) == 1, F.lit(1))).alias("p")).scalar()
+    rows = cut_lineage(df.select(score, label, tie_id))
+    chosen = rank_cut(rows, score, tie_id, lambda n: F.greatest(F.lit(1), F.bround(n * F.lit(float(top))).cast("long")))
+    positives = rows.agg(F.count(F.when(F.col(label) == 1, F.lit(1)))).first()[0]
     return (
         chosen.agg(F.count(F.lit(1)).alias("k"), F.count(F.when(F.col(label) == 1, F.lit(1))).alias("captured"))
-        .withColumn("positives", positives)
+        .withColumn("positives", F.lit(positives))
         .withColumn("recall_at_top", F.coalesce(F.col("captured") / F.nullif(F.col("positives"), F.lit(0)), F.lit(0.0)))
         .withColumn("lift", F.col("recall_at_top") / top)
     )

@@ -146,13 +146,13 @@ def c_index(df: DataFrame, months: str = "months", event: str = "event", risk: s
     (level, node) a running total over risk counts the concordant pairs. That is
     log2(distinct times) copies of the collapsed counts and no join of rows with rows.
     """
-    cells = (
+    cells = cut_lineage(
         df.filter(F.col(months).isNotNull() & F.col(risk).isNotNull())
         .groupBy(F.col(months).cast("double").alias("t"), F.col(risk).cast("double").alias("r"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("e"))
     )
     times = cells.groupBy("t").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum(F.col("e").cast("double") * F.col("e")).alias("ee"))
-    ranked = running_totals(times.withColumn("one", F.lit(1)), "t", ["one", "n"])
+    ranked = cut_lineage(running_totals(times.withColumn("one", F.lit(1)), "t", ["one", "n"]))
     # usable pairs: events with anyone later, and event pairs of one time with different risks
     e = F.col("e").cast("double")
     pairs = ranked.agg(

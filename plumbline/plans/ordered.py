@@ -1,11 +1,10 @@
 """Order statistics without a single-task window.
 
-A window with no partition key moves every row into one task. The recipes here
-first collapse the input to one row per distinct value (partial aggregation on
-the map side), cut the value axis into buckets of about equal row count, run a
-local window inside each (group, bucket) and add the totals of earlier buckets.
-The number of buckets follows the number of values. Only the bucket totals, a
-few thousand rows per group at most, are ordered globally.
+A window with no partition key moves every row into one task. The recipes here first collapse the input to one row per distinct
+value (partial aggregation on the map side) and deal these by value into ranges of about equal size, which is written once: a range
+partitioning samples its bounds, so they must not be drawn again. A local window inside each range and the totals of earlier
+ranges give exact running sums; metrics probe them as plain filters and sums. Only the ranges' totals, a few for each task, are
+ordered globally.
 """
 
 from __future__ import annotations
@@ -15,56 +14,25 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most FINEST buckets of about BUCKET_VALUES values each.
-FINEST = 1024
-BUCKET_VALUES = 20_000
-_BUCKET = "__bucket"
+from ..session import cut_lineage
+
+_PART = "__part"
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that treats NULL keys as equal and keeps one copy of the keys; the bucket is never NULL."""
+    """Equi-join that treats NULL keys as equal and keeps one copy of the keys; the range is never NULL."""
     renamed = right.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys],
         *[c for c in right.columns if c not in keys],
     )
     cond = None
     for k in keys:
-        term = left[k] == renamed[f"__r_{k}"] if k == _BUCKET else left[k].eqNullSafe(renamed[f"__r_{k}"])
+        term = left[k] == renamed[f"__r_{k}"] if k == _PART else left[k].eqNullSafe(renamed[f"__r_{k}"])
         cond = term if cond is None else cond & term
     joined = left.join(renamed, cond, how)
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
-def with_bucket(df: DataFrame, order_col: str) -> DataFrame:
-    """Add the bucket number of ``order_col``: how many quantile bounds lie at or below it.
-
-    The bounds come from a scalar subquery over ``df`` (one array), so the plan
-    stays lazy; of FINEST bounds every so-manieth is kept, as many as the number
-    of rows asks for. ``df`` should hold distinct values: then no bucket can hold
-    much more than its share of the rows, whatever the distribution. The lookup
-    is two-step, coarse bounds and then those between two of them.
-    """
-    probs = F.expr("array(" + ", ".join(f"{i / FINEST}D" for i in range(1, FINEST)) + ")")
-    found = df.agg(
-        F.percentile_approx(F.col(order_col), probs, F.lit(10 * FINEST)).alias("b"),
-        F.least(F.lit(FINEST), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BUCKET_VALUES))).cast("int").alias("n"),
-    )
-    picked = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - 1)), lambda i: F.get("b", (i * FINEST / F.col("n")).cast("int") - 1)))
-    bounds = found.select("n", F.coalesce(picked, F.array().cast(f"array<{df.schema[order_col].dataType.simpleString()}>")).alias("b")).withColumn("step", F.ceil(F.sqrt("n")).cast("int"))
-    every = F.sequence(F.col("step"), F.greatest(F.col("step"), F.col("n") - 1), F.col("step"))
-    packed = bounds.select(F.struct("b", "step", F.when(F.col("n") > F.col("step"), F.transform(every, lambda i: F.get("b", i - 1))).otherwise(F.slice("b", 1, 0)).alias("c")))
-
-    def below(values: Column) -> Column:
-        return F.greatest(F.lit(0), F.size(F.filter(values, lambda b: b <= F.col(order_col))))
-
-    return (
-        df.withColumn("__q", packed.scalar())
-        .withColumn("__c", below(F.col("__q.c")))
-        .withColumn(_BUCKET, F.col("__c") * F.col("__q.step") + below(F.slice("__q.b", F.col("__c") * F.col("__q.step") + 1, F.greatest(F.lit(0), F.col("__q.step") - 1))))
-        .drop("__q", "__c")
-    )
-
-
 def running_totals(
     df: DataFrame,
     order_col: str,
@@ -74,36 +42,30 @@ def running_totals(
 ) -> DataFrame:
     """Exclusive running sums and group totals, distributed.
 
-    ``df`` holds one row per (``by``, ``order_col``). For every column c in
-    ``totals`` the result adds ``c_before`` (sum over earlier rows) and
-    ``c_total`` (sum over the group).
+    ``df`` holds one row per (``by``, ``order_col``). For every column c in ``totals`` the result adds ``c_before`` (sum over earlier
+    rows) and ``c_total`` (sum over the group). Runs one job that writes ``df`` by ranges; the result reads what was written.
     """
     by = list(by)
-    direction = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
-    # True for every row, since a hash is a 32-bit number, but it names every column: the three readers of ``df`` below
-    # then need the same columns, their plans are equal, and the shuffle under ``df`` runs once (ReusedExchange).
-    df = df.filter(F.hash(*df.columns) <= 2**31 - 1)
-    marked = with_bucket(df, order_col)
-
-    local = Window.partitionBy(*by, _BUCKET).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
-    scanned = marked.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"__l_{c}") for c in totals])
-
-    per_bucket = marked.groupBy(*by, _BUCKET).agg(*[F.sum(c).alias(f"__s_{c}") for c in totals])
-    group = Window.partitionBy(*by)
-    earlier = group.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
+    keys = [F.col(k) for k in [*by, order_col]]
+    placed = cut_lineage(df.repartitionByRange(*keys).withColumn(_PART, F.spark_partition_id()))
+    local = Window.partitionBy(_PART, *by).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    scanned = placed.select("*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"__l_{c}") for c in totals])
+    per_part = placed.groupBy(*by, _PART).agg(*[F.sum(c).alias(f"__s_{c}") for c in totals])
+    group = Window.partitionBy(*by)  # a row for each range that the group reaches into
+    earlier = group.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select(
         *by,
-        _BUCKET,
+        _PART,
         *[F.coalesce(F.sum(f"__s_{c}").over(earlier), F.lit(0)).alias(f"__o_{c}") for c in totals],
         *[F.sum(f"__s_{c}").over(group).alias(f"{c}_total") for c in totals],
     )
-    joined = null_safe_join(scanned, offsets, [*by, _BUCKET])
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"__l_{c}") + F.col(f"__o_{c}")).alias(f"{c}_before") for c in totals],
-        *[f"{c}_total" for c in totals],
-    )
+    joined = null_safe_join(scanned, offsets, [*by, _PART])
+
+    def before(c: str) -> Column:
+        lower = F.col(f"__l_{c}") + F.col(f"__o_{c}")
+        return F.col(f"{c}_total") - lower - F.coalesce(F.col(c), F.lit(0)) if descending else lower
+
+    return joined.select(*df.columns, *[before(c).alias(f"{c}_before") for c in totals], *[f"{c}_total" for c in totals])
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -164,25 +126,27 @@ def scalar_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
 
 
 def rank_cut(df: DataFrame, score: str, tie_id: str, k: Callable[[Column], Column]) -> DataFrame:
-    """Rows of the top k by ``score`` descending, ties by the unique ``tie_id`` ascending.
+    """Rows of the top k by ``score`` descending, ties by the unique ``tie_id`` ascending; NULL scores come last.
 
-    ``k`` maps the row count to the number wanted; it may be any share of the
-    table, so there is no sort-and-limit: the cut score is found on the score
-    distribution and compared in place, and only rows tied at the cut are ordered
-    by id, again bucket by bucket.
+    ``k`` maps the row count to the number wanted; it may be any share of the table, so there is no sort-and-limit: the cut is
+    found on the distribution of scores. Its score and the last id that is taken of the rows tied there are two values, known before the rows are filtered.
     """
-    rows = df.select(F.col(tie_id).alias("__id"), F.col(score).alias("__score"))
-    dist = rows.groupBy("__score").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut_lineage(df)
+    dist = rows.groupBy(F.col(score).alias("__score")).agg(F.count(F.lit(1)).alias("n"))
     placed = running_totals(dist, "__score", ["n"], descending=True)
     wanted = F.least(k(F.col("n_total")), F.col("n_total"))
-    cut = placed.filter((F.col("n_before") < wanted) & (F.col("n_before") + F.col("n") >= wanted))
-    marked = df.withColumn("__cut", cut.agg(F.max(F.struct(F.col("__score").alias("score"), (wanted - F.col("n_before")).alias("room")))).scalar())
-    above = (F.col(score) > F.col("__cut.score")) | (F.col("__cut.score").isNull() & F.col(score).isNotNull())
-    tied = marked.filter(F.col("__cut").isNotNull() & F.col(score).eqNullSafe(F.col("__cut.score")))
-    ordered = running_totals(tied.select(F.col(tie_id).alias("__id"), F.col("__cut.room").alias("__room"), F.lit(1).alias("n")), "__id", ["n"])
-    last = ordered.filter(F.col("n_before") < F.col("__room")).agg(F.max("__id")).scalar()
-    full = marked.filter(F.col("__cut").isNotNull() & above)
-    return full.drop("__cut").unionByName(tied.filter(F.col(tie_id) <= last).drop("__cut"))
+    holds = (F.col("n_before") < wanted) & (F.col("n_before") + F.col("n") >= wanted)
+    cut = placed.filter(holds).select("__score", "n", (wanted - F.col("n_before")).alias("room")).first()
+    if cut is None:
+        return rows.limit(0)
+    at = F.lit(cut["__score"]).cast(df.schema[score].dataType)
+    above = F.col(score).isNotNull() if cut["__score"] is None else F.col(score) > at
+    tied = F.col(score).eqNullSafe(at)
+    if cut["room"] < cut["n"]:
+        ids = rows.filter(tied).select(F.col(tie_id).alias("__id"), F.lit(1).alias("n"))
+        last = running_totals(ids, "__id", ["n"]).filter(F.col("n_before") == cut["room"] - 1).select("__id").first()
+        tied = tied & (F.col(tie_id) <= F.lit(last["__id"]))
+    return rows.filter(above | tied)
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], output: str) -> DataFrame:
@@ -190,8 +154,6 @@ def global_rank(df: DataFrame, order: Sequence[Column], output: str) -> DataFram
 
     Runs once and is written, since the bounds of a range partitioning may differ between runs.
     """
-    from ..session import cut_lineage
-
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
     placed = cut_lineage(sorted_.withColumn("__part", F.shiftright("__place", 33)))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part

@@ -405,14 +405,15 @@ def test_retraining_one_task_keeps_the_other_model(spark, tmp_path):
     assert found["time"].metrics["blind_auc"] == 0.7 and found["cost"].metrics["blind_auc"] == 0.6
 
 
-def test_running_totals_keep_every_row_and_follow_the_data(spark, monkeypatch):
+def test_running_totals_keep_every_row_and_follow_the_data(spark):
     from plumbline.plans import ordered
 
     rows = [(0.0, 0), (1.0, 3)]
     got = ordered.running_totals(spark.createDataFrame(rows, "v double, n long"), "v", ["n"]).collect()
     assert sorted((r.v, r.n_before, r.n_total) for r in got) == [(0.0, 0, 3), (1.0, 0, 3)]
-    for size in (1, 7, 100):
-        monkeypatch.setattr(ordered, "BUCKET_VALUES", size)
+    conf = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    for ranges in ("true", "false"):  # one range, or as many as there are shuffle partitions
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", ranges)
         df = spark.range(1, 501).selectExpr("CAST(id * id % 1009 AS DOUBLE) AS v", "id AS n").groupBy("v").agg({"n": "sum"}).toDF("v", "n")
         for down in (False, True):
             found = sorted(((r.v, r.n, r.n_before, r.n_total) for r in ordered.running_totals(df, "v", ["n"], descending=down).collect()), reverse=down)
@@ -420,6 +421,11 @@ def test_running_totals_keep_every_row_and_follow_the_data(spark, monkeypatch):
             for v, n, before, whole in found:
                 assert before == total and whole == 125_250
                 total += n
+        by = df.selectExpr("IF(v % 3 = 0, NULL, v % 3) AS g", "v", "n")
+        for g in (None, 1.0, 2.0):
+            found = sorted((r.v, r.n, r.n_before, r.n_total) for r in ordered.running_totals(by, "v", ["n"], ["g"]).collect() if r.g == g)
+            assert [f[2] for f in found] == [sum(f[1] for f in found[:i]) for i in range(len(found))] and {f[3] for f in found} == {sum(f[1] for f in found)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", conf)
 
 
 def test_rank_cut_with_ties_and_nulls(spark):
