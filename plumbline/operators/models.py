@@ -8,10 +8,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +20,7 @@ from ..plans.ordered import exact_percentiles
 from ..session import cut_lineage
 from ..sources.sinks import latest_version, read_table, write_metrics, write_table
 from . import assembly, evaluate, features, geo
+from .boosting import Boosted, BoostedModel
 
 COST_FEATURES = (
     "log_original_cost", "expenditure_ratio", "log_expenditure", "sector_rate", "geo_latitude", "geo_longitude",
@@ -74,7 +75,7 @@ def classifiers(n: int, spec: Learners = Learners()) -> dict:
         "forest": lambda: RandomForestClassifier(
             labelCol="__label", numTrees=spec.trees, maxDepth=8, minInstancesPerNode=8, featureSubsetStrategy="sqrt", seed=spec.seed
         ),
-        "boosted": lambda: GBTClassifier(labelCol="__label", maxIter=spec.rounds, maxDepth=3, stepSize=0.05, seed=spec.seed),
+        "boosted": lambda: Boosted("classify", rounds=spec.rounds),
     }
     return {k: table[k]() for k in spec.names}
 
@@ -85,32 +86,57 @@ def regressors(spec: Learners = Learners()) -> dict:
         "forest": lambda: RandomForestRegressor(
             labelCol="__label", numTrees=spec.trees, maxDepth=8, minInstancesPerNode=8, featureSubsetStrategy="all", seed=spec.seed
         ),
-        "boosted": lambda: GBTRegressor(labelCol="__label", maxIter=spec.rounds, maxDepth=3, stepSize=0.05, seed=spec.seed),
+        "boosted": lambda: Boosted("regress", rounds=spec.rounds),
     }
     return {k: table[k]() for k in spec.names}
 
 
-def fit_stage(df: DataFrame, inputs: Sequence[str], label: str, stage) -> PipelineModel:
+def fit_stage(df: DataFrame, inputs: Sequence[str], label: str, stage) -> PipelineModel | BoostedModel:
+    if isinstance(stage, Boosted):
+        return stage.fit(df, inputs, label)
     return Pipeline(stages=[_assembler(inputs), stage]).fit(df.withColumn("__label", F.col(label).cast("double")))
 
 
 ML_COLUMNS = ("features", "rawPrediction", "probability", "prediction")
 
 
-def predict_probability(model: PipelineModel, df: DataFrame, output: str = "p") -> DataFrame:
+def save_model(spark: SparkSession, model: PipelineModel | BoostedModel, path: str) -> None:
+    if isinstance(model, BoostedModel):
+        model.save(spark, f"{path}/boosted")
+    else:
+        model.write().overwrite().save(f"{path}/pipeline")
+
+
+def load_model(spark: SparkSession, path: str) -> PipelineModel | BoostedModel:
+    boosted = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/boosted")
+    if boosted.getFileSystem(spark._jsc.hadoopConfiguration()).exists(boosted):
+        return BoostedModel.load(spark, f"{path}/boosted")
+    return PipelineModel.load(f"{path}/pipeline")
+
+
+def model_inputs(model: PipelineModel | BoostedModel) -> list[str]:
+    return list(model.inputs if isinstance(model, BoostedModel) else model.stages[0].getInputCols())
+
+
+def predict_probability(model: PipelineModel | BoostedModel, df: DataFrame, output: str = "p") -> DataFrame:
+    if isinstance(model, BoostedModel):
+        return model.predict(df, output)
     return model.transform(df).withColumn(output, vector_to_array("probability")[1]).drop(*ML_COLUMNS)
 
 
-def predict_value(model: PipelineModel, df: DataFrame, output: str = "ratio") -> DataFrame:
+def predict_value(model: PipelineModel | BoostedModel, df: DataFrame, output: str = "ratio") -> DataFrame:
+    if isinstance(model, BoostedModel):
+        return model.predict(df, output)
     return model.transform(df).withColumn(output, F.col("prediction")).drop(*ML_COLUMNS)
 
 
 # --------------------------------------------------------------------------- selection
 def cross_scores(df: DataFrame, inputs: Sequence[str], label: str, stage, fold: str = "fold", k: int = 5, kind: str = "p") -> DataFrame:
-    """Out-of-fold predictions of one learner: k fits, one union of the held-out rows."""
+    """Out-of-fold predictions of one learner: k fits (boosted ones in the same scans), one union of the held-out rows."""
     out = None
+    together = stage.fit_folds(df, inputs, label, fold, k, whole=False) if isinstance(stage, Boosted) else None
     for i in range(k):
-        model = fit_stage(df.filter(F.col(fold) != i), inputs, label, stage)
+        model = together[i] if together else fit_stage(df.filter(F.col(fold) != i), inputs, label, stage)
         held = df.filter(F.col(fold) == i)
         part = predict_probability(model, held, "score") if kind == "p" else predict_value(model, held, "score")
         out = part if out is None else out.unionByName(part)
@@ -487,8 +513,8 @@ def permutation_drop(model: PipelineModel, df: DataFrame, label: str, key: str,
     The shuffle is a join of row hash order with itself shifted: values are
     dealt out by a salted hash within buckets of a few thousand rows.
     """
-    names = list(inputs or model.stages[0].getInputCols())
-    rows = df.select(key, label, *model.stages[0].getInputCols())
+    names = list(inputs or model_inputs(model))
+    rows = df.select(key, label, *model_inputs(model))
     base = evaluate.auc(predict_probability(model, rows), "p", label).select("auc").first()[0]
     out = None
     for c in names:
@@ -531,7 +557,7 @@ def save_version(spark: SparkSession, estimators: dict[str, Estimator], root: st
     for name, est in estimators.items():
         for kind, table in (("classify", est.classify), ("regress", est.regress)):
             for variant, model in table.items():
-                model.write().overwrite().save(f"{folder}/{name}/{kind}/{variant}")
+                save_model(spark, model, f"{folder}/{name}/{kind}/{variant}")
         state = {
             "task": est.task,
             "metrics": est.metrics,
@@ -574,7 +600,7 @@ def load_latest(spark: SparkSession, root: str) -> tuple[int, dict[str, Estimato
         est = Estimator(s["task"], params, s["metrics"], s["features"], s["shift"])
         for kind, table in (("classify", est.classify), ("regress", est.regress)):
             for variant in s[kind]:
-                table[variant] = PipelineModel.load(f"{row['folder']}/{row['name']}/{kind}/{variant}")
+                table[variant] = load_model(spark, f"{row['folder']}/{row['name']}/{kind}/{variant}")
         out[row["name"]] = est
     return version, out
 
