@@ -129,6 +129,22 @@ def recall_at_top(df: DataFrame, score: str, label: str, tie_id: str, top: float
     )
 
 
+def recall_at_top_by(df: DataFrame, score: str, label: str, tie_id: str, by: Sequence[str], top: float = 0.2) -> DataFrame:
+    """``recall_at_top`` of every group: ``by``, recall_at_top, lift. The cuts of all groups are found in the same scans."""
+    by = list(by)
+    rows = cut_lineage(df.select(*by, F.col(score).alias("__s"), (F.col(label) == 1).cast("long").alias("__y"), F.col(tie_id).alias("__id")))
+    dist = rows.groupBy(*by, "__s").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("pos"))
+    placed = running_totals(dist, "__s", ["n", "pos"], by, descending=True)
+    wanted = F.greatest(F.lit(1), F.bround(F.col("n_total") * F.lit(float(top))).cast("long"))
+    at = placed.filter((F.col("n_before") < wanted) & (F.col("n_before") + F.col("n") >= wanted))
+    cut = cut_lineage(at.select(*by, "__s", (wanted - F.col("n_before")).alias("room"), F.col("pos_before").alias("above"), F.col("pos_total").alias("positives")))
+    tied = rows.join(cut.select(*by, "__s", "room"), [*by, "__s"])
+    ordered = running_totals(tied.select(*by, "__id", "room", "__y", F.lit(1).alias("one")), "__id", ["one"], by)
+    inside = ordered.filter("one_before < room").groupBy(*by).agg(F.sum("__y").alias("taken"))
+    recall = F.coalesce((F.col("above") + F.coalesce("taken", F.lit(0))) / F.nullif(F.col("positives"), F.lit(0)), F.lit(0.0))
+    return cut.join(inside, by, "left").select(*by, recall.alias("recall_at_top"), (recall / top).alias("lift"))
+
+
 def auc_by_segment(df: DataFrame, score: str, label: str, segment: str, largest: int = 4, least: int = 10) -> DataFrame:
     """AUC within the largest segments that have both classes and at least ``least`` rows."""
     sizes = df.groupBy(segment).agg(F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,8 @@
-"""Experiments: temporal and external holdouts, ablation, A/B. Driver loops over configurations, Spark jobs inside.
+"""Experiments: temporal and external holdouts, ablation, A/B.
 
-Every experiment returns metric rows (experiment, cutoff, task, metric, value).
+Linear and logistic models of all cutoffs, modes, folds and feature sets are fitted and measured in the same scans, over rows that carry
+the model they belong to; other learners go through a driver loop over configurations. Every experiment returns metric rows
+(experiment, cutoff, task, metric, value).
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..session import cut_lineage
+from ..plans.ordered import exact_percentiles
+from ..session import cut_lineage, sized
 from ..sources.sinks import METRICS_SCHEMA
-from . import assembly, evaluate, features, models
+from . import assembly, evaluate, features, linear, models
 
 MIN_TRAIN, MIN_TEST = 200, 30
 MIN_TRAIN_EXTERNAL = 100
@@ -130,6 +133,113 @@ def evaluate_split(
     return found
 
 
+# --------------------------------------------------------------------------- all splits in the same scans
+def _columns(df: DataFrame, task: Task, extra: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Raw features and labels of all rows, written once, with a row id that settles equal scores."""
+    rows = models.raw_features(df)
+    names = dict.fromkeys([*task.inputs, *extra, *task.rate_groups, task.label, task.target, "approval_year", *keep])
+    return cut_lineage(rows.select(*names).withColumn("__rid", F.monotonically_increasing_id()))
+
+
+def _encoded(train: DataFrame, test: DataFrame, task: Task, by: Sequence[str], extra: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Frames of all splits: ``train`` and ``test`` have a row per row and split (``by``), train rows an encoding weight ``__w`` too.
+
+    Medians and smoothed rates are those of the split's own training rows.
+    """
+    by, inputs = list(by), [*task.inputs, *extra]
+    places = {"geo_latitude": fv.DEFAULT_LAT_LON[0], "geo_longitude": fv.DEFAULT_LAT_LON[1]}
+    filled = [c for c in inputs if c not in places]
+    found = exact_percentiles(train, filled, by=by)
+    medians = sized(found.groupBy(*by).agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"__m_{c}") for c in filled]))
+    y = F.col(task.label).cast("double")
+    tables = []
+    for g in task.rate_groups:
+        cells = train.groupBy(*by, F.coalesce(F.col(g), F.lit("")).alias(g)).agg(F.sum(F.col("__w") * y).alias("wy"), F.sum("__w").alias("w"), F.avg(y).alias("plain"))
+        total = cells.groupBy(*by).agg((F.sum("wy") / F.sum("w")).alias(f"__o_{g}"))
+        mean = F.when(F.col("w") > 1e-12, F.col("wy") / F.col("w")).otherwise(F.col("plain"))
+        rates = cells.join(total, by).select(*by, g, ((mean * F.col("w") + fv.SMOOTHING_M * F.col(f"__o_{g}")) / (F.col("w") + fv.SMOOTHING_M)).alias(f"__r_{g}"))
+        tables.append((g, sized(rates), sized(total)))
+
+    def apply(df: DataFrame) -> DataFrame:
+        df = df.join(medians, by, "left")
+        for g, rates, total in tables:
+            named = df.withColumn(g, F.coalesce(F.col(g), F.lit("")))
+            df = named.join(rates, [*by, g], "left").join(total, by, "left").withColumn(f"{g}_rate", F.coalesce(f"__r_{g}", f"__o_{g}"))
+        df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}") if c in filled else F.lit(None), F.lit(places.get(c, 0.0))) for c in inputs})
+        return cut_lineage(df.select(*by, *inputs, *[f"{g}_rate" for g in task.rate_groups], task.label, task.target, "__rid"))
+
+    return apply(train), apply(test), [*inputs, *[f"{g}_rate" for g in task.rate_groups]]
+
+
+def _linear_metrics(tr: DataFrame, te: DataFrame, task: Task, by: Sequence[str], inputs: Sequence[str], regress: bool = True) -> dict[tuple, dict[str, float | None]]:
+    """Metrics of a logistic and a linear model per split; the driver gets one row per split and metric table."""
+    by = list(by)
+    fits = linear.fit_logistic_models(tr, by, inputs, task.label)
+    if not fits:
+        return {}
+    scored = cut_lineage(linear.predict_models(te, by, fits, "p").select(*by, "p", task.label, "__rid"))
+    tables = [
+        evaluate.auc(scored, "p", task.label, by).select(*by, "auc", F.col("auc").alias("auc_linear")),
+        scored.groupBy(*by).agg(F.avg(task.label).alias("test_base_rate")),
+        evaluate.threshold_metrics(scored, "p", task.label, by=by),
+        evaluate.recall_at_top_by(scored, "p", task.label, "__rid", by),
+    ]
+    late = F.col(task.target).isNotNull() & ((F.col(task.label) == 1) if task.name == "time" else F.lit(True))
+    if regress:
+        n = tr.filter(late).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(task.target).alias("low")).filter(F.col("n") >= models.MIN_DELAYED_ROWS)
+        shift = F.lit(0.0) if task.name == "time" else F.greatest(F.lit(0.0), -F.col("low").cast("double")) + 1.0
+        shifts = cut_lineage(n.select(*by, shift.alias("__shift")))
+        capped = F.least(F.col(task.target).cast("double"), F.lit(fv.TOR_CAP_MONTHS)) if task.name == "time" else F.col(task.target)
+        reg = cut_lineage(tr.filter(late).join(F.broadcast(shifts), by).withColumn("__target", F.log1p(capped + F.col("__shift"))))  # a row per split
+        values = linear.fit_linear_models(reg, by, inputs, "__target")
+        if values:
+            naive = exact_percentiles(reg, [task.target], by=by).select(*by, F.col("value").alias("__median"))
+            back = linear.predict_models(te.filter(late), by, values, "pred").join(F.broadcast(shifts), by).join(naive, by)
+            e, t = F.expm1("pred") - F.col("__shift") - F.col(task.target), F.col(task.target)
+            sums = back.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("sse"), F.var_pop(t).alias("var"), F.avg(F.abs(t - F.col("__median"))).alias("naive_mae"))
+            r2, gain = 1 - F.col("sse") / F.nullif(F.col("n") * F.col("var"), F.lit(0.0)), (1 - F.col("mae") / F.nullif(F.col("naive_mae"), F.lit(0.0))) * 100
+            tables.append(sums.select(*by, F.col("mae").alias("mae_linear"), "mae", r2.alias("r2"), "naive_mae", gain.alias("improvement_pct")))
+    out: dict[tuple, dict[str, float | None]] = {}
+    for t in tables:
+        for r in t.collect():
+            out.setdefault(tuple(r[k] for k in by), {}).update({c: r[c] for c in t.columns if c not in by})
+    return out
+
+
+def linear_holdouts(
+    train: DataFrame, test: DataFrame, task: Task, cutoffs: Sequence[int], modes: Sequence[str] = ("full",), extra: Sequence[str] = (),
+    least: tuple[int, int] = (MIN_TRAIN, MIN_TEST), width: int = 2,
+) -> dict[tuple[int, str], dict[str, float | None]]:
+    """Metrics per (cutoff, mode) of logistic and linear models, all splits in the same scans; sizes alone where a side is too small."""
+    if set(modes) - {"full", "decay", "rolling"}:
+        raise ValueError(f"unknown encoding mode among {modes}")
+    tr = _columns(train, task, extra)
+    te = tr if test is train else _columns(test, task, extra)
+    year, at = F.col("approval_year"), F.col("cutoff")
+    each = F.explode(F.array(*[F.lit(int(c)) for c in cutoffs])).alias("cutoff")
+    past = tr.select("*", each).filter(year <= at)
+    later = te.select("*", each).filter(year.between(at + 1, at + width))
+    sizes = {r["cutoff"]: (r["n"], r["recent"]) for r in past.groupBy("cutoff").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(year >= at - fv.ROLLING_WINDOW_YEARS, 1)).alias("recent")).collect()}
+    tests = {r["cutoff"]: r["count"] for r in later.groupBy("cutoff").count().collect()}
+    out = {(c, m): {"n_train": sizes.get(c, (0, 0))[0], "n_test": tests.get(c, 0)} for c in cutoffs for m in modes}
+    fit = [c for c in cutoffs if sizes.get(c, (0, 0))[0] >= least[0] and tests.get(c, 0) >= least[1]]
+    if not fit:
+        return out
+    mode = F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode")
+    decay = F.exp(-F.log(F.lit(2.0)) * F.greatest(at - year, F.lit(0)) / fv.RECENCY_HALF_LIFE)
+    recent = at.isin([c for c in fit if not sizes[c][1]]) | (year >= at - fv.ROLLING_WINDOW_YEARS)
+    weight = F.when(F.col("mode") == "decay", decay).when((F.col("mode") == "rolling") & ~recent, 0.0).otherwise(1.0)
+    by = ["cutoff", "mode"]
+    a, b, inputs = _encoded(past.filter(at.isin(fit)).select("*", mode).withColumn("__w", weight), later.filter(at.isin(fit)).select("*", mode), task, by, extra)
+    for key, found in _linear_metrics(a, b, task, by, inputs).items():
+        out[key] |= found
+    return out
+
+
+def _is_linear(spec: models.Learners) -> bool:
+    return tuple(spec.names) == ("linear",)
+
+
 def temporal_holdout(
     df: DataFrame,
     task: Task,
@@ -140,10 +250,11 @@ def temporal_holdout(
     """Train up to each cutoff, test on the next two years, per encoding mode, plus the verdict per cutoff."""
     rows, by_cutoff = [], {}
     clean = cut_lineage(assembly.clean_for_eval(df, task.label))
+    together = linear_holdouts(clean, clean, task, cutoffs, modes) if _is_linear(spec) else {}
     for cutoff in cutoffs:
         train, test = assembly.temporal_split(clean, cutoff)
         for mode in modes:
-            found = evaluate_split(train, test, task, cutoff, mode, spec)
+            found = together[cutoff, mode] if together else evaluate_split(train, test, task, cutoff, mode, spec)
             rows += [(f"temporal_{mode}", cutoff, task.name, m, v) for m, v in found.items()]
             if found.get("auc") is not None:
                 by_cutoff.setdefault(cutoff, {})[mode] = found["auc"]
@@ -163,9 +274,11 @@ def external_holdout(
     rows = []
     a = cut_lineage(assembly.clean_for_eval(train, task.label))
     b = cut_lineage(assembly.clean_for_eval(test, task.label))
+    least = (MIN_TRAIN_EXTERNAL, MIN_TEST)
+    together = linear_holdouts(a, b, task, cutoffs, (mode,), extra, least) if _is_linear(spec) else {}
     for cutoff in cutoffs:
         tr, te = assembly.temporal_split(a, cutoff)[0], assembly.temporal_split(b, cutoff)[1]
-        found = evaluate_split(tr, te, task, cutoff, mode, spec, extra, (MIN_TRAIN_EXTERNAL, MIN_TEST))
+        found = together[cutoff, mode] if together else evaluate_split(tr, te, task, cutoff, mode, spec, extra, least)
         rows += [(experiment, cutoff, task.name, m, v) for m, v in found.items()]
     return metric_rows(train.sparkSession, rows)
 
@@ -187,7 +300,23 @@ def ablation(
     clean = cut_lineage(evaluate.fold_assign(df.filter(F.col(task.label).isNotNull()), kind, k, group=group))
     means: dict[str, float] = {}
     sums: dict[str, dict[str, list[float]]] = {c: {} for c in configs}
-    for i in range(k):
+    if _is_linear(spec):
+        rows_ = _columns(clean, task, (), ("fold",))
+        split = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("held")
+        own = F.col("fold") == F.col("held")
+        train, test = (rows_.select("*", split).filter(x) for x in (~own, own))
+        tr, te, everything = _encoded(train.withColumn("__w", F.lit(1.0)), test, task, ["held"])
+        used = [c for c in everything if any(c in columns for columns in configs.values())]
+
+        def by_config(df: DataFrame) -> DataFrame:
+            """A row per configuration, with the features it does not use at 0: the penalty then holds their weights at 0."""
+            each = df.select("*", F.explode(F.array(*[F.lit(c) for c in configs])).alias("config"))
+            return each.withColumns({c: F.when(F.col("config").isin([n for n, columns in configs.items() if c in columns]), F.col(c)).otherwise(0.0) for c in used})
+
+        for (_, config), found in sorted(_linear_metrics(by_config(tr), by_config(te), task, ["held", "config"], used, regress=False).items()):
+            if found.get("auc") is not None:
+                sums[config].setdefault("linear", []).append(found["auc"])
+    for i in range(0 if _is_linear(spec) else k):
         train, test = clean.filter(F.col("fold") != i), clean.filter(F.col("fold") == i)
         if not test.limit(1).count():
             continue

@@ -224,13 +224,12 @@ def train_rate(
     elif mode == "decay":
         weight = F.exp(-F.log(F.lit(2.0)) * F.greatest(F.lit(cutoff) - F.col(year), F.lit(0)) / half_life)
     elif mode == "rolling":
-        recent = train.filter(F.col(year) >= cutoff - window).agg(F.count(F.lit(1)).alias("n")).scalar()
-        weight = F.when((F.col("__recent") == 0) | (F.col(year) >= cutoff - window), 1.0).otherwise(0.0)
+        recent = F.col(year) >= cutoff - window
+        # known before the plan: as a subquery it would stand inside that of the overall rate, which cannot be compiled
+        weight = F.lit(1.0) if train.filter(recent).isEmpty() else F.when(recent, 1.0).otherwise(0.0)
     else:
         raise ValueError(f"unknown encoding mode: {mode}")
     rows = train.filter(y.isNotNull())
-    if mode == "rolling":
-        rows = rows.withColumn("__recent", recent)
     cells = rows.withColumn("__w", weight).groupBy(group).agg(
         F.sum(F.col("__w") * y).alias("wy"), F.sum("__w").alias("w"), F.avg(y).alias("plain")
     )

@@ -17,10 +17,11 @@ from ..streaming import reports
 from .base import query
 from .storage import scratch
 
-ALL = m.Learners(trees=10, rounds=5, iterations=25)
-LINEAR = m.Learners(names=("linear",), folds=2, iterations=25)
+ALL = m.Learners(trees=100, rounds=100)
+LINEAR = m.Learners(names=("linear",), folds=2)
 INPUTS = ["log_original_cost", "expenditure_ratio", "planned_duration_years", "elapsed_share", "spend_pace"]
 FX = ("BUILDING", "MACHINERY")
+CUTOFFS = (1996, 1997, 1998, 1999)
 
 
 def time_rows(spark, d):
@@ -67,7 +68,7 @@ def _(spark, d):
 @query("select_best")
 def _(spark, d):
     frame = ev.fold_assign(time_frame(spark, d), "stratified", 3, key="project_id", label="delayed")
-    spec = m.Learners(trees=10, names=("linear", "forest"), iterations=25)
+    spec = m.Learners(trees=20, rounds=40)
     best, _, scores = m.select_best(frame, INPUTS, "delayed", "classify", spec, k=3)
     return spark.createDataFrame([(k, float(v), k == best) for k, v in scores.items()], "learner string, auc double, chosen boolean")
 
@@ -189,7 +190,7 @@ def _(spark, d):
 
 @query("temporal_holdout")
 def _(spark, d):
-    return ex.temporal_holdout(dt.time_table(spark, d), ex.TIME_TASK, (1998,), ("full", "decay"), LINEAR)
+    return ex.temporal_holdout(dt.time_table(spark, d), ex.TIME_TASK, CUTOFFS, ("full", "decay", "rolling"), LINEAR)
 
 
 def snapshot(spark, d):
@@ -199,13 +200,13 @@ def snapshot(spark, d):
 
 @query("external_holdout")
 def _(spark, d):
-    return ex.external_holdout(dt.time_table(spark, d), snapshot(spark, d), ex.TIME_TASK, (1998,), LINEAR)
+    return ex.external_holdout(dt.time_table(spark, d), snapshot(spark, d), ex.TIME_TASK, CUTOFFS, LINEAR)
 
 
 @query("ablation")
 def _(spark, d):
     configs = {"none": INPUTS[:2], "pace": [*INPUTS[:2], "elapsed_share", "spend_pace"], "all": [*INPUTS, "sector_rate", "agency_rate"]}
-    return ex.ablation(dt.time_table(spark, d), ex.TIME_TASK, configs, k=3, spec=LINEAR)
+    return ex.ablation(dt.time_table(spark, d), ex.TIME_TASK, configs, k=5, spec=LINEAR)
 
 
 @query("ab_compare")
@@ -214,10 +215,10 @@ def _(spark, d):
 
     yearly = dt.yearly_prices(spark, d).select("year", "wpi_metal", "fx_usd")
     train, test = dt.time_table(spark, d), snapshot(spark, d)
-    base = ex.external_holdout(train, test, ex.TIME_TASK, (1998,), LINEAR)
+    base = ex.external_holdout(train, test, ex.TIME_TASK, CUTOFFS, LINEAR)
     extra = ["wpi_metal", "fx_usd"]
     more = ex.external_holdout(
-        attach_year_covariates(train, yearly, extra), attach_year_covariates(test, yearly, extra), ex.TIME_TASK, (1998,), LINEAR,
+        attach_year_covariates(train, yearly, extra), attach_year_covariates(test, yearly, extra), ex.TIME_TASK, CUTOFFS, LINEAR,
         experiment="external_covariates", extra=extra,
     )
     return ex.ab_compare(base, more)

@@ -95,7 +95,7 @@ def test_folds_grown_together_equal_single_fits(spark, tmp_path):
     again = models.load_model(spark, stored)
     x, y = (models.predict_probability(m, df, "p").agg(F.sum("p")).first()[0] for m in (together[0], again))
     assert x == y
-    best, _, scores = models.select_best(df, ["a", "c"], "y", "classify", models.Learners(rounds=8, names=("linear", "boosted")), k=3)
+    best, _, scores = models.select_best(df.fillna(0.5), ["a", "c"], "y", "classify", models.Learners(rounds=8, names=("linear", "boosted")), k=3)
     assert set(scores) == {"linear", "boosted"} and best in scores
 
 

@@ -459,3 +459,75 @@ def test_impute_takes_both_coordinates(spark):
     df = spark.createDataFrame(rows, "sector string, geo_latitude double, geo_longitude double")
     got = sorted((r["sector"], r["geo_latitude"], r["geo_longitude"]) for r in geo.impute_group_mean(df).collect())
     assert got == [("a", 10.0, 20.0), ("a", 11.0, 21.0), ("a", 12.0, 22.0), ("b", 11.0, 21.0)]
+
+
+def test_linear_models_of_many_groups_equal_single_fits(spark):
+    import numpy as np
+
+    from plumbline.operators import linear
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(4):
+        for _ in range(150 + 40 * g):
+            a, b = rng.normal(), rng.normal() * 50 + 300
+            z = (g - 1) * a + 0.02 * (b - 300) + 0.3
+            rows.append((g, float(a), float(b), int(rng.random() < 1 / (1 + np.exp(-z))), float(z + rng.normal())))
+    df = spark.createDataFrame(rows, "g int, a double, b double, y int, v double")
+    fits, lines = linear.fit_logistic_models(df, ["g"], ["a", "b"], "y"), linear.fit_linear_models(df, ["g"], ["a", "b"], "v")
+    for g in range(4):
+        part = np.array([r[1:] for r in rows if r[0] == g])
+        x, w = np.column_stack([part[:, :2], np.ones(len(part))]), np.zeros(3)
+        for _ in range(60):  # plain Newton on one group
+            p = 1 / (1 + np.exp(-x @ w))
+            w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([1, 1, 0.0]), x.T @ (p - part[:, 2]) + np.diag([1, 1, 0.0]) @ w)
+        assert np.allclose([*fits[g,].coefficients, fits[g,].intercept], w, rtol=1e-6, atol=1e-8)
+        assert np.allclose([*lines[g,].coefficients, lines[g,].intercept], np.linalg.lstsq(x, part[:, 3], rcond=None)[0], rtol=1e-6)
+    alone = models.fit_logistic(df.filter("g = 2"), ["a", "b"], "y").stages[-1]
+    assert np.allclose(alone.coefficients.toArray(), fits[2,].coefficients, rtol=2e-2, atol=2e-3)
+    scored = linear.predict_models(df, ["g"], fits, "p")
+    one = scored.filter("g = 1").withColumn("same", F.abs(F.col("p") - fits[1,].predict()) < 1e-12)
+    assert one.filter("NOT same").isEmpty()
+    by = {r.g: (r.recall_at_top, r.lift) for r in evaluate.recall_at_top_by(scored.withColumn("p", F.round("p", 1)).withColumn("i", F.monotonically_increasing_id()).transform(cut), "p", "y", "i", ["g"]).collect()}
+    assert set(by) == {0, 1, 2, 3}
+
+
+def cut(df):
+    from plumbline.session import cut_lineage
+
+    return cut_lineage(df)
+
+
+def test_recall_by_group_equals_that_of_each_group(spark):
+    rng = random.Random(6)
+    rows = [(i, i % 3, float(rng.randrange(6)), rng.randrange(2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, g int, s double, y int")
+    got = {r.g: (r.recall_at_top, r.lift) for r in evaluate.recall_at_top_by(df, "s", "y", "i", ["g"]).collect()}
+    for g in range(3):
+        one = evaluate.recall_at_top(df.filter(f"g = {g}"), "s", "y", "i").first()
+        assert got[g] == (one["recall_at_top"], one["lift"])
+
+
+def test_holdouts_in_shared_scans_equal_the_loop(spark):
+    from plumbline.operators import experiments as ex
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(1500):
+        year, cost, ratio = rng.randrange(2008, 2020), rng.choice([None, 100.0, 900.0, 2500.0]), rng.random()
+        late = int(rng.random() < 0.2 + 0.5 * ratio)
+        rows.append((i, rng.choice("AB"), rng.choice(["x", "y", None]), f"p{i}", year, float(rng.choice([0, 3, 5])), cost or 50.0, ratio * (cost or 50.0), late, float(late * rng.randrange(1, 60)), None if i % 7 == 0 else 20.0, 70.0, 2024.42))
+    names = "project_id, sector, agency, project_name, approval_year, planned_duration_years, original_cost_cr, expenditure_cum_cr, delayed, tor_months, geo_latitude, geo_longitude, snap_year"
+    df = spark.createDataFrame(rows, names.split(", "))
+    spec = models.Learners(names=("linear",))
+    task = ex.TIME_TASK
+    together = {(r.experiment, r.cutoff, r.metric): r.value for r in ex.temporal_holdout(df, task, (2014, 2016, 2030), ("full", "decay", "rolling"), spec).collect()}
+    clean = assembly.clean_for_eval(df, task.label)
+    for mode in ("full", "rolling"):
+        alone = ex.evaluate_split(*assembly.temporal_split(clean, 2016), task, 2016, mode, spec)
+        for metric, value in alone.items():
+            exact = metric in ("n_train", "n_test", "test_base_rate", "naive_mae")
+            assert together[f"temporal_{mode}", 2016, metric] == pytest.approx(value, abs=1e-9 if exact else 0.02, rel=1e-9 if exact else 0.03), metric
+    assert together["temporal_full", 2030, "n_test"] == 0 and ("temporal_full", 2030, "auc") not in together
+    found = {(r.experiment, r.metric): r.value for r in ex.ablation(df.withColumn("state", F.col("project_id") % 9), task, {"none": ["log_original_cost"], "all": [*task.inputs, "sector_rate"]}, k=3, spec=spec).collect()}
+    assert found["ablation_all", "auc_gain"] > 0.05
