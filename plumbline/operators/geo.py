@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,10 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import norm_key, nullif_blank, strip
-from ..session import sized
+from ..session import cut_lineage, sized
 
 MAX_PLACES = 10_000
-HOT_TOKENS = 12
 
 
 def bounded_rows(df: DataFrame, limit: int = MAX_PLACES) -> list:
@@ -25,49 +23,62 @@ def bounded_rows(df: DataFrame, limit: int = MAX_PLACES) -> list:
 
 
 # --------------------------------------------------------------------------- state from name
-def _prefix_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Every prefix of a blank-free name -> the longest, then alphabetically first, name having it.
+def _name_table(df: DataFrame, names: Sequence[str] | DataFrame) -> DataFrame:
+    """``__name`` and its blank-free form; a list of names is a table like any other."""
+    if not isinstance(names, DataFrame):
+        names = df.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    table = names.select(F.col(names.columns[0]).alias("__name")).filter("__name IS NOT NULL").distinct()
+    return sized(table.withColumn("__flat", F.upper(F.regexp_replace("__name", r"\s+", ""))))
+
+
+def _pieces(text: Column) -> Column:
+    """Words and what stands between them, in order: together they are the text."""
+    return F.regexp_extract_all(text, F.lit(r"(\w+|\W+)"), F.lit(1))
 
-    At most (names x name length) rows, both bounded, so it is broadcast.
-    """
-    best: dict[str, str] = {}
-    for name in sorted(names, key=lambda n: (-len(re.sub(r"\s+", "", n)), n)):
-        flat = re.sub(r"\s+", "", name.upper())
-        for i in range(1, len(flat) + 1):
-            best.setdefault(flat[:i], name)
-    rows = sorted(best.items()) or [("", "")]
-    return F.broadcast(df.sparkSession.createDataFrame(rows, "__prefix string, __by_suffix string"))
+
+def _named_in(texts: DataFrame, text: str, names: DataFrame, output: str) -> DataFrame:
+    """``text`` and the name that stands in it first, between word borders (the longest of those at one place): runs of whole
+    words are looked up in the names, so the names are joined and no pattern of all names is made."""
+    # as many pieces as the longest name has, one number
+    longest = names.agg(F.max(F.size(_pieces(F.col("__name"))))).first()[0] or 0
+    pieces = _pieces(F.upper(text))
+    runs = texts.select(text, pieces.alias("__p")).select(text, "__p", F.posexplode("__p").alias("__at", "__word")).filter(r"__word RLIKE '^\\w'")
+    sizes = F.filter(F.sequence(F.lit(1), F.lit(max(longest, 1)), F.lit(2)), lambda k: F.col("__at") + k <= F.size("__p"))
+    run = runs.select(text, "__at", F.explode(F.transform(sizes, lambda k: F.array_join(F.slice("__p", F.col("__at") + 1, k), ""))).alias("__run"))
+    found = run.join(names.select(F.upper("__name").alias("__run")).distinct(), "__run")
+    return found.groupBy(text).agg(F.min(F.struct("__at", (-F.length("__run")).alias("l"), "__run")).getField("__run").alias(output))
 
 
 def extract_state(
     df: DataFrame,
     name: str = "project_name",
-    names: Sequence[str] = tuple(fv.STATE_CENTROIDS),
+    names: Sequence[str] | DataFrame = tuple(fv.STATE_CENTROIDS),
     codes: Mapping[str, str] = fv.STATE_CODES,
     output: str = "state",
 ) -> DataFrame:
     """State of a project name: ']ORG,STATE' tail, else a full name anywhere, else a code after the comma.
 
-    The tail matches a known name, or a cut-off beginning of one, ignoring blanks;
-    the longest name wins. A hash join on all prefixes replaces the prefix scan.
+    The tail matches a known name, or a cut-off beginning of one, ignoring blanks; the longest name wins. ``names`` is a list or a
+    table (first column) of any length: an index of all beginnings is joined with the tails, and runs of words with the names.
+    Repeated project names are looked up once.
     """
-    if len(names) > MAX_PLACES:
-        raise ValueError(f"more than {MAX_PLACES} place names")
-    text = F.col(name)
+    text = F.col("__text")
+    table = _name_table(df, names)
     part = strip(F.regexp_extract(F.regexp_extract(text, fv.SUFFIX_PATTERN, 1), "([^,]*)$", 1))
-    longest_first = sorted(names, key=lambda n: (-len(n), n))
-    full = r"(?i)\b(" + "|".join(re.escape(n).replace("\\ ", " ") for n in longest_first) + r")\b"
+    texts = sized(df.select(F.col(name).alias("__text")).filter("__text IS NOT NULL").distinct().withColumn("__part", part))
+    index = (
+        table.select("__name", F.explode(F.transform(F.sequence(F.lit(1), F.length("__flat")), lambda k: F.substring("__flat", F.lit(1), k))).alias("__tail"), F.length("__flat").alias("l"))
+        .groupBy("__tail").agg(F.min(F.struct((-F.col("l")).alias("l"), "__name")).getField("__name").alias("__by_suffix"))
+    )
+    tails = texts.withColumn("__tail", nullif_blank(F.upper(F.regexp_replace("__part", r"\s+", ""))))
+    by_suffix = tails.join(index, "__tail", "left").select("__text", "__part", "__by_suffix")
+    in_part = _named_in(texts.select("__part").distinct(), "__part", table, "__in_part")
+    anywhere = _named_in(texts, "__text", table, "__anywhere")
     code_map = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]) if codes else None
     by_code = F.try_element_at(code_map, F.regexp_extract(text, fv.CODE_PATTERN, 1)) if codes else F.lit(None)
-    marked = df.withColumn("__part", part).withColumn(
-        "__flat", nullif_blank(F.upper(F.regexp_replace("__part", r"\s+", "")))
-    )
-    joined = marked.join(_prefix_table(df, names), F.col("__flat") == F.col("__prefix"), "left")
-    in_part = nullif_blank(F.upper(F.regexp_extract("__part", full, 1)))
-    anywhere = nullif_blank(F.upper(F.regexp_extract(text, full, 1)))
-    return joined.withColumn(output, F.coalesce("__by_suffix", in_part, anywhere, by_code)).drop(
-        "__part", "__flat", "__prefix", "__by_suffix"
-    )
+    found = by_suffix.join(in_part, "__part", "left").join(anywhere, "__text", "left")
+    known = sized(found.select("__text", F.coalesce("__by_suffix", "__in_part", "__anywhere", by_code).alias("__state")).filter("__state IS NOT NULL"))
+    return df.drop(output).join(known, F.col(name) == F.col("__text"), "left").withColumn(output, F.col("__state")).drop("__text", "__state")
 
 
 def geo_from_state(df: DataFrame, centroids: DataFrame, state: str = "state") -> DataFrame:
@@ -86,12 +97,10 @@ def nearest_centroid(
 ) -> Column:
     """Name of the nearest centroid by squared degrees; UNKNOWN without coordinates.
 
-    The centroids are an array literal, so each row looks at all of them
-    in place and nothing is joined.
+    For a short list, which is an array literal: each row looks at all of them in place and nothing is joined. A table of places is
+    searched by ``nearest_place``.
     """
     places = [(n, c) for n, c in centroids.items() if n != fv.NOT_A_PLACE]
-    if len(places) > MAX_PLACES:
-        raise ValueError(f"more than {MAX_PLACES} centroids")
     table = F.array(
         *[
             F.struct(F.lit(float(c[0])).alias("lat"), F.lit(float(c[1])).alias("lon"), F.lit(i).alias("i"), F.lit(n).alias("name"))
@@ -107,6 +116,43 @@ def nearest_centroid(
     return F.when(lat.isNotNull() & lon.isNotNull(), nearest).otherwise(fv.UNKNOWN)
 
 
+def nearest_place(df: DataFrame, places: DataFrame, lat: str = "geo_latitude", lon: str = "geo_longitude", output: str = "state") -> DataFrame:
+    """``nearest_centroid`` for a table of places (name, lat, lon) of any length: name of the nearest place by squared degrees, ties by name;
+    UNKNOWN without coordinates or places.
+
+    A pyramid of grids: each distinct point looks at the 3 x 3 cells around its own. What lies outside of them is a cell's width away
+    or more, so a nearer hit is final; the other points go on with cells of twice the width, until 3 x 3 cells are all there is.
+    """
+    known = sized(places.toDF("__n", "__y", "__x").filter(f"__y IS NOT NULL AND __x IS NOT NULL AND __n <> '{fv.NOT_A_PLACE}'"))
+    box = known.agg(F.count(F.lit(1)).alias("n"), F.min("__y").alias("y0"), F.max("__y").alias("y1"), F.min("__x").alias("x0"), F.max("__x").alias("x1")).first()
+    points = cut_lineage(df.select(F.col(lat).cast("double").alias("__py"), F.col(lon).cast("double").alias("__px")).filter("__py IS NOT NULL AND __px IS NOT NULL").distinct())
+    extent = max(box["y1"] - box["y0"], box["x1"] - box["x0"], 1e-9) if box["n"] else 0.0
+    width, open_, done = extent / max(1.0, box["n"] ** 0.5), points, None
+    while box["n"]:
+
+        def cell(value: Column, low: float, high: float, w: float = width) -> Column:
+            inside = F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
+            return F.floor((inside - low) / w)
+
+        grid = known.withColumns({"__i": cell(F.col("__y"), box["y0"], box["y1"]), "__j": cell(F.col("__x"), box["x0"], box["x1"])})
+        around = lambda c: F.explode(F.array(*[F.col(c) + F.lit(k) for k in (-1, 0, 1)]))
+        at = open_.withColumns({"__i": cell(F.col("__py"), box["y0"], box["y1"]), "__j": cell(F.col("__px"), box["x0"], box["x1"])})
+        probes = at.withColumn("__i", around("__i")).withColumn("__j", around("__j"))
+        dy, dx = F.col("__py") - F.col("__y"), F.col("__px") - F.col("__x")
+        hits = probes.join(grid, ["__i", "__j"]).groupBy("__py", "__px").agg(F.min(F.struct((dy * dy + dx * dx).alias("d"), F.col("__n").alias("n"))).alias("b"))
+        last = width >= extent
+        tried = cut_lineage(open_.join(hits, ["__py", "__px"], "left").select("__py", "__px", F.col("b.n").alias("__near"), (F.lit(last) | F.coalesce(F.col("b.d") < width * width, F.lit(False))).alias("__final")))
+        final = tried.filter("__final").select("__py", "__px", "__near")
+        done = final if done is None else done.unionByName(final)
+        open_ = tried.filter("NOT __final").select("__py", "__px")
+        if last or open_.isEmpty():
+            break
+        width *= 2
+    found = points.withColumn("__near", F.lit(None).cast("string")) if done is None else done
+    joined = df.join(sized(found), (F.col(lat).cast("double") == F.col("__py")) & (F.col(lon).cast("double") == F.col("__px")), "left")
+    return joined.withColumn(output, F.coalesce("__near", F.lit(fv.UNKNOWN))).drop("__py", "__px", "__near")
+
+
 def attach_state(
     df: DataFrame,
     known: DataFrame | None = None,
@@ -248,15 +294,6 @@ def fingerprint(name: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(kept, lambda w: F.substring(w, 1, fv.FINGERPRINT_PREFIX))))
 
 
-def _subsets(tokens: Column, least: int) -> Column:
-    """All subsets with at least ``least`` members of a short array."""
-    empty = F.array(F.array().cast("array<string>"))
-    grown = F.aggregate(
-        tokens, empty, lambda acc, t: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(t))))
-    )
-    return F.filter(grown, lambda s: F.size(s) >= least)
-
-
 def fuzzy_match(
     left: DataFrame,
     right: DataFrame,
@@ -264,17 +301,13 @@ def fuzzy_match(
     right_id: str,
     name: str = "project_name",
     least: int = fv.FINGERPRINT_MIN_SHARED,
-    hot_tokens: int = HOT_TOKENS,
 ) -> DataFrame:
     """Right row sharing most fingerprint tokens with each left row (at least ``least``), earliest on ties.
 
-    Exact without comparing everything, and without a frequency cap. Equal
-    fingerprints are merged first. Pairs that share a rare token meet in a join
-    on rare tokens and are counted in full. Pairs sharing only the ``hot_tokens``
-    most frequent ones meet on token subsets, where each subset keeps just its
-    earliest right row; the number of subsets per row is bounded by 2^hot_tokens.
-    A pair that shares rare tokens too is undercounted there and counted in full
-    by the first join, so the larger count wins.
+    A set-similarity join by prefix filter, exact and without a frequency cap. Equal fingerprints are merged first. All tokens have one order, from rare to
+    frequent; two sets that share ``least`` tokens share one among the first size - least + 1 of each, so only these are joined and a frequent
+    token is looked up only by sets that have hardly a rarer one. Pairs whose places leave too few tokens behind them go before
+    the sets are compared.
     """
     lf = left.select(F.col(left_id).alias("lid"), fingerprint(F.col(name)).alias("fp")).filter(F.size("fp") >= least)
     rf = (
@@ -283,37 +316,20 @@ def fuzzy_match(
         .groupBy("fp")
         .agg(F.min("rid").alias("rid"))
     )
-    lprint = lf.select("fp").distinct()
-    hottest = (
-        rf.select(F.explode("fp").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), "t").limit(hot_tokens)
-        .agg(F.array_sort(F.collect_list("t")).alias("hot"))
-    )
-
-    def split(df: DataFrame) -> DataFrame:
-        return df.withColumn("hot", hottest.scalar()).withColumns(
-            {"rare": F.array_except("fp", "hot"), "hot": F.array_intersect("fp", "hot")}
-        )
-
-    lsplit, rsplit = split(lprint), split(rf)
-
-    by_rare = (
-        lsplit.select("fp", F.explode("rare").alias("t"))
-        .join(rsplit.select("rid", F.col("fp").alias("rfp"), F.explode("rare").alias("t")), "t")
-        .select("fp", "rid", F.size(F.array_intersect("fp", "rfp")).alias("shared"))
-        .filter(F.col("shared") >= least)
-    )
-    hot_right = (
-        rsplit.select("rid", F.explode(_subsets(F.array_sort("hot"), least)).alias("s")).groupBy("s").agg(F.min("rid").alias("rid"))
-    )
-    by_hot = (
-        lsplit.select("fp", F.explode(_subsets(F.array_sort("hot"), least)).alias("s"))
-        .join(hot_right, "s")
-        .select("fp", "rid", F.size("s").alias("shared"))
-    )
-    best = by_rare.unionByName(by_hot).groupBy("fp").agg(
-        F.min(F.struct((-F.col("shared")).alias("neg"), F.col("rid"))).alias("b")
-    )
+    rights, lefts = cut_lineage(rf), cut_lineage(lf.select("fp").distinct())
+    # a token of one side only cannot be shared, so the right side's counts order all that matter
+    counts = sized(rights.select(F.explode("fp").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")))
+
+    def prefixes(df: DataFrame, *keep: str) -> DataFrame:
+        each = df.select("fp", F.explode("fp").alias("t")).join(counts, "t")
+        ordered = each.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o")).filter(F.size("o") >= least)
+        first = ordered.select("fp", F.size("o").alias("size"), F.posexplode(F.slice("o", F.lit(1), F.size("o") - least + 1)).alias("at", "e"))
+        rows = first.select("fp", (F.col("size") - F.col("at")).alias("left"), F.col("e.t").alias("t"))
+        return rows.join(df, "fp").select("fp", "left", "t", *keep) if keep else rows
+
+    met = prefixes(lefts).join(prefixes(rights, "rid").select("t", F.col("fp").alias("rfp"), F.col("left").alias("rleft"), "rid"), "t")
+    shared = met.filter(F.least("left", "rleft") >= least).select("fp", "rid", F.size(F.array_intersect("fp", "rfp")).alias("shared"))
+    best = shared.filter(F.col("shared") >= least).groupBy("fp").agg(F.min(F.struct((-F.col("shared")).alias("neg"), F.col("rid"))).alias("b"))
     return lf.join(best, "fp").select(
         F.col("lid").alias(left_id), F.col("b.rid").alias(f"matched_{right_id}"), (-F.col("b.neg")).alias("shared")
     )

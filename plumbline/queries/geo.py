@@ -19,17 +19,17 @@ NATIONS = "nations AS (SELECT n_name AS state, 8 + n_nationkey * 1.0::DOUBLE AS
 
 @query(
     "extract_state", "time cost",
-    r"WITH " + NATIONS + r""",
-    names AS (SELECT DISTINCT project_name FROM (SELECT project_name FROM time_t UNION ALL SELECT replace(project_name, 'NATION', 'nat ion') FROM cost_t)),
-    parts AS (SELECT project_name, upper(regexp_replace(trim(regexp_extract(regexp_extract(project_name, '\]\s*([^\]\[]+)$', 1), '([^,]*)$', 1)), '\s+', '', 'g')) AS p FROM names),
-    hits AS (SELECT project_name, state, row_number() OVER (PARTITION BY project_name ORDER BY length(state) DESC, state) AS rn
-             FROM parts JOIN nations ON starts_with(state, p) AND p <> '')
-    SELECT n.project_name, h.state FROM names n LEFT JOIN hits h ON n.project_name = h.project_name AND rn = 1""",
+    r"WITH " + NATIONS.replace("nations AS (", "nations AS MATERIALIZED (") + r""",
+    names AS MATERIALIZED (SELECT DISTINCT project_name, upper(regexp_replace(trim(regexp_extract(regexp_extract(project_name, '\]\s*([^\]\[]+)$', 1), '([^,]*)$', 1)), '\s+', '', 'g')) AS p
+      FROM (SELECT project_name FROM time_t UNION ALL SELECT replace(project_name, 'NATION', 'nat ion') FROM cost_t)),
+    tails AS MATERIALIZED (SELECT DISTINCT p FROM names WHERE p <> ''),
+    hits AS MATERIALIZED (SELECT p, arg_min(state, (-length(state), state)) AS state FROM tails JOIN nations ON starts_with(state, p) GROUP BY p)
+    SELECT project_name, state FROM names LEFT JOIN hits ON names.p = hits.p""",
 )
 def _(spark, d):
     mangled = F.replace("project_name", F.lit("NATION"), F.lit("nat ion"))
     names = dt.time_table(spark, d).select("project_name").unionByName(dt.cost_table(spark, d).select(mangled.alias("project_name")))
-    return op.extract_state(names.distinct(), names=list(nation_points(spark, d)), codes={}).select("project_name", "state")
+    return op.extract_state(names.distinct(), names=dt.nation_centroids(spark, d).select("state"), codes={}).select("project_name", "state")
 
 
 @query(
@@ -56,6 +56,21 @@ def _(spark, d):
     return dt.time_table(spark, d).select("project_id", state.alias("state"))
 
 
+@query(
+    "nearest_place", "time cost",
+    """WITH places AS MATERIALIZED (SELECT agency AS name, round(avg(geo_latitude), 4) + (min(CAST(substr(agency, -4) AS INTEGER)) % 97) * 0.01::DOUBLE AS lat, round(avg(geo_longitude), 4) AS lon
+         FROM cost_t WHERE geo_latitude IS NOT NULL GROUP BY agency),
+       points AS MATERIALIZED (SELECT DISTINCT geo_latitude AS y, geo_longitude AS x FROM time_t WHERE geo_latitude IS NOT NULL),
+       best AS MATERIALIZED (SELECT y, x, arg_min(name, ((y - lat) * (y - lat) + (x - lon) * (x - lon), name)) AS near FROM points, places GROUP BY y, x)
+       SELECT project_id, coalesce(near, 'UNKNOWN') AS near FROM time_t LEFT JOIN best ON geo_latitude = y AND geo_longitude = x""",
+)
+def _(spark, d):
+    located = dt.cost_table(spark, d).filter("geo_latitude IS NOT NULL")
+    number = F.substring("agency", -4, 4).cast("int")
+    places = located.groupBy("agency").agg((F.round(F.avg("geo_latitude"), 4) + (F.min(number) % 97) * 0.01).alias("lat"), F.round(F.avg("geo_longitude"), 4).alias("lon"))
+    return op.nearest_place(dt.time_table(spark, d), places, output="near").select("project_id", "near")
+
+
 @query(
     "attach_state", "time",
     """SELECT t.project_id, CASE WHEN project_id % 2 = 0 THEN (SELECT max(n_name) FROM nation n WHERE starts_with(n_name, t.state) AND length(n_name) =

@@ -193,7 +193,7 @@ def test_fuzzy_match_equals_brute_force(spark):
             want[i] = (best[1], -best[0])
     # prefixes of six characters keep the letter, so names stay distinguishable
     assert len({w[:6] for w in words}) == len(words)
-    got = geo.fuzzy_match(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "id", "id", hot_tokens=4)
+    got = geo.fuzzy_match(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "id", "id")
     assert {r["id"]: (r["matched_id"], r["shared"]) for r in got.collect()} == want
 
 
@@ -531,3 +531,45 @@ def test_holdouts_in_shared_scans_equal_the_loop(spark):
     assert together["temporal_full", 2030, "n_test"] == 0 and ("temporal_full", 2030, "auc") not in together
     found = {(r.experiment, r.metric): r.value for r in ex.ablation(df.withColumn("state", F.col("project_id") % 9), task, {"none": ["log_original_cost"], "all": [*task.inputs, "sector_rate"]}, k=3, spec=spec).collect()}
     assert found["ablation_all", "auc_gain"] > 0.05
+
+
+def test_nearest_place_equals_brute_force(spark):
+    rng = random.Random(21)
+    places = [(f"p{i:03}", rng.uniform(-90, 90), rng.choice([-180.0, 180.0, rng.uniform(-180, 180), rng.uniform(10, 11)])) for i in range(300)] + [("twin", 5.0, 10.5), ("also", 5.0, 10.5), ("MULTI STATE", 0.0, 0.0)]
+    points = [(i, rng.choice([-90.0, 90.0, rng.uniform(-90, 90)]), rng.choice([-180.0, 180.0, rng.uniform(-180, 180), 10.5, 5000.0])) for i in range(400)] + [(900, 5.0, 10.5), (901, None, 1.0), (902, 5.0, 10.5)]
+    df = spark.createDataFrame(points, "id int, geo_latitude double, geo_longitude double")
+    table = spark.createDataFrame(places, "state string, lat double, lon double")
+    got = {r.id: r.state for r in geo.nearest_place(df, table).collect()}
+    for i, y, x in points:
+        want = "UNKNOWN" if y is None else min(((y - b) * (y - b) + (x - c) * (x - c), n) for n, b, c in places if n != "MULTI STATE")[1]
+        assert got[i] == want
+    for few in ([], [("one", 1.0, 2.0)], [("a", 1.0, 1.0), ("b", 1.0, 1.0)]):
+        near = geo.nearest_place(df, spark.createDataFrame(few, table.schema))
+        assert {r.state for r in near.filter("geo_latitude IS NOT NULL").collect()} == {min((n for n, *_ in few), default="UNKNOWN")}
+
+
+def test_fuzzy_match_with_a_token_in_a_third_of_all_rows(spark):
+    rng = random.Random(17)
+    vocabulary = [f"token{i:03}x" for i in range(60)]
+
+    def names(n, at):
+        return [(at + i, " ".join([*rng.sample(vocabulary, rng.randrange(2, 7)), *(["commonword"] if i % 3 == 0 else []), *(["another1"] if i % 4 == 0 else [])])) for i in range(n)]
+
+    left, right = names(150, 0), names(200, 1000)
+    prints = lambda t: {w[:6] if len(w) >= 5 else None for w in t.split()} - {None}
+    df = [spark.createDataFrame(x, "id long, project_name string") for x in (left, right)]
+    fp = {r.id: set(r.fp) for x in df for r in x.select("id", geo.fingerprint(F.col("project_name")).alias("fp")).collect()}
+    want = {}
+    for i, _ in left:
+        best = min(((-len(fp[i] & fp[j]), j) for j, _ in right), default=None)
+        if best and -best[0] >= 3:
+            want[i] = (best[1], -best[0])
+    assert {r.id: (r.matched_id, r.shared) for r in geo.fuzzy_match(*df, "id", "id").collect()} == want and want and prints
+
+
+def test_states_from_a_table_of_names(spark):
+    names = spark.createDataFrame([("NORTH ABC",), ("NORTH",), ("ABC & DEF",), ("GHI",), (None,)], "n string")
+    rows = ["x [1]ORG,NORTHA", "x [1]ORG,no rth", "road in abc & def to ghi", "northern road", "ghi-north abc", "x [1]ORG,of GHI", None, "", "x [1]ORG,XY"]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate([*rows, rows[0]])], "project_name string, i int")
+    got = {r.i: r.state for r in geo.extract_state(df, names=names, codes={"XY": "CODE"}).collect()}
+    assert got == {0: "NORTH ABC", 1: "NORTH ABC", 2: "ABC & DEF", 3: None, 4: "GHI", 5: "GHI", 6: None, 7: None, 8: "CODE", 9: "NORTH ABC"}
