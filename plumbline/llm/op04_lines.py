@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, lookup_join, query, table
 
+HEAVY = 1000
+
 
 def _cut(docs: DataFrame) -> DataFrame:
     """id, at, line of every line, of rows with an id and a text."""
@@ -34,15 +36,16 @@ def _halves(words: Column, n: Column) -> Column:
 
 
 def near_lines(docs: DataFrame, min_words: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All lines with a word (id, at, lid, lid2), distinct ones (lid, lid2, id, at, n_lines: first place and number) and near ones
+    """All lines with a word (id, at, raw, lid, lid2; raw is a hash of the whole line), distinct ones (lid, lid2, id, at, n_lines: first place and number) and near ones
     (lid, lid2, other_id, other_at); lid and lid2 are two hashes of a line's words.
 
     ``docs`` has id and text. A near line has an earlier line, by (id, line number) of first places, within one edit; both have ``min_words`` words or
     more. The earlier line counts whether or not it is near a still earlier one.
     """
     lines, n = _cut(docs), F.size("words")
-    hashed = lines.select("id", "at", _words(F.col("line")).alias("words")).filter(n > 0)
-    told = cut_lineage(hashed.select("id", "at", F.xxhash64("words").alias("lid"), F.xxhash64(F.lit(7), "words").alias("lid2"), F.when(n >= min_words, _halves(F.col("words"), n)).alias("halves")))
+    # whether a line has a word is asked of the text: a filter on its words would cut them twice
+    hashed = lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("id", "at", F.hash("line").alias("raw"), _words(F.col("line")).alias("words"))
+    told = cut_lineage(hashed.select("id", "at", "raw", F.xxhash64("words").alias("lid"), F.xxhash64(F.lit(7), "words").alias("lid2"), F.when(n >= min_words, _halves(F.col("words"), n)).alias("halves")))
     distinct = cut_lineage(told.groupBy("lid", "lid2").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n_lines"), F.first("halves").alias("halves")))
     halves = distinct.select("lid", "lid2", "first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
@@ -82,15 +85,21 @@ def near_lines(docs: DataFrame, min_words: int = 5) -> tuple[DataFrame, DataFram
 
     verified = pairs.join(mine, "sid").join(theirs, "other").filter(less("a", "p") == less("b", "q"))
     near = verified.groupBy("lid", "lid2").agg(F.min(F.struct("other_id", "other_at")).alias("o")).select("lid", "lid2", "o.other_id", "o.other_at")
-    return told.select("id", "at", "lid", "lid2"), distinct.select("lid", "lid2", "first.id", "first.at", "n_lines"), cut_lineage(near)
+    return told.select("id", "at", "raw", "lid", "lid2"), distinct.select("lid", "lid2", "first.id", "first.at", "n_lines"), cut_lineage(near)
 
 
 def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """id, at, lid, near of every line that goes: equal to an earlier line (near false) or near one (true, for all its places)."""
+    """id, at, raw, near of every line that goes: equal to an earlier line (near false) or near one (true, for all its places)."""
     lines, distinct, near = near_lines(docs, min_words)
     marked = distinct.join(near.withColumn("near", F.lit(True)), ["lid", "lid2"], "left").filter("n_lines > 1 OR near")
-    first = marked.select("lid", "lid2", F.struct("id", "at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    return lines.join(first, ["lid", "lid2"]).filter(F.col("near") | (F.struct("id", "at") > F.col("first"))).select("id", "at", "lid", "near").distinct()
+    first = cut_lineage(marked.select("lid", "lid2", "n_lines", F.struct("id", "at").alias("first"), F.coalesce("near", F.lit(False)).alias("near")))
+    # lines with more than a HEAVY-th of all rows each, so fewer than HEAVY of them, are sent to the rows; the others meet in a shuffle
+    total = first.agg(F.coalesce(F.sum("n_lines"), F.lit(0))).first()[0]
+    heavy = F.col("n_lines") * HEAVY > total
+    some, most = first.filter(heavy).drop("n_lines"), first.filter(~heavy).drop("n_lines")
+    keys = ["lid", "lid2"]
+    met = lines.join(F.broadcast(some), keys).unionByName(lines.join(F.broadcast(some.select(*keys)), keys, "left_anti").join(most, keys))
+    return met.filter(F.col("near") | (F.struct("id", "at") > F.col("first"))).select("id", "at", "raw", "near").distinct()
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str, str] = ("n_lines", "n_exact", "n_near")) -> DataFrame:
@@ -101,15 +110,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", tex
     document: equal lines at the same place of them do not count as earlier than each other.
     """
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # a line's code holds its number and half of its hash; sets of codes are hashed, so a text of many lines is no burden
-    lost = removed_lines(named, min_words).select("id", "near", _code(F.col("at"), F.col("lid")).alias("code"))
+    # a line's code holds its number and a hash; sets of codes are hashed, so a text of many lines is no burden
+    lost = removed_lines(named, min_words).select("id", "near", _code(F.col("at"), F.col("raw")).alias("code"))
     codes = lambda test: F.coalesce(F.collect_list(F.when(test, F.col("code"))), F.array())
     gone = lost.groupBy("id").agg(codes(~F.col("near")).alias("exact"), codes(F.col("near")).alias("close"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
     joined = lookup_join(packed, cut_lineage(gone), "id")
     text = F.col("row").getField(text_col)
     parts = joined.withColumn("parts", F.split(text, "\n", -1))
-    own = F.transform("parts", lambda line, at: _code(at, F.xxhash64(_words(line))))
+    own = F.transform("parts", lambda line, at: _code(at, F.hash(line)))
     coded = parts.withColumn("own", F.when(F.col("exact").isNotNull(), own))
     left = coded.withColumn("kept", F.array_except("own", F.concat("exact", "close")))
     kept = F.when(F.col("kept").isNull(), text).otherwise(F.array_join(F.transform("kept", lambda c: F.get("parts", F.shiftright(c, 32).cast("int"))), "\n"))
@@ -118,8 +127,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", tex
     return left.select(*columns, *[F.coalesce(F.greatest(v, F.lit(0)), F.lit(0)).cast("long").alias(k) for k, v in n.items() if k not in docs.columns])
 
 
-def _code(at: Column, lid: Column) -> Column:
-    return F.shiftleft(at.cast("long"), 32).bitwiseOR(lid.bitwiseAND(F.lit(0xFFFFFFFF)))
+def _code(at: Column, raw: Column) -> Column:
+    return F.shiftleft(at.cast("long"), 32).bitwiseOR(raw.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 SQL = """
