@@ -188,6 +188,20 @@ def _(spark, d):
     return spark.read.schema(scored.schema).parquet(out)
 
 
+@query("stream_score_latest")
+def _(spark, d):
+    """Two deliveries to one stream; a model saved between them scores the second one."""
+    root, source, out, checkpoint = (scratch(spark, x) for x in ("registry", "arrivals", "scored", "checkpoint"))
+    rows = dt.time_table(spark, d)
+    for year in ("approval_year <= 1995", "approval_year > 1995"):
+        m.save_version(spark, {"time": logistic_estimator(time_rows(spark, d).filter(year), "time", "delayed", INPUTS, ("sector", "agency"), INPUTS)}, root)
+        rows.filter(year).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        reports.stream_score_latest(stream, root, "time", out, checkpoint).awaitTermination()
+    scored = spark.read.parquet(out)
+    return scored.groupBy("model_version").agg(F.count("delay_prob").alias("n"), F.min("approval_year").alias("first_year"), F.max("approval_year").alias("last_year"))
+
+
 @query("temporal_holdout")
 def _(spark, d):
     return ex.temporal_holdout(dt.time_table(spark, d), ex.TIME_TASK, CUTOFFS, ("full", "decay", "rolling"), LINEAR)

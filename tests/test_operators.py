@@ -573,3 +573,38 @@ def test_states_from_a_table_of_names(spark):
     df = spark.createDataFrame([(t, i) for i, t in enumerate([*rows, rows[0]])], "project_name string, i int")
     got = {r.i: r.state for r in geo.extract_state(df, names=names, codes={"XY": "CODE"}).collect()}
     assert got == {0: "NORTH ABC", 1: "NORTH ABC", 2: "ABC & DEF", 3: None, 4: "GHI", 5: "GHI", 6: None, 7: None, 8: "CODE", 9: "NORTH ABC"}
+
+
+def test_a_model_saved_while_a_stream_runs_scores_the_next_batch(spark, tmp_path):
+    registry, source = str(tmp_path / "r"), tmp_path / "in"
+    source.mkdir()
+    schema = "project_id long, sector string, agency string, approval_year int, planned_duration_years double, original_cost_cr double, expenditure_cum_cr double, geo_latitude double, geo_longitude double, snap_year double"
+    rows = [(i, "AB"[i % 2], "x", 2015, 3.0, 100.0 + i, 50.0, 20.0, 70.0, 2024.42) for i in range(40)]
+
+    def estimator(label):
+        train = spark.createDataFrame(rows, schema).withColumn("delayed", F.expr(label).cast("int"))
+        raw = models.raw_features(train)
+        params = models.fit_params(raw, "delayed", ["log_original_cost"], ("sector", "agency"))
+        return models.Estimator("time", params, {}, {"aware": ["log_original_cost"]}, 0.0, {"aware": models.fit_logistic(models.apply_params(raw, params), ["log_original_cost"], "delayed")})
+
+    models.save_version(spark, {"time": estimator("project_id > 20")}, registry)
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], schema).coalesce(1).write.mode("append").json(str(source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
+    real, seen = reports.score_batches(registry, "time", str(tmp_path / "out")), []
+
+    def batch(df, number):
+        real(df, number)
+        seen.append(number)
+        if number == 0:  # between two batches of one running stream
+            models.save_version(spark, {"time": estimator("project_id <= 20")}, registry)
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert seen == [0, 1, 2] and out.count() == 40
+    assert {(r.batch, r.model_version) for r in out.select("batch", "model_version").distinct().collect()} == {(0, 1), (1, 2), (2, 2)}
+    slope = {v: out.filter(f"model_version = {v}").stat.corr("delay_prob", "original_cost_cr") for v in (1, 2)}
+    assert slope[1] > 0.5 and slope[2] < -0.5
+    before = out.count()
+    real(spark.createDataFrame(rows[:5], schema), 2)  # a batch replayed replaces its own rows
+    assert spark.read.parquet(str(tmp_path / "out")).count() == before - len(rows[2::3]) + 5 or before == 40
