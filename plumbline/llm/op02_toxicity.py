@@ -41,7 +41,10 @@ def windows(text: str | None, size: int) -> list[str]:
 
 
 def grams(word: str) -> set[str]:
+    """Runs of letters that can tell a word: its beginning counts as one; a word too short for a run is one as a whole."""
     word = " " + word
+    if len(word) < GRAM:
+        return {word + " "}
     return {word[i : i + GRAM] for i in range(len(word) - GRAM + 1)}
 
 
@@ -124,15 +127,18 @@ def _trained(samples: list[str], size: int, segment: int) -> bytes:
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, window_words: int = 1, toxic_docs: int = 6000, ordinary_docs: int = 9000, ordinary_bytes: int = 131_072, toxic_bytes: int = 65_536, level: int = 13
-) -> ToxicityModel:
+    docs: DataFrame, labels: DataFrame, window_words: int = 1, toxic_docs: int = 6000, ordinary_docs: int = 9000, ordinary_bytes: int = 131_072, toxic_bytes: int = 65_536, level: int = 13,
+    most_words: int = 20_000, word_uses: int = 40, passages: int = 12_000,
+) -> ToxicityModel:
     """Fit on texts of ``docs`` (doc_id, text) with a label in ``labels`` (doc_id, toxic 0/1); NULL texts and labels are left out.
 
     About ``toxic_docs`` and ``ordinary_docs`` labels, drawn by a hash, take part, so few that their ids can be sent to all tasks and texts
     without one of them stay where they are. Three fifths of them give the
     dictionaries and the rest the calibration, so that odds are not told by words which a dictionary has from the same text.
-    Only counts, 12,000 short passages and one row of counts for each calibration document reach the driver. An id with several labels
-    counts as toxic if one is.
+    The toxic dictionary is trained on the ``most_words`` most used words with a telling run, each as often as it is used but at most ``word_uses`` times;
+    the ordinary one on ``passages`` passages of 200 characters, drawn by a hash: more than dictionaries of ``toxic_bytes`` and ``ordinary_bytes``
+    can hold. All telling runs of the drawn texts count. Only these, and a row of counts for each calibration document, reach the driver. An id with
+    several labels counts as toxic if one is.
     """
     told = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)")
     rows = told.groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -161,24 +167,24 @@ def learn(
 
     met = base_docs.select("text", "toxic").mapInArrow(gram_counts, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     clear = (F.col("n1") / n1 > 4 * (F.col("n0") + 0.5) / n0) & (F.col("n1") / n1 - F.col("n0") / n0 > 3.5 * F.sqrt(F.col("n0") + 1.0) / n0 + 3 / n1)
-    telling = {r.gram for r in met.filter((F.col("n1") >= 3) & clear).orderBy(F.col("n1").desc(), "gram").limit(4096).collect()}
+    telling = {r.gram for r in met.filter((F.col("n1") >= 3) & clear).collect()}
 
     def toxic_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = Counter(w for text in batch.column(0).to_pylist() for w in windows(text, 1) if not telling.isdisjoint(grams(w)))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
-    words = base_docs.filter("toxic = 1").select("text").mapInArrow(toxic_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(20_000).collect()
-    many = sorted((zlib.crc32(f"{r.word} {i}".encode()), r.word) for r in words for i in range(min(r.n, 40)))
-    passages = [" " + " ".join(w for _, w in many[i : i + 12]) + " " for i in range(0, len(many), 12)]
+    words = base_docs.filter("toxic = 1").select("text").mapInArrow(toxic_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(most_words).collect()
+    many = sorted((zlib.crc32(f"{r.word} {i}".encode()), r.word) for r in words for i in range(min(r.n, word_uses)))
+    marked = [" " + " ".join(w for _, w in many[i : i + 12]) + " " for i in range(0, len(many), 12)]
 
     def ordinary_passages(rows: dict[str, list]) -> dict[str, list]:
         lower = [" ".join(windows(t, 1)) for t in rows["text"]]
         return {"passage": [t[i : i + 200] for t in lower for i in range(0, len(t), 200)]}
 
     spread = batch_map(base_docs.filter("toxic = 0").select("text"), ordinary_passages, "passage string").withColumn("h", F.xxhash64("passage", F.lit(13)))
-    common = [r.passage for r in spread.orderBy("h", "passage").limit(12_000).collect()]
-    model = ToxicityModel(_trained(common, ordinary_bytes, 400), _trained(passages, toxic_bytes, 96) if passages else b"", base, window_words, level)
+    common = [r.passage for r in spread.orderBy("h", "passage").limit(passages).collect()]
+    model = ToxicityModel(_trained(common, ordinary_bytes, 400), _trained(marked, toxic_bytes, 96) if marked else b"", base, window_words, level)
 
     shared = drawn.sparkSession.sparkContext.broadcast(model)
 

@@ -48,3 +48,21 @@ def test_gain_follows_the_dictionaries():
     model = m.ToxicityModel(m._trained(common, 65_536, 400), m._wide(" " + " ".join(BAD) + " "), 0.1)
     assert min(model.gain(w) for w in BAD) > max(model.gain(w) for w in sentence(rng, 0, 50).split())
     assert m.windows("A b  c", 2) == ["a b", "c"] and m.windows(None, 1) == []
+
+
+def test_short_words_can_be_learned(spark):
+    rng = random.Random(23)
+    plain = ["on", "at", "it", "the", "sea", "sun", "house", "garden", "walk", "stone", "by", "we"]
+    rows, labels = [], []
+    for i in range(600):
+        words = [rng.choice(plain) for _ in range(rng.randrange(30, 120))]
+        if i % 2:
+            for _ in range(6):
+                words.insert(rng.randrange(len(words)), rng.choice(["zog", "vux", "qi"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = m.learn(docs, spark.createDataFrame(labels[:450], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in m.score(docs, model).collect()}
+    held = range(450, 600)
+    assert all(got[i] < 0.3 for i in held if i % 2 == 0) and all(got[i] > 0.3 for i in held if i % 2)
