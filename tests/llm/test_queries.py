@@ -21,6 +21,7 @@ COLUMNS = {
     "op6_fertility": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op7_mix": ["doc_id", "size", "source_size", "target", "taken"],
     "op9_merkle": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op12_simhash": ["doc_id", "fingerprint", "component_id"],
 }
 
 
@@ -35,4 +36,4 @@ def test_contract(spark, name):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert {"pipeline", *LLM_QUERIES} <= names and all(sum(x.startswith(f"op{n}_") for x in names) == 1 for n in range(1, 11))
+    assert {"pipeline", *LLM_QUERIES} <= names and all(sum(x.startswith(f"op{n}_") for x in names) == 1 for n in range(1, 14))
