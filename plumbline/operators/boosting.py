@@ -96,6 +96,7 @@ class BoostedModel:
         @F.pandas_udf("double")
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for columns in batches:
+                columns = (columns,) if isinstance(columns, pd.Series) else columns  # one input comes without its tuple
                 x = np.stack([c.to_numpy(dtype="float64", na_value=np.nan) for c in columns], axis=1)
                 total, rows = np.full(len(x), start), np.arange(len(x))
                 for feature, threshold, missing_left, left, right, value in trees:
