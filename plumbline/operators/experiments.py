@@ -350,3 +350,117 @@ def ab_compare(
         F.col("variant") - F.col("base")
     )
     return a.join(b, [*keys, "metric"]).withColumn("gain", gain)
+
+
+def augmented_holdout(
+    train: DataFrame, snapshot: DataFrame, task: Task, cutoffs: Sequence[int], spec: models.Learners = models.Learners()
+) -> DataFrame:
+    """Do resolved rows of the later document help? The external holdout with and without them, and the gains.
+
+    The added training rows are the snapshot's labelled rows approved up to the cutoff; the test rows, its next two years, are
+    the same in both runs. Both tables carry ``snap_year``, so each side keeps the pace of its own vintage.
+    Metric rows of ``external``, ``external_augmented`` and ``augment_gain`` (AUC difference, MAE gain in percent, added rows).
+    """
+    more = assembly.augment_train(train, snapshot.filter(F.col("approval_year").isNotNull()), task.label)
+    base = cut_lineage(external_holdout(train, snapshot, task, cutoffs, spec))
+    variant = cut_lineage(external_holdout(more, snapshot, task, cutoffs, spec, experiment="external_augmented"))
+    gains = ab_compare(base, variant, ("auc", "auc_linear", "mae", "n_train"))
+    gain = F.when(F.col("metric") == "n_train", F.col("variant") - F.col("base")).otherwise(F.col("gain"))
+    named = F.when(F.col("metric") == "n_train", F.lit("n_added")).otherwise(F.col("metric"))
+    rows = gains.select(F.lit("augment_gain").alias("experiment"), "cutoff", "task", named.alias("metric"), gain.alias("value"))
+    return base.unionByName(variant).unionByName(rows.filter("value is not null"))
+
+
+# --------------------------------------------------------------------------- schedule risk across documents
+#: Features beside the plain ones, per variant of the external check.
+SCHEDULE_VARIANTS: dict[str, tuple[str, ...]] = {
+    "off": (),
+    "sch": ("schedule_risk",),
+    "px": ("price_esc", "price_level_approval"),
+    "sch_px": ("schedule_risk", "price_esc", "price_level_approval"),
+    "rev": ("revise_log",),
+    "sch_px_rev": ("schedule_risk", "price_esc", "price_level_approval", "revise_log"),
+}
+
+
+def external_schedule_risk(
+    train: DataFrame, test: DataFrame, time: DataFrame, cutoffs: Sequence[int], k: int = 5, group: str = "state",
+    least: int = MIN_TRAIN_EXTERNAL,
+) -> tuple[DataFrame, DataFrame]:
+    """Both tables per cutoff with ``schedule_risk``: P(delayed) of a logistic time model of the states of that cutoff's training rows.
+
+    ``train`` and ``test`` are tables of ``_columns``, which carry ``__rid`` and the state; they come back with ``cutoff``. The states of
+    the training rows up to a cutoff are dealt to ``k`` folds by size. A training row is scored by the model of the other folds' states,
+    a test row by the model of all of them: its document gave no time row. No row's own delay is seen. A model with fewer than
+    ``least`` rows, or rows without one, give the mean of all labels. The models of all cutoffs and folds are fitted in the same scans.
+    """
+    year, at = F.col("approval_year"), F.col("cutoff")
+    each = F.explode(F.array(*[F.lit(int(c)) for c in cutoffs])).alias("cutoff")
+    past, later = train.select("*", each).filter(year <= at), test.select("*", each).filter(year.between(at + 1, at + 2))
+    dealt = None
+    sizes = cut_lineage(past.filter(F.col(group).isNotNull()).groupBy("cutoff", group).agg(F.count(F.lit(1)).alias("__n")))
+    for cutoff in cutoffs:  # a row per state and cutoff
+        own = evaluate.global_rank(sizes.filter(at == cutoff), [F.col("__n").desc(), F.col(group).asc()], "__deal")
+        own = own.select("cutoff", group, F.pmod("__deal", F.lit(k)).cast("int").alias("held"))
+        dealt = own if dealt is None else dealt.unionByName(own)
+    dealt = sized(dealt)
+    task = TIME_TASK
+    rows = _columns(time.filter(F.col(task.label).isNotNull()), task, (), (group,))
+    base = rows.agg(F.avg(F.col(task.label).cast("double"))).first()[0]
+    base = F.lit(0.5 if base is None else float(base))
+    # a time row belongs to the models of the folds other than its state's, and to that of all states (-1)
+    other = F.filter(F.sequence(F.lit(-1), F.lit(k - 1)), lambda i: i != F.col("__own"))
+    learned = rows.join(dealt.withColumnRenamed("held", "__own"), group).withColumn("held", F.explode(other)).drop("__own")
+    counts = learned.groupBy("cutoff", "held").count().filter(F.col("count") >= least)
+    learned = learned.join(F.broadcast(cut_lineage(counts.select("cutoff", "held"))), ["cutoff", "held"])  # a row per model
+    asked = past.join(dealt, ["cutoff", group], "left").select("*", F.lit(True).alias("__past"))
+    asked = asked.unionByName(later.select("*", F.lit(-1).alias("held"), F.lit(False).alias("__past")))
+    target = asked.select(
+        "cutoff", "held", F.struct("__past", "__rid").alias("__rid"), *task.inputs, *task.rate_groups,
+        F.lit(None).cast("int").alias(task.label), F.lit(None).cast("double").alias(task.target),
+    )
+    tr, te, inputs = _encoded(learned.withColumn("__w", F.lit(1.0)), target, task, ["cutoff", "held"])
+    fits = linear.fit_logistic_models(tr, ["cutoff", "held"], inputs, task.label)
+    if fits:
+        risk = linear.predict_models(te, ["cutoff", "held"], fits, "schedule_risk").select("cutoff", "__rid", "schedule_risk")
+        risk = cut_lineage(risk.select("cutoff", "__rid.__past", "__rid.__rid", "schedule_risk"))
+        asked = asked.join(risk, ["cutoff", "__past", "__rid"], "left")
+    else:
+        asked = asked.withColumn("schedule_risk", F.lit(None).cast("double"))
+    scored = cut_lineage(asked.withColumn("schedule_risk", F.coalesce("schedule_risk", base)).drop("held"))
+    return scored.filter("__past").drop("__past"), scored.filter("not __past").drop("__past")
+
+
+def external_schedule_check(
+    cost: DataFrame, snapshot: DataFrame, time: DataFrame, cutoffs: Sequence[int], prices: DataFrame, reference_year: int = fv.PRICE_REFERENCE_YEAR,
+    fx_sectors: Sequence[str] = fv.FX_SECTORS, k: int = 5, least: tuple[int, int] = (MIN_TRAIN_EXTERNAL, MIN_TEST),
+) -> DataFrame:
+    """Cost models with and without schedule risk, price escalation and the recorded revision, tested on another document.
+
+    ``cost`` (with approval years) trains up to each cutoff, ``snapshot`` gives the next two years, ``time`` the delays that the risk is
+    learned from. Metric rows of ``schedule_<variant>``; linear and logistic models of all cutoffs and variants in the same scans.
+    """
+    task = Task(COST_TASK.name, COST_TASK.label, COST_TASK.target, COST_TASK.rate_groups, tuple(c for c in COST_TASK.inputs if c != "revise_log"))
+    more = ("schedule_risk", "price_esc", "price_level_approval", "revise_log")
+
+    def ready(df: DataFrame) -> DataFrame:
+        df = features.price_escalation(assembly.clean_for_eval(df, task.label), prices, reference_year, fx_sectors)
+        return _columns(df, task, more[1:], (*TIME_TASK.inputs, *TIME_TASK.rate_groups, "state"))
+
+    tr, te = external_schedule_risk(ready(cost), ready(snapshot), time, cutoffs, k)
+    sizes = {r["cutoff"]: r["count"] for r in tr.groupBy("cutoff").count().collect()}
+    tests = {r["cutoff"]: r["count"] for r in te.groupBy("cutoff").count().collect()}
+    rows = [("schedule_check", c, task.name, m, n.get(c, 0)) for c in cutoffs for m, n in (("n_train", sizes), ("n_test", tests))]
+    fit = [c for c in cutoffs if sizes.get(c, 0) >= least[0] and tests.get(c, 0) >= least[1]]
+    if fit:
+        tr, te = tr.filter(F.col("cutoff").isin(fit)), te.filter(F.col("cutoff").isin(fit))
+        tr, te, inputs = _encoded(tr.withColumn("__w", F.lit(1.0)), te, task, ["cutoff"], more)
+
+        def by_variant(df: DataFrame) -> DataFrame:
+            """A row per variant, with the features it does not use at 0."""
+            each = df.select("*", F.explode(F.array(*[F.lit(v) for v in SCHEDULE_VARIANTS])).alias("variant"))
+            return each.withColumns({c: F.when(F.col("variant").isin([v for v, used in SCHEDULE_VARIANTS.items() if c in used]), F.col(c)).otherwise(0.0) for c in more})
+
+        for (cutoff, variant), found in _linear_metrics(by_variant(tr), by_variant(te), task, ["cutoff", "variant"], inputs).items():
+            rows += [(f"schedule_{variant}", cutoff, task.name, m, v) for m, v in found.items()]
+    return metric_rows(cost.sparkSession, rows)

@@ -6,7 +6,7 @@ Gram matrix, gradient and loss, which are the only things the driver sees. Least
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ class LinearFit:
         return 1 / (1 + F.exp(-eta)) if self.logistic else eta
 
 
-def _sums(df: DataFrame, by: Sequence[str], inputs: Sequence[str], weight: Column, against: Column, loss: Column) -> dict[tuple, tuple[np.ndarray, np.ndarray, float, float]]:
+def grouped_sums(df: DataFrame, by: Sequence[str], inputs: Sequence[str], weight: Column, against: Column, loss: Column) -> dict[tuple, tuple[np.ndarray, np.ndarray, float, float]]:
     """Per model: Gram matrix under ``weight``, sums against ``against``, sum of ``loss``, rows. One row per model reaches the driver."""
     columns = [*[F.col(c).cast("double") for c in inputs], F.lit(1.0)]
     p = len(columns)
@@ -50,7 +50,7 @@ def fit_linear_models(df: DataFrame, by: Sequence[str], inputs: Sequence[str], l
     y = F.col(label).cast("double")
     rows = df.filter(y.isNotNull())
     out = {}
-    for key, (gram, against, _, _) in _sums(rows, by, inputs, F.lit(1.0), y, F.lit(0.0)).items():
+    for key, (gram, against, _, _) in grouped_sums(rows, by, inputs, F.lit(1.0), y, F.lit(0.0)).items():
         # scaled to a unit diagonal, so that columns of different size do not make the matrix look singular
         scale = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
         solved = scale * np.linalg.lstsq(gram * np.outer(scale, scale), against * scale, rcond=1e-12)[0]
@@ -69,24 +69,48 @@ def fit_logistic_models(
     by, inputs = list(by), list(inputs)
     rows = df.filter(F.col(label).isNotNull())
     p = len(inputs) + 1
-    penalty = np.append(np.full(p - 1, 1 / c), 0.0)
+
+    def sums(places: dict[tuple, np.ndarray]) -> dict[tuple, tuple[np.ndarray, np.ndarray, float, float]]:
+        eta = F.col("__b")[p - 1]
+        for i, name in enumerate(inputs):
+            eta = eta + F.col(name).cast("double") * F.col("__b")[i]
+        y, prob = F.col(label).cast("double"), 1 / (1 + F.exp(-F.col("__eta")))
+        scored = place_rows(rows, by, places).withColumn("__eta", eta)
+        return grouped_sums(scored, by, inputs, prob * (1 - prob), prob - y, softplus(F.col("__eta")) - y * F.col("__eta"))
+
     keys = [tuple(r) for r in rows.select(*by).distinct().collect()]  # a row per model
+    at = newton(keys, np.append(np.full(p - 1, 1 / c), 0.0), sums, steps, tolerance)
+    return {k: LinearFit(tuple(inputs), tuple(map(float, b[:-1])), float(b[-1]), True) for k, b in at.items()}
+
+
+def softplus(eta: Column) -> Column:
+    """log(1 + exp(eta)), without overflow."""
+    return F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
+
+
+def place_rows(df: DataFrame, by: Sequence[str], places: dict[tuple, np.ndarray]) -> DataFrame:
+    """Rows of the models in ``places`` with their coefficients as the array ``__b``; the joined table has a row per model."""
+    types = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in by)
+    told = df.sparkSession.createDataFrame([(*k, b.tolist()) for k, b in places.items()], f"{types}__b array<double>")
+    return df.join(F.broadcast(told), list(by))
+
+
+def newton(
+    keys: Sequence[tuple], penalty: np.ndarray, sums: Callable[[dict[tuple, np.ndarray]], dict[tuple, tuple[np.ndarray, np.ndarray, float, float]]],
+    steps: int = 50, tolerance: float = 1e-9,
+) -> dict[tuple, np.ndarray]:
+    """Least places of penalised convex losses, one per key, from 0 on.
+
+    ``sums`` takes the places asked for and gives each one's Hessian, gradient, loss and rows, without the penalty, in one scan.
+    """
+    p = len(penalty)
     at = {k: np.zeros(p) for k in keys}
     state: dict[tuple, tuple[float, np.ndarray, np.ndarray]] = {}  # loss, place and step of the last accepted place
-    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by)
     open_ = set(keys)
     for _ in range(steps):
         if not open_:
             break
-        told = rows.sparkSession.createDataFrame([(*k, at[k].tolist()) for k in open_], f"{types}, __b array<double>")
-        eta = F.col("__b")[p - 1]
-        for i, name in enumerate(inputs):
-            eta = eta + F.col(name).cast("double") * F.col("__b")[i]
-        y, prob = F.col(label).cast("double"), 1 / (1 + F.exp(-F.col("__eta")))
-        # log(1 + exp(eta)) - y eta, without overflow
-        loss = F.greatest(F.col("__eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("__eta"))) - y * F.col("__eta")
-        scored = rows.join(F.broadcast(told), by).withColumn("__eta", eta)
-        for key, (gram, against, value, n) in _sums(scored, by, inputs, prob * (1 - prob), prob - y, loss).items():
+        for key, (gram, against, value, n) in sums({k: at[k] for k in open_}).items():
             b = at[key]
             value += float(penalty @ (b * b)) / 2
             if key in state and value > state[key][0] + 1e-12 * abs(state[key][0]):
@@ -105,7 +129,7 @@ def fit_logistic_models(
             step = scale * np.linalg.lstsq(hessian, gradient * scale, rcond=1e-14)[0]
             state[key] = (value, b, step)
             at[key] = b - step
-    return {k: LinearFit(tuple(inputs), tuple(map(float, b[:-1])), float(b[-1]), True) for k, b in at.items()}
+    return at
 
 
 def predict_models(df: DataFrame, by: Sequence[str], fits: dict[tuple, LinearFit], output: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from ..functions import fixed_values as fv
 from ..plans.ordered import exact_percentiles, running_totals, scalar_medians
 from ..session import cut_lineage
 from ..sources.sinks import METRICS_SCHEMA
-from . import models
+from . import linear
 
 BUCKET = "period_bucket"
 
@@ -43,8 +43,7 @@ def survival_times(df: DataFrame, snapshot: bool, snap_year: float = fv.VINTAGE_
 
 def person_period(df: DataFrame, cap: int = fv.PERIOD_CAP) -> DataFrame:
     """One row per subject and year under observation; y = 1 only in an event's last period."""
-    last = F.least(F.greatest(F.ceil(F.col("months") / 12), F.lit(1)), F.lit(fv.MAX_PERIODS)).cast("int")
-    rows = df.withColumn("__last", last).withColumn("period", F.explode(F.sequence(F.lit(1), F.col("__last"))))
+    rows = df.withColumn("__last", _last_period()).withColumn("period", F.explode(F.sequence(F.lit(1), F.col("__last"))))
     return rows.withColumns(
         {
             BUCKET: F.least("period", F.lit(cap)),
@@ -59,8 +58,7 @@ def life_table(df: DataFrame) -> DataFrame:
     Built from one row per distinct (last period, event), so the person-period
     rows are never materialised.
     """
-    last = F.least(F.greatest(F.ceil(F.col("months") / 12), F.lit(1)), F.lit(fv.MAX_PERIODS)).cast("int")
-    ends = df.groupBy(last.alias("last")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event").cast("long")).alias("d"))
+    ends = df.groupBy(_last_period().alias("last")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event").cast("long")).alias("d"))
     per = ends.withColumn("period", F.explode(F.sequence(F.lit(1), F.col("last"))))
     return per.groupBy("period").agg(
         F.sum("n").alias("at_risk"),
@@ -70,42 +68,76 @@ def life_table(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- hazard model
-def _bucket_columns(df: DataFrame, cap: int) -> DataFrame:
-    return df.withColumns({f"__b{i}": (F.col(BUCKET) == i).cast("double") for i in range(1, cap + 1)})
+def _last_period() -> Column:
+    return F.least(F.greatest(F.ceil(F.col("months") / 12), F.lit(1)), F.lit(fv.MAX_PERIODS)).cast("int")
 
 
-def fit_hazard(df: DataFrame, features: Sequence[str], cap: int = fv.PERIOD_CAP) -> PipelineModel:
-    """Discrete-time hazard: logistic regression on features and one-hot periods.
+def fit_hazards(
+    df: DataFrame, by: Sequence[str], features: Sequence[str], cap: int = fv.PERIOD_CAP, c: float = 1.0, steps: int = 50, tolerance: float = 1e-9
+) -> dict[tuple, linear.LinearFit]:
+    """Discrete-time hazards for every value of ``by``: logistic regressions on features and one-hot periods.
 
-    Equal person-period rows are collapsed and weighted before the fit.
+    The fit is that of the person-period rows, of which a subject has up to ``MAX_PERIODS``. All its periods from ``cap`` on have the
+    same hazard, so they are one term with their number as weight: a Newton step of all models reads each subject once and sums
+    at most ``cap`` terms of it inside the scan, into one Gram matrix per model and bucket. The inputs of a fit are the features, then
+    ``__b1`` to ``__b<cap>``. Subjects without a feature, time or event are left out.
     """
-    rows = (
-        person_period(df, cap)
-        .groupBy(*features, BUCKET)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"))
-        .withColumn("side", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col("events").alias("w")), F.struct(F.lit(0.0).alias("y"), (F.col("n") - F.col("events")).alias("w")))))
-        .select(*features, BUCKET, F.col("side.y").alias("y"), F.col("side.w").cast("double").alias("weight"))
-        .filter("weight > 0")
-    )
-    inputs = [*features, *[f"__b{i}" for i in range(1, cap + 1)]]
-    return models.fit_logistic(_bucket_columns(rows, cap), inputs, "y", weight="weight")
-
-
-def bucket_hazards(df: DataFrame, model: PipelineModel, cap: int = fv.PERIOD_CAP) -> DataFrame:
+    by, features = list(by), list(features)
+    p, size = len(features), len(features) + cap + 1
+    known = F.col("months").isNotNull() & F.col("event").isNotNull()
+    for name in features:
+        known = known & F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))
+    rows = df.filter(known).select(*by, *[F.col(name).cast("double").alias(name) for name in features], _last_period().alias("__last"), F.col("event").cast("double").alias("__e"))
+    rows = cut_lineage(rows)  # read once a step
+
+    def sums(places: dict[tuple, np.ndarray]) -> dict[tuple, tuple[np.ndarray, np.ndarray, float, float]]:
+        eta = F.col("__b")[size - 1] + F.get(F.col("__b"), F.col(BUCKET) + (p - 1))
+        for i, name in enumerate(features):
+            eta = eta + F.col(name) * F.col("__b")[i]
+        own = F.least("__last", F.lit(cap))
+        terms = linear.place_rows(rows, by, places).withColumn(BUCKET, F.explode(F.sequence(F.lit(1), own)))
+        times = F.when(F.col(BUCKET) < cap, 1.0).otherwise((F.col("__last") - (cap - 1)).cast("double"))
+        ended = F.col("__e") * (F.col(BUCKET) == own).cast("double")
+        terms = terms.withColumns({"__eta": eta, "__times": times, "__ended": ended}).withColumn("__p", 1 / (1 + F.exp(-F.col("__eta"))))
+        weight, slope = F.col("__times") * F.col("__p") * (1 - F.col("__p")), F.col("__times") * F.col("__p") - F.col("__ended")
+        loss = F.col("__times") * linear.softplus(F.col("__eta")) - F.col("__ended") * F.col("__eta")
+        out: dict[tuple, list] = {}
+        place = [*range(p), size - 1]  # of the features and the intercept
+        for (*key, bucket), (gram, against, value, n) in linear.grouped_sums(terms, [*by, BUCKET], features, weight, slope, loss).items():
+            at = out.setdefault(tuple(key), [np.zeros((size, size)), np.zeros(size), 0.0, 0])
+            own_place = p + bucket - 1
+            at[0][np.ix_(place, place)] += gram
+            at[0][own_place, place], at[0][place, own_place], at[0][own_place, own_place] = gram[-1], gram[-1], gram[-1, -1]
+            at[1][place] += against
+            at[1][own_place] = against[-1]
+            at[2] += value
+            at[3] += n
+        return {k: tuple(v) for k, v in out.items()}
+
+    keys = [tuple(r) for r in rows.select(*by).distinct().collect()]  # a row per model
+    at = linear.newton(keys, np.append(np.full(size - 1, 1 / c), 0.0), sums, steps, tolerance)
+    inputs = (*features, *[f"__b{b}" for b in range(1, cap + 1)])
+    return {k: linear.LinearFit(inputs, tuple(map(float, b[:-1])), float(b[-1]), True) for k, b in at.items()}
+
+
+def fit_hazard(df: DataFrame, features: Sequence[str], cap: int = fv.PERIOD_CAP) -> linear.LinearFit:
+    """One discrete-time hazard of all rows; see ``fit_hazards``."""
+    return fit_hazards(df.withColumn("__all", F.lit(1)), ["__all"], features, cap).get((1,)) or linear.LinearFit(
+        (*features, *[f"__b{b}" for b in range(1, cap + 1)]), (0.0,) * (len(features) + cap), 0.0, True
+    )
+
+
+def bucket_hazards(df: DataFrame, model: linear.LinearFit, cap: int = fv.PERIOD_CAP) -> DataFrame:
     """Hazards of buckets 1..cap as an array column, one row per subject.
 
     The fitted logistic is linear, so the bucket terms are added to one linear
     predictor per subject instead of scoring every subject ``cap`` times.
     """
-    coefficients = model.stages[-1].coefficients.toArray()
-    base = model.stages[-1].intercept
-    inputs = model.stages[0].getInputCols()
-    features = [c for c in inputs if not c.startswith("__b")]
-    eta = F.lit(float(base))
-    for name, weight in zip(inputs, coefficients, strict=True):
-        if name in features:
-            eta = eta + F.col(name).cast("double") * F.lit(float(weight))
-    steps = [F.lit(float(w)) for w in coefficients[len(features) :]]
+    features = [c for c in model.inputs if not c.startswith("__b")]
+    eta = F.lit(model.intercept)
+    for name, weight in zip(features, model.coefficients, strict=False):
+        eta = eta + F.col(name).cast("double") * F.lit(weight)
+    steps = [F.lit(w) for w in model.coefficients[len(features) :]]
     hazards = F.transform(
         F.array(*steps), lambda s: F.least(F.greatest(1 / (1 + F.exp(-(F.col("__eta") + s))), F.lit(1e-9)), F.lit(1 - 1e-9))
     )
@@ -122,9 +154,9 @@ def survival_risk(hazards: Column, months: Column, cap: int = fv.PERIOD_CAP) ->
     return F.when(months.isNotNull(), 1 - F.exp(inside + beyond))
 
 
-def baseline_hazard(train: DataFrame, model: PipelineModel, cap: int = fv.PERIOD_CAP) -> DataFrame:
+def baseline_hazard(train: DataFrame, model: linear.LinearFit, cap: int = fv.PERIOD_CAP) -> DataFrame:
     """Hazard per bucket at the median of every feature."""
-    features = [c for c in model.stages[0].getInputCols() if not c.startswith("__b")]
+    features = [c for c in model.inputs if not c.startswith("__b")]
     medians = scalar_medians(train, features)
     one = train.agg(F.count(F.lit(1)).alias("n")).select(*[medians[c].alias(c) for c in features])
     return bucket_hazards(one, model, cap).select(F.posexplode("hazards").alias("i", "hazard")).select(
@@ -186,43 +218,53 @@ def survival_report(
     train: DataFrame,
     test: DataFrame,
     features: Sequence[str],
-    cutoff: int,
+    cutoffs: Sequence[int],
     snap_year: float = fv.VINTAGE_SNAPSHOT,
     horizon_months: float = 60.0,
+    least: tuple[int, int] = (100, 30),
 ) -> DataFrame:
-    """Metric rows: censored share, median follow-up, C-index of the hazard and binary models, and both AUCs.
+    """Metric rows per cutoff: sizes, censored share, median follow-up, C-index of the hazard and binary models, and both AUCs.
 
-    ``train`` and ``test`` carry the features, dates and labels of both documents;
-    the binary model sees the same features.
+    ``train`` and ``test`` carry the features, dates and labels of both documents; the binary model sees the same features.
+    The models of all cutoffs are fitted in the same scans. A cutoff with fewer rows than ``least`` gives sizes alone.
     """
     from .evaluate import auc
 
-    tr = cut_lineage(survival_times(train.filter(F.col("approval_year") <= cutoff), False).select(*features, "months", "event"))
-    te = survival_times(test.filter(F.col("approval_year").between(cutoff + 1, cutoff + 2)), True, snap_year)
-    hazard = fit_hazard(tr, features)
-    binary = models.fit_logistic(tr, features, "event")
-    planned = scalar_medians(te, ["planned_duration_years"])["planned_duration_years"]
-    scored = bucket_hazards(te, hazard).withColumn("__plan", F.coalesce("planned_duration_years", planned) * 12)
-    scored = scored.withColumns(
-        {
-            "risk": survival_risk(F.col("hazards"), F.lit(horizon_months)),
-            "risk_plan": survival_risk(F.col("hazards"), F.col("__plan")),
+    year, at = F.col("approval_year"), F.col("cutoff")
+    each = F.explode(F.array(*[F.lit(int(c)) for c in cutoffs])).alias("cutoff")
+    timed = survival_times(train, False).select(*features, "approval_year", "months", "event")
+    past = cut_lineage(timed.select("*", each).filter(year <= at).dropna(subset=list(features)))
+    sizes = {r["cutoff"]: r["count"] for r in past.groupBy("cutoff").count().collect()}
+    later = cut_lineage(test.dropna(subset=list(features)).filter(year.between(min(cutoffs) + 1, max(cutoffs) + 2)))
+    tests = {c: later.filter(year.between(c + 1, c + 2)).count() for c in cutoffs}
+    rows = [("survival", c, "time", m, float(n)) for c in cutoffs for m, n in (("n_train", sizes.get(c, 0)), ("n_test", tests[c]))]
+    fit = [c for c in cutoffs if sizes.get(c, 0) >= least[0] and tests[c] >= least[1]]
+    past = past.filter(at.isin(fit))
+    hazards = fit_hazards(past, ["cutoff"], features) if fit else {}
+    binaries = linear.fit_logistic_models(past, ["cutoff"], features, "event") if fit else {}
+    for cutoff in fit:
+        te = survival_times(later.filter(year.between(cutoff + 1, cutoff + 2)), True, snap_year)
+        planned = scalar_medians(te, ["planned_duration_years"])["planned_duration_years"]
+        scored = bucket_hazards(te, hazards[cutoff,]).withColumn("__plan", F.coalesce("planned_duration_years", planned) * 12)
+        scored = scored.select(
+            "months",
+            "event",
+            survival_risk(F.col("hazards"), F.lit(horizon_months)).alias("risk"),
+            survival_risk(F.col("hazards"), F.col("__plan")).alias("risk_plan"),
+            binaries[cutoff,].predict().alias("risk_binary"),
+        )
+        # Several metrics read the scored rows: written once, so every metric plan starts from a plain scan.
+        scored = cut_lineage(scored)
+        rate = scored.agg(F.avg("event")).first()[0]
+        values = {
+            "event_rate": rate,
+            "censored_share": 1 - rate,
+            "median_followup_months": exact_percentiles(scored, ["months"]).first()["value"],
+            "c_index": c_index(scored).first()["c_index"],
+            "c_index_events": c_index(scored.filter("event = 1")).first()["c_index"],
+            "c_index_binary": c_index(scored, risk="risk_binary").first()["c_index"],
+            "auc_hazard": auc(scored, "risk_plan", "event").first()["auc"],
+            "auc_binary": auc(scored, "risk_binary", "event").first()["auc"],
         }
-    )
-    scored = models.predict_probability(binary, scored, "risk_binary")
-    # Several metrics read the scored rows: written once, so every metric plan starts from a plain scan.
-    scored = cut_lineage(scored.select("months", "event", "risk", "risk_plan", "risk_binary"))
-    base = scored.agg(F.count(F.lit(1)).alias("n"), F.avg("event").alias("rate")).first()
-    values = {
-        "n_test": float(base["n"]),
-        "event_rate": base["rate"],
-        "censored_share": None if base["rate"] is None else 1 - base["rate"],
-        "median_followup_months": exact_percentiles(scored, ["months"]).first()["value"],
-        "c_index": c_index(scored).first()["c_index"],
-        "c_index_events": c_index(scored.filter("event = 1")).first()["c_index"],
-        "c_index_binary": c_index(scored, risk="risk_binary").first()["c_index"],
-        "auc_hazard": auc(scored, "risk_plan", "event").first()["auc"],
-        "auc_binary": auc(scored, "risk_binary", "event").first()["auc"],
-    }
-    rows = [("survival", cutoff, "time", m, v) for m, v in values.items()]
+        rows += [("survival", cutoff, "time", m, v) for m, v in values.items()]
     return train.sparkSession.createDataFrame(rows, METRICS_SCHEMA)

@@ -236,3 +236,28 @@ def _(spark, d):
         experiment="external_covariates", extra=extra,
     )
     return ex.ab_compare(base, more)
+
+
+@query("augmented_holdout")
+def _(spark, d):
+    snap = snapshot(spark, d)
+    time = ex.augmented_holdout(dt.time_table(spark, d), snap, ex.TIME_TASK, CUTOFFS, LINEAR)
+    return time.unionByName(ex.augmented_holdout(dated_cost(spark, d).drop("row_key"), snap, ex.COST_TASK, CUTOFFS, LINEAR))
+
+
+@query("external_schedule_check")
+def _(spark, d):
+    return ex.external_schedule_check(dated_cost(spark, d), snapshot(spark, d), time_rows(spark, d), CUTOFFS, dt.yearly_prices(spark, d), 2000, FX)
+
+
+@query("ingest_and_retrain_cost")
+def _(spark, d):
+    """A report of cost rows: the table takes it up, and the cost model is fitted anew beside the kept time model."""
+    table, root = scratch(spark, "cost"), scratch(spark, "registry")
+    rows = dated_cost(spark, d)
+    rows = m.cut_lineage(rows.withColumns({c: F.col(c).cast("string") for c in ("project_id", "line")}))
+    m.save_version(spark, {"time": logistic_estimator(time_rows(spark, d), "time", "delayed", INPUTS, ("sector", "agency"), INPUTS)}, root)
+    sinks.write_table(rows.filter("approval_year <= 1999"), table)
+    done = m.ingest_and_retrain(spark, table, root, rows.filter("approval_year >= 1999"), ["project_id", "line"], "row_key", LINEAR, task="cost")
+    _, kept = m.load_latest(spark, root)
+    return spark.createDataFrame([(*done.values(), "time" in kept, "cost" in kept)], ", ".join([*(f"{k} long" for k in done), "time_kept boolean", "cost_fitted boolean"]))

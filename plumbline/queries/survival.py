@@ -120,4 +120,4 @@ def _(spark, d):
 def _(spark, d):
     train = static(dt.time_table(spark, d))
     test = static(derive_snapshot_labels(dt.snapshot_table(spark, d)))
-    return op.survival_report(train, test, FEATURES, 1998, dt.SNAP_YEAR)
+    return op.survival_report(train, test, FEATURES, (1996, 1997, 1998, 1999), dt.SNAP_YEAR)

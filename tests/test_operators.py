@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
-from plumbline.operators import assembly, evaluate, features, geo, models, quality, survival
+from plumbline.operators import assembly, evaluate, features, geo, linear, models, quality, survival
 from plumbline.plans import ordered
 from plumbline.sources import sinks, tables
 from plumbline.streaming import reports
@@ -608,3 +608,21 @@ def test_a_model_saved_while_a_stream_runs_scores_the_next_batch(spark, tmp_path
     before = out.count()
     real(spark.createDataFrame(rows[:5], schema), 2)  # a batch replayed replaces its own rows
     assert spark.read.parquet(str(tmp_path / "out")).count() == before - len(rows[2::3]) + 5 or before == 40
+
+
+def test_hazard_fit_equals_that_of_the_person_period_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i % 2, float(rng.normal()), float(rng.integers(0, 5)), float(rng.integers(1, 260)), int(rng.random() < 0.4)) for i in range(400)]
+    rows += [(0, None, 1.0, 30.0, 1), (1, 0.5, 1.0, 5000.0, 1)]
+    df = spark.createDataFrame(rows, "g int, x double, z double, months double, event int")
+    fits = survival.fit_hazards(df, ["g"], ["x", "z"], cap=6)
+    inputs = ["x", "z", *[f"__b{b}" for b in range(1, 7)]]
+    exploded = survival.person_period(df.filter("x is not null"), 6)
+    exploded = exploded.withColumns({f"__b{b}": (F.col("period_bucket") == b).cast("double") for b in range(1, 7)})
+    plain = linear.fit_logistic_models(exploded, ["g"], inputs, "y")
+    for g in (0, 1):
+        assert fits[g,].inputs == tuple(inputs)
+        assert np.allclose(fits[g,].coefficients, plain[g,].coefficients, atol=1e-6)
+        assert abs(fits[g,].intercept - plain[g,].intercept) < 1e-6
