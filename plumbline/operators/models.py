@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ from ..functions import fixed_values as fv
 from ..plans.ordered import exact_percentiles
 from ..session import cut_lineage
 from ..sources.sinks import latest_version, read_table, write_metrics, write_table
-from . import assembly, evaluate, features, geo
+from . import assembly, evaluate, features, geo, isotonic
 from .boosting import Boosted, BoostedModel
 
 COST_FEATURES = (
@@ -466,16 +466,9 @@ def schedule_risk(
 
 
 # --------------------------------------------------------------------------- ensembles and explanation
-def calibrate(oof: DataFrame, score: str, label: str):
-    """Isotonic calibration fitted on out-of-fold scores.
-
-    MLlib sorts and pools the rows in its own distributed steps; equal scores are
-    merged first, so its input is one row per distinct score.
-    """
-    cells = oof.filter(F.col(label).isNotNull()).groupBy(score).agg(
-        F.avg(F.col(label).cast("double")).alias("__y"), F.count(F.lit(1)).cast("double").alias("__w")
-    )
-    return IsotonicRegression(featuresCol=score, labelCol="__y", weightCol="__w", predictionCol="calibrated").fit(cells)
+def calibrate(oof: DataFrame, score: str, label: str) -> DataFrame:
+    """Isotonic calibration fitted on out-of-fold scores: blocks of scores, for ``isotonic.apply_isotonic``."""
+    return isotonic.fit_isotonic(oof, score, label)
 
 
 def stack(df: DataFrame, scores: Sequence[str], label: str, raw: Sequence[str] = ()) -> PipelineModel:

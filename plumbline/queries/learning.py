@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import experiments as ex
-from ..operators import features
+from ..operators import features, isotonic
 from ..operators import models as m
 from ..operators.assembly import attach_by_key, derive_snapshot_labels
 from ..sources import driver_tables as dt
@@ -133,7 +133,24 @@ def oof_scores(spark, d):
 def _(spark, d):
     oof = oof_scores(spark, d)
     model = m.calibrate(oof, "score", "delayed")
-    return model.transform(oof).select("project_id", "score", "calibrated")
+    return isotonic.apply_isotonic(oof, model, "score").select("project_id", "score", "calibrated")
+
+
+@query(
+    "calibrate_share", "time",
+    """WITH c AS (SELECT round(expenditure_cum_cr / original_cost_cr, 2) AS x, count(*) AS n, CAST(sum(delayed) AS DOUBLE) AS s FROM time_t
+                  WHERE delayed IS NOT NULL AND expenditure_cum_cr IS NOT NULL GROUP BY ALL),
+       r AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS w, sum(s) OVER (ORDER BY x) AS t, n, s FROM c),
+       spans AS (SELECT a.i AS i, b.i AS j, (b.t - a.t + a.s) / (b.w - a.w + a.n) AS mean FROM r a JOIN r b ON a.i <= b.i),
+       low AS (SELECT i, j AS at, min(mean) OVER (PARTITION BY i ORDER BY j DESC) AS m FROM spans)
+       SELECT r.x AS share, r.n AS n, round(max(low.m), 6) AS calibrated FROM r JOIN low ON low.at = r.i GROUP BY r.x, r.n""",
+)
+def _(spark, d):
+    """Share of delays that never falls with the share spent: the greatest of the least means of all spans around a value."""
+    rows = time_rows(spark, d).withColumn("share", F.round(F.col("expenditure_cum_cr") / F.col("original_cost_cr"), 2)).select("share", "delayed").filter("share is not null")
+    model = m.calibrate(rows, "share", "delayed")
+    counts = rows.groupBy("share").agg(F.count(F.lit(1)).alias("n"))
+    return isotonic.apply_isotonic(counts, model, "share").withColumn("calibrated", F.round("calibrated", 6))
 
 
 @query("stack")
