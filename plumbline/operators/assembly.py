@@ -146,6 +146,62 @@ def cost_rows_from_cells(rows: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_rows(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Labelled SNAPSHOT rows from record texts (``keys``, sector, name, approval, doc, cost, spent, progress).
+
+    ``doc`` and ``cost`` read 'original (revised) {anticipated}'. The name ends at its first bracket; records whose name is
+    shorter than four characters are dropped. A record without two dates has no delay, months or duration.
+    """
+    def once(df: DataFrame, **fields: Column) -> DataFrame:
+        # a generator keeps the optimizer from copying the parses into every use of their fields
+        return df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in fields.items()]))).alias(f"__{'_'.join(fields)}"))
+
+    texts = ("sector", "name", "approval", "doc", "cost", "spent", "progress")
+    read = once(records, **{c: F.col(c) for c in texts}).select(*keys, F.col("__" + "_".join(texts) + ".*"))
+    named = read.withColumn("project_name", F.upper(text.strip(F.split_part("name", F.lit("("), F.lit(1))))).filter(F.length("project_name") >= 4)
+    parsed = once(named, c=text.bracket_cost_fields(F.col("cost")))
+    parsed = once(once(parsed, d=text.bracket_date_fields(F.col("doc"))), a=text.parse_month_year(F.col("approval")))
+    typed = parsed.select(
+        *keys,
+        F.coalesce(F.upper("sector"), F.lit("")).alias("sector"),
+        "project_name",
+        F.col("__c.c.original").alias("original_cost_cr"),
+        F.col("__c.c.revised").alias("revised_cost_cr"),
+        F.col("__c.c.anticipated").alias("anticipated_cost_cr"),
+        text.clean_number_na(F.col("spent")).alias("expenditure_cum_cr"),
+        F.col("__a.a.year").alias("approval_year"),
+        F.col("__d.d.original.year").alias("original_doc_year"),
+        F.col("__d.d.original.month_index").alias("original_doc_index"),
+        F.col("__d.d.anticipated.month_index").alias("anticipated_doc_index"),
+        text.clean_number_na(F.col("progress")).alias("physical_progress"),
+    )
+    return derive_snapshot_labels(typed)
+
+
+def state_rows_from_cells(rows: DataFrame, labels: DataFrame, order: Sequence[str]) -> DataFrame:
+    """STATE rows from the cells of a state-wise table (ten columns or more): one row per state, its first in ``order``.
+
+    ``labels`` (name, state) gives the spellings to accept, cut-off ones included, and the label of each; other rows are
+    passed over. An unreadable count is 0; an unreadable share or range is NULL.
+    """
+    c = F.col("cells")
+    spelling = F.upper(text.strip(F.replace(F.coalesce(F.get(c, F.lit(1)), F.lit("")), F.lit("\n"), F.lit(" "))))
+    months = text.parse_int_range(F.coalesce(F.get(c, F.lit(9)), F.lit("")))
+    read = rows.filter(F.size(c) >= 10).select(
+        spelling.alias("__name"),
+        F.struct(*order).alias("__order"),
+        F.struct(
+            F.coalesce(text.clean_number_token(F.get(c, F.lit(2))), F.lit(0.0)).cast("long").alias("n_projects"),
+            text.clean_number_token(F.get(c, F.lit(5))).alias("cost_overrun_pct"),
+            months.getField("low").alias("tor_min_months"),
+            months.getField("high").alias("tor_max_months"),
+        ).alias("__row"),
+    )
+    known = sized(labels.select(F.upper("name").alias("__name"), "state").distinct())
+    first = read.join(known, "__name").groupBy("state").agg(F.min_by("__row", "__order").alias("__row"))
+    return first.select("state", "__row.*")
+
+
 # --------------------------------------------------------------------------- labels
 def overrun_ratio(orig: Column, ant: Column) -> Column:
     return F.when(orig != 0, (ant - orig) / orig)

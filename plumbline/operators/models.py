@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..plans.ordered import exact_percentiles
-from ..session import cut_lineage
+from ..session import cut_lineage, sized
 from ..sources.sinks import latest_version, read_table, write_metrics, write_table
-from . import assembly, evaluate, features, geo, isotonic
+from . import assembly, evaluate, features, isotonic
 from .boosting import Boosted, BoostedModel
 
 COST_FEATURES = (
@@ -187,20 +187,15 @@ def select_best(
 # --------------------------------------------------------------------------- feature frames
 @dataclass
 class FrameParams:
-    """What serving needs from training: small tables as dicts of bounded size and scalars."""
+    """What serving needs from training: scalars, and written tables of rates (k, v) and mean places (k, lat, lon) of any size."""
 
     medians: dict[str, float] = field(default_factory=dict)
-    rates: dict[str, dict[str, float]] = field(default_factory=dict)
+    rates: dict[str, DataFrame] = field(default_factory=dict)
     overall: dict[str, float] = field(default_factory=dict)
-    places: dict[str, tuple[float, float]] = field(default_factory=dict)
+    places: DataFrame | None = None
     overall_place: tuple[float, float] = fv.DEFAULT_LAT_LON
 
 
-def _bounded_map(df: DataFrame, key: str, values: Sequence[str]) -> dict:
-    rows = geo.bounded_rows(df.select(key, *values), 100_000)
-    return {r[key]: (r[values[0]] if len(values) == 1 else tuple(r[v] for v in values)) for r in rows}
-
-
 def raw_features(df: DataFrame, prices: DataFrame | None = None, reference_year: int = fv.PRICE_REFERENCE_YEAR,
                  fx_sectors: Sequence[str] = fv.FX_SECTORS, year_fallback: bool = True) -> DataFrame:
     """The projections shared by training and serving; serving has no whole column to inspect, so no fallback there."""
@@ -213,51 +208,49 @@ def raw_features(df: DataFrame, prices: DataFrame | None = None, reference_year:
 
 
 def fit_params(df: DataFrame, label: str, medians: Sequence[str], groups: Sequence[str] = ("sector",)) -> FrameParams:
-    """Medians, smoothed rates and mean places of a training frame (all small and bounded)."""
+    """Medians, smoothed rates and mean places of a training frame; rates and places stay tables."""
     params = FrameParams()
     found = exact_percentiles(df, list(medians)).select("column", "value").collect()
     params.medians = {r["column"]: r["value"] for r in found}
     for g in groups:
         rates = features.rate_map(df.filter(F.col(g).isNotNull()), g, label)
-        params.rates[g] = _bounded_map(rates, g, ["rate"])
+        params.rates[g] = sized(rates.select(F.col(g).cast("string").alias("k"), F.col("rate").cast("double").alias("v")))
     base = df.agg(F.avg(F.col(label).cast("double")).alias("m")).first()["m"]
     params.overall = {g: base for g in groups}
     located = df.filter(F.col("geo_latitude").isNotNull() & F.col("geo_longitude").isNotNull())
-    cells = located.groupBy("sector").agg(
-        F.avg("geo_latitude").alias("lat"), F.avg("geo_longitude").alias("lon")
+    cells = located.filter("sector IS NOT NULL").groupBy(F.col("sector").cast("string").alias("k")).agg(
+        F.avg(F.col("geo_latitude").cast("double")).alias("lat"), F.avg(F.col("geo_longitude").cast("double")).alias("lon")
     )
-    params.places = _bounded_map(cells, "sector", ["lat", "lon"])
+    params.places = sized(cells)
     mean = located.agg(F.avg("geo_latitude").alias("lat"), F.avg("geo_longitude").alias("lon")).first()
     if mean["lat"] is not None:
         params.overall_place = (mean["lat"], mean["lon"])
     return params
 
 
-def _lookup(df: DataFrame, key: str, table: dict, output: str, default) -> DataFrame:
-    rows = [(k, float(v)) for k, v in table.items() if k is not None] or [("", 0.0)]
-    small = df.sparkSession.createDataFrame(rows, "__k string, __v double")
-    joined = df.join(F.broadcast(small), F.col(key).cast("string") == F.col("__k"), "left")
-    return joined.withColumn(output, F.coalesce("__v", F.lit(default))).drop("__k", "__v")
-
-
 def apply_params(df: DataFrame, params: FrameParams, rates: bool = True) -> DataFrame:
-    """Fill medians and places, and (for serving) attach the stored rates: one path for train and serve."""
-    places = [(k, float(a), float(b)) for k, (a, b) in params.places.items() if k is not None] or [("", 0.0, 0.0)]
-    small = df.sparkSession.createDataFrame(places, "__k string, __lat double, __lon double")
+    """Fill medians and places, and (for serving) attach the stored rates: one path for train and serve.
+
+    Tables are joined as their written size advises; a key they do not hold, or NULL, gets the overall value.
+    """
     both = F.col("geo_latitude").isNotNull() & F.col("geo_longitude").isNotNull()
-    out = df.join(F.broadcast(small), F.col("sector") == F.col("__k"), "left").withColumn("__both", both)
+    lat, lon = (F.lit(float(x)) for x in params.overall_place)
+    out = df
+    if params.places is not None:
+        places = params.places.select(F.col("k").alias("__k"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+        out = out.join(places, F.col("sector").cast("string") == F.col("__k"), "left")
+        lat, lon = F.coalesce("__lat", lat), F.coalesce("__lon", lon)
     out = out.withColumns(
-        {
-            "geo_latitude": F.when(F.col("__both"), F.col("geo_latitude")).otherwise(F.coalesce("__lat", F.lit(params.overall_place[0]))),
-            "geo_longitude": F.when(F.col("__both"), F.col("geo_longitude")).otherwise(F.coalesce("__lon", F.lit(params.overall_place[1]))),
-        }
-    ).drop("__k", "__lat", "__lon", "__both")
+        {"geo_latitude": F.when(both, F.col("geo_latitude")).otherwise(lat), "geo_longitude": F.when(both, F.col("geo_longitude")).otherwise(lon)}
+    ).drop("__k", "__lat", "__lon")
     for c, m in params.medians.items():
         if c in out.columns:
             out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(m), F.lit(0.0)))
     if rates:
         for g, table in params.rates.items():
-            out = _lookup(out, g, table, f"{g}_rate", params.overall[g])
+            known = table.select(F.col("k").alias("__k"), F.col("v").alias("__v"))
+            joined = out.join(known, F.col(g).cast("string") == F.col("__k"), "left")
+            out = joined.withColumn(f"{g}_rate", F.coalesce("__v", F.lit(params.overall[g]))).drop("__k", "__v")
     return out
 
 
@@ -551,6 +544,9 @@ def save_version(spark: SparkSession, estimators: dict[str, Estimator], root: st
         for kind, table in (("classify", est.classify), ("regress", est.regress)):
             for variant, model in table.items():
                 save_model(spark, model, f"{folder}/{name}/{kind}/{variant}")
+        tables = {**{f"rates/{g}": t for g, t in est.params.rates.items()}, **({} if est.params.places is None else {"places": est.params.places})}
+        for part, t in tables.items():
+            t.write.parquet(f"{folder}/{name}/{part}")
         state = {
             "task": est.task,
             "metrics": est.metrics,
@@ -559,9 +555,9 @@ def save_version(spark: SparkSession, estimators: dict[str, Estimator], root: st
             "classify": sorted(est.classify),
             "regress": sorted(est.regress),
             "medians": est.params.medians,
-            "rates": est.params.rates,
+            "rates": sorted(est.params.rates),
             "overall": est.params.overall,
-            "places": est.params.places,
+            "places": est.params.places is not None,
             "overall_place": est.params.overall_place,
         }
         rows.append((name, folder, json.dumps(state)))
@@ -587,13 +583,14 @@ def load_latest(spark: SparkSession, root: str) -> tuple[int, dict[str, Estimato
     out = {}
     for row in spark.read.parquet(path).collect():
         s = json.loads(row["state"])
-        params = FrameParams(
-            s["medians"], s["rates"], s["overall"], {k: tuple(v) for k, v in s["places"].items()}, tuple(s["overall_place"])
-        )
+        own = f"{row['folder']}/{row['name']}"
+        rates = {g: spark.read.schema("k string, v double").parquet(f"{own}/rates/{g}") for g in s["rates"]}
+        places = spark.read.schema("k string, lat double, lon double").parquet(f"{own}/places") if s["places"] else None
+        params = FrameParams(s["medians"], rates, s["overall"], places, tuple(s["overall_place"]))
         est = Estimator(s["task"], params, s["metrics"], s["features"], s["shift"])
         for kind, table in (("classify", est.classify), ("regress", est.regress)):
             for variant in s[kind]:
-                table[variant] = load_model(spark, f"{row['folder']}/{row['name']}/{kind}/{variant}")
+                table[variant] = load_model(spark, f"{own}/{kind}/{variant}")
         out[row["name"]] = est
     return version, out
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import features
+from ..session import cut_lineage
 from ..sources import driver_tables as dt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,5 +204,20 @@ def query(name: str, needs: str = "", sql: str | None = None):
     return register
 
 
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, folder: str) -> DataFrame:
-    return features.portfolio_view(dt.time_table(spark, folder))
+    """The scored portfolio view, written once per application and folder and read by every page.
+
+    Input tables are taken as unchanging while the application runs; ``refresh_view`` forgets what was written.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = cut_lineage(features.portfolio_view(dt.time_table(spark, folder)))
+    return _WRITTEN[key]
+
+
+def refresh_view(folder: str) -> None:
+    for key in [k for k in _WRITTEN if k[1] == folder]:
+        del _WRITTEN[key]

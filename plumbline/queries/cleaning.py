@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import assembly as op
-from ..operators import quality
+from ..operators import portfolio, quality
 from ..sources import driver_tables as dt
 from .base import query
 
@@ -278,6 +278,70 @@ def _(spark, d):
     return op.time_rows_from_cells(op.fill_down_header(dt.cell_rows(spark, d)))
 
 
+def month_sql(expr: str, part: int) -> str:
+    return f"try_cast(split_part({expr}, '/', {part}) AS INTEGER)"
+
+
+_REVISED = "string_split(cells[4], chr(10))[2]"
+_GAP = "(a_year * 12 + a_month) - (o_year * 12 + o_month)"
+
+
+@query(
+    "snapshot_rows_from_cells", "cells",
+    f"""WITH r AS (
+      SELECT doc_id, page, "row", upper(sector) AS sector, upper(trim(cells[2])) AS project_name, {cell_sql("split_part(cells[4], chr(10), 1)")} AS original_cost_cr,
+        CASE WHEN {_REVISED} <> '-' THEN {cell_sql(_REVISED)} END AS revised_cost_cr,
+        CASE WHEN cells[5] <> 'N.A.' THEN {cell_sql('cells[5]')} END AS anticipated_cost_cr, try_cast(cells[9] AS DOUBLE) AS expenditure_cum_cr,
+        {month_sql('cells[3]', 2)} AS approval_year, {month_sql("split_part(cells[7], chr(10), 1)", 2)} AS o_year, {month_sql("split_part(cells[7], chr(10), 1)", 1)} AS o_month,
+        CASE WHEN CAST(cells[1] AS INTEGER) % 3 <> 0 THEN {month_sql('cells[8]', 2)} END AS a_year, {month_sql('cells[8]', 1)} AS a_month,
+        CASE WHEN cells[10] <> '-' THEN try_cast(cells[10] AS DOUBLE) END AS physical_progress
+      FROM filled_cells WHERE is_project AND length(trim(cells[2])) >= 4),
+    e AS (SELECT *, coalesce(revised_cost_cr, anticipated_cost_cr) AS eff, {_GAP} AS gap FROM r),
+    o AS (SELECT *, CASE WHEN original_cost_cr > 0 AND eff <> 0 THEN greatest(0.0, round_even((eff - original_cost_cr) / original_cost_cr * 100, 4)) ELSE 0.0 END AS pct FROM e)
+    SELECT doc_id, page, "row", sector, project_name, original_cost_cr, revised_cost_cr, anticipated_cost_cr, expenditure_cum_cr, approval_year,
+      o_year AS original_doc_year, physical_progress, pct AS cost_overrun_pct, CAST(pct > 0 AS INTEGER) AS overrun_flag, round_even(pct / 100, 6) AS overrun_ratio,
+      CAST(gap > 0 AS INTEGER) AS delayed, CAST(greatest(gap, CASE WHEN gap IS NOT NULL THEN 0 END) AS DOUBLE) AS tor_months,
+      CASE WHEN gap IS NOT NULL THEN CAST(o_year - approval_year AS DOUBLE) END AS planned_duration_years FROM o""",
+)
+def _(spark, d):
+    rows = op.fill_down_header(dt.cell_rows(spark, d))
+    anticipated = F.when(cell(0).cast("int") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" {"), cell(7), F.lit("}")))
+    records = rows.filter(op.is_project_row(F.col("cells"))).select(
+        "doc_id", "page", "row", "sector",
+        F.concat(cell(1), F.lit(" (STATE)")).alias("name"),
+        cell(2).alias("approval"),
+        F.concat(F.split_part(cell(6), F.lit("\n"), F.lit(1)), F.lit(" (12/2030)"), anticipated).alias("doc"),
+        F.concat(F.split_part(cell(3), F.lit("\n"), F.lit(1)), F.lit(" ("), F.split_part(cell(3), F.lit("\n"), F.lit(2)), F.lit(") {"), cell(4), F.lit("}")).alias("cost"),
+        cell(8).alias("spent"),
+        cell(9).alias("progress"),
+    )
+    return op.snapshot_rows(records, ["doc_id", "page", "row"]).drop("original_doc_index", "anticipated_doc_index")
+
+
+@query(
+    "state_rows_from_cells", "time",
+    """WITH c AS (SELECT project_id, state, CASE WHEN project_id % 7 = 0 THEN 'n.a.' ELSE format('{:,}', project_id) END AS n, format('{:,.2f}', cost_overrun_pct) AS pct,
+           CAST(tor_months AS INTEGER) - 12 AS low, CAST(tor_months AS INTEGER) AS high FROM time_t WHERE project_id % 11 <> 0),
+       f AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY project_id) AS k FROM c)
+       SELECT state, coalesce(try_cast(replace(n, ',', '') AS BIGINT), 0) AS n_projects, CAST(replace(pct, ',', '') AS DOUBLE) AS cost_overrun_pct,
+         low AS tor_min_months, high AS tor_max_months, CASE WHEN high IS NOT NULL THEN least(high, 120) / 120.0::DOUBLE END AS delay_risk FROM f WHERE k = 1""",
+)
+def _(spark, d):
+    key, tor = F.col("project_id"), F.col("tor_months").cast("int")
+    short = F.replace(F.col("state"), F.lit("NATION_"), F.lit("N"))
+    name = F.when(key % 11 == 0, F.lit("Total")).when(key % 3 == 0, short).when(key % 3 == 1, F.concat(F.lit(" "), F.lower("state"), F.lit("\n"))).otherwise(F.col("state"))
+    blank = F.lit("")
+    cells = F.array(
+        key.cast("string"), name, F.when(key % 7 == 0, F.lit("n.a.")).otherwise(F.format_number(key, 0)), blank, blank,
+        F.concat(F.format_number("cost_overrun_pct", 2), F.lit("-\n")), blank, blank, blank,
+        F.coalesce(F.concat((tor - 12).cast("string"), F.lit("\n- "), tor.cast("string")), F.lit("Nil")),
+    )
+    rows = dt.time_table(spark, d).select("project_id", cells.alias("cells"))
+    names = dt.load(spark, d, "nation").select(F.col("n_name").alias("state"))
+    labels = names.select(F.col("state").alias("name"), "state").unionByName(names.select(short.alias("name"), "state"))
+    return portfolio.state_risk_index(op.state_rows_from_cells(rows, labels, ["project_id"]))
+
+
 @query(
     "derive_snapshot_labels", "snap",
     """SELECT project_id, line, project_name, original_cost_cr, round(cost_overrun_pct, 4) AS cost_overrun_pct, overrun_flag, round(overrun_ratio, 6) AS overrun_ratio,

@@ -626,3 +626,37 @@ def test_hazard_fit_equals_that_of_the_person_period_rows(spark):
         assert fits[g,].inputs == tuple(inputs)
         assert np.allclose(fits[g,].coefficients, plain[g,].coefficients, atol=1e-6)
         assert abs(fits[g,].intercept - plain[g,].intercept) < 1e-6
+
+
+def test_snapshot_and_state_rows(spark):
+    schema = "id long, sector string, name string, approval string, doc string, cost string, spent string, progress string"
+    rows = [
+        (1, "Power", "Dam one (KERALA)", "01/2010", "03/2015 (04/2016) {06/2017}", "1,200.5 (1,500) {N.A.}", "900", "40.5"),
+        (2, None, "Road", "in (Mar 2011) or so", "05/2014 {02/2013}", "100 (-) {150}", "-", None),
+        (3, "Rail", "abc (x)", "01/2010", "03/2015", "10", "1", "1"),
+        (4, "Rail", "Long enough", None, None, None, None, None),
+    ]
+    got = {r.id: r for r in assembly.snapshot_rows(spark.createDataFrame(rows, schema), ["id"]).collect()}
+    assert sorted(got) == [1, 2, 4]
+    a, b, c = got[1], got[2], got[4]
+    assert (a.sector, a.project_name, a.revised_cost_cr, a.anticipated_cost_cr) == ("POWER", "DAM ONE", 1500.0, None)
+    assert (a.cost_overrun_pct, a.overrun_flag, a.delayed, a.tor_months, a.planned_duration_years) == (24.9479, 1, 1, 27.0, 5.0)
+    assert (b.sector, b.approval_year, b.original_doc_year, b.revised_cost_cr, b.cost_overrun_pct) == ("", 2011, 2014, None, 50.0)
+    assert (b.delayed, b.tor_months, b.planned_duration_years, b.expenditure_cum_cr) == (0, 0.0, 3.0, None)
+    assert (c.cost_overrun_pct, c.overrun_flag, c.delayed, c.tor_months) == (0.0, 0, None, None)
+
+    def cells(name, n, pct, span):
+        return ["1", name, n, "", "", pct, "", "", "", span]
+
+    table = [
+        (2, cells("TRIPUR", "7", "9", "1 - 2")),
+        (1, cells(" tripura\n", "1,205.9", "12.5-x y", "-3\n- 150")),
+        (3, cells("Goa", "x", "", "Nil")),
+        (4, cells("Total", "9", "9", "9 - 9")),
+        (5, cells(None, "9", "9", "9 - 9")),
+        (6, ["1", "GOA"]),
+        (7, None),
+    ]
+    labels = spark.createDataFrame([("TRIPURA", "TRIPURA"), ("TRIPUR", "TRIPURA"), ("GOA", "GOA"), ("GOA", "GOA")], "name string, state string")
+    got = assembly.state_rows_from_cells(spark.createDataFrame(table, "page int, cells array<string>"), labels, ["page"])
+    assert sorted(map(tuple, got.collect())) == [("GOA", 0, None, None, None), ("TRIPURA", 1205, 12.5, -3, 150)]
