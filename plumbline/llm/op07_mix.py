@@ -2,7 +2,8 @@
 
 Every document gets a rate r >= 0, the expected number of its copies. Among all rates that give each source its target, those
 closest to the base rates q in token-weighted relative entropy are r = q * exp(lambda of the source), cut at the copy limit.
-The lambdas solve a convex dual; its gradient and curvature are sums per source, taken by Spark in each Newton step. Rates are
+The lambdas solve a convex dual; its gradient and curvature are sums per source, taken by Spark in each Newton step from lambda 0
+on. Base rates come from the documents: texts of symbols are repeated less than texts of letters (``base_rate``). Rates are
 rounded to whole copies along one running total per source, so a source misses its target by about one document at most; a
 few single copies then close most of that gap.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, query, table, word_count
@@ -56,15 +57,28 @@ def level_targets(weighted: DataFrame, limit: float = 3.0) -> DataFrame:
         level = new
 
 
+def base_rate(text: Column, floor: float = 0.5, steps: int = 32) -> Column:
+    """Base rate of a text, from ``floor`` to 1 by its share of letters and white space, in ``steps`` even steps.
+
+    Few distinct rates keep the sums of a Newton step small. NULL and empty texts have rate 1.
+    """
+    share = F.try_divide(F.regexp_count(text, F.lit(r"[\p{L}\s]")), F.char_length(text))
+    return F.coalesce(F.lit(floor) + (1 - floor) * F.round(share * steps) / steps, F.lit(1.0))
+
+
 def balance(mass: DataFrame, targets: DataFrame, limit: float = 3.0, tolerance: float = 1e-9, steps: int = 60) -> DataFrame:
     """source, lambda of the dual: sum of tokens * min(limit, q * exp(lambda)) = target for every source.
 
     ``mass`` holds source, q (base rate) and tokens (their sum over documents of that q); ``targets`` holds source and target.
-    Each Newton step is one aggregation; a source stops where all its rates are at the limit. Sources stay distributed.
+    Every lambda starts at 0 and each Newton step is one aggregation; a source stops where all its rates are at the limit.
+    Sources stay distributed.
+
+    The step is Newton's in exp(lambda), in which the sum is concave, rising and made of straight pieces: from below it never
+    passes the solution and ends on the right piece after finitely many steps; from above one step leads below, or, where
+    the tangent meets no positive value, lambda falls by one.
     """
     rows = cut_lineage(mass.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    first = rows.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("q") * F.col("tokens")).alias("given"))
-    now = cut_lineage(first.select(F.col("source").alias("s"), F.coalesce(F.log(F.try_divide("target", "given")), F.lit(0.0)).alias("lam")))
+    now = cut_lineage(rows.select(F.col("source").alias("s")).distinct().withColumn("lam", F.lit(0.0)))
     for _ in range(steps):
         rate = F.col("q") * F.exp("lam")
         moved = rows.join(now, F.col("source").eqNullSafe(F.col("s"))).groupBy("s", "lam").agg(
@@ -72,20 +86,22 @@ def balance(mass: DataFrame, targets: DataFrame, limit: float = 3.0, tolerance:
             F.sum(F.when(rate < limit, F.col("tokens") * rate).otherwise(0.0)).alias("bend"),
             F.max("target").alias("target"),
         )
-        # a step is held to one unit of lambda: a rate at its limit has no curvature, so a full step may leap
-        step = F.when(F.col("bend") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("gap", "bend")))).otherwise(F.when(F.col("gap") > tolerance * F.col("target"), F.lit(1.0)).otherwise(0.0))
-        state = cut_lineage(moved.select("s", (F.col("lam") - step).alias("lam"), F.when(step == 0, 0.0).otherwise(F.abs("gap") / F.greatest(F.col("target"), F.lit(1.0))).alias("off"), F.col("lam").alias("old")))
+        off = F.abs("gap") / F.greatest(F.col("target"), F.lit(1.0))
+        over = (F.col("gap") > 0) & (F.col("gap") >= F.col("bend"))
+        step = F.when(off <= tolerance, F.lit(0.0)).when(over, F.lit(-1.0)).when(F.col("bend") > 0, F.log1p(-F.try_divide("gap", "bend"))).otherwise(F.lit(0.0))
+        state = cut_lineage(moved.select("s", (F.col("lam") + step).alias("lam"), F.when(step == 0, F.lit(0.0)).otherwise(off).alias("off")))
         worst = state.agg(F.max("off")).first()[0]
-        now = state.select("s", F.col("old" if worst is None or worst <= tolerance else "lam").alias("lam"))
+        now = state.select("s", "lam")
         if worst is None or worst <= tolerance:
             break
     return now.withColumnRenamed("s", "source").withColumnRenamed("lam", "lambda")
 
 
 def copies(docs: DataFrame, rates: DataFrame, limit: float = 3.0, seed: int = 7) -> DataFrame:
-    """``docs`` (id, source, size, q) with ``copies``: whole numbers whose running total follows that of the rates.
+    """``docs`` (id, source, size, q, salt, and any more) with ``copies``: whole numbers whose running total follows that of the rates.
 
-    Within a source documents stand by size class, then by hash, id; the total is cut into strata of one size class and one
+    ``salt`` is a hash of the id and the text, so rows without an id are spread too. Within a source documents stand by size class, then by
+    that hash, size, id; the total is cut into strata of one size class and one
     hash slice, so a source with any share of all rows is spread over tasks; strata pass on their totals. A document of rate r
     gets floor(r) or ceil(r) copies. Equal rows are told apart only by their number, so reruns give the same copies.
     """
@@ -93,16 +109,16 @@ def copies(docs: DataFrame, rates: DataFrame, limit: float = 3.0, seed: int = 7)
         "rate", F.coalesce(F.round(F.least(F.lit(limit), F.col("q") * F.exp("lambda")) * SCALE).cast("long"), F.lit(0))
     )
     slices = max(16, math.ceil(docs.count() / 500_000))
-    placed = rated.withColumn("class", F.floor(4 * F.log2(F.col("size") + 1.0)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(slices)).cast("int"))
+    placed = rated.withColumn("class", F.floor(4 * F.log2(F.col("size") + 1.0)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("salt", F.lit(seed)), F.lit(slices)).cast("int"))
     strata = placed.groupBy("source", "class", "slice").agg(F.sum("rate").alias("sum"))
     earlier = Window.partitionBy("source").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = strata.select(F.col("source").alias("s2"), F.col("class").alias("c2"), F.col("slice").alias("l2"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("source", "class", "slice").orderBy("size", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "class", "slice").orderBy("size", "id", "salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = placed.withColumn("run", F.sum("rate").over(within))
     joined = run.join(offsets, F.col("source").eqNullSafe(F.col("s2")) & (F.col("class") == F.col("c2")) & (F.col("slice") == F.col("l2")))
     start = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(SCALE))
     upto = F.expr("offset + run") + start
-    return joined.select("id", "source", "size", "q", (F.floor(upto / SCALE) - F.floor((upto - F.col("rate")) / SCALE)).cast("long").alias("copies"))
+    return joined.select(*docs.columns, (F.floor(upto / SCALE) - F.floor((upto - F.col("rate")) / SCALE)).cast("long").alias("copies"))
 
 
 def settle(given: DataFrame, targets: DataFrame, limit: int, rounds: int = 3) -> DataFrame:
@@ -126,20 +142,35 @@ def settle(given: DataFrame, targets: DataFrame, limit: int, rounds: int = 3) ->
     return rows.drop("row")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every document.
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    base: Column | None = None, row_col: str | None = None,
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every document, and ``row_col`` if it is named.
 
-    NULL and empty texts have size 0 and no copies that count; a NULL source is a source of its own, last in order. If all
+    ``base`` is the documents' base rate, above 0 and of few distinct values (``base_rate`` of the text unless given). NULL and
+    empty texts have size 0 and no copies that count; a NULL source is a source of its own, last in order. If all
     sources are at the limit the rest of the total is not given out. An empty table gives an empty result.
     """
-    rows = cut_lineage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.lit(1.0).alias("q")))
+    text = F.col(text_col)
+    own = [] if row_col is None else [F.col(row_col).cast("long").alias("__row")]
+    rows = cut_lineage(
+        docs.select(
+            F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
+            (base_rate(text) if base is None else base.cast("double")).alias("q"), F.xxhash64(F.col(id_col).cast("long"), text).alias("salt"), *own,
+        )
+    )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut_lineage(level_targets(cut_lineage(weighted_sources(sizes, weights)), limit))
     mass = rows.groupBy("source", "q").agg(F.sum("size").alias("tokens"))
     rates = balance(mass, targets.select("source", "target"), float(limit))
     given = settle(copies(rows, rates, float(limit)), targets, limit)
     told = targets.select(F.col("source").alias("t"), "source_size", "target")
-    return given.join(told, F.col("source").eqNullSafe(F.col("t"))).select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = given.join(told, F.col("source").eqNullSafe(F.col("t")))
+    return out.select(
+        F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        *([] if row_col is None else [F.col("__row").alias(row_col)]),
+    )
 
 
 @query("op7_mix")
