@@ -37,16 +37,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; rows of equal id are taken equally often."""
-    taken = op07_mix.mix(docs).groupBy(_key("doc_id").alias("__key")).agg(F.max("copies").cast("int").alias("__copies"))
-    joined = lookup_join(docs.withColumn("__key", _key("doc_id")), cut_lineage(taken), "__key", "inner").filter("__copies > 0")
+    """Every row as often as the mix takes it. Rows are numbered first, so rows without an id or of one id are told apart."""
+    numbered = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
+    taken = op07_mix.mix(numbered, row_col="__row").select("__row", F.col("copies").cast("int").alias("__copies"))
+    joined = lookup_join(numbered, cut_lineage(taken.filter("copies > 0")), "__row", "inner")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
-def _key(name: str):
-    return F.coalesce(F.col(name).cast("string"), F.lit("none"))
-
-
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids of every row."""
     return op05_bpe.encode_table(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
