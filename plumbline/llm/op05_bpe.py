@@ -9,6 +9,7 @@ and it grows until the tokens outside are proved to stay. Two proofs are used.
 * Inside one long match, a sequence of tokens is the encoding of its bytes exactly if each two neighbours are the encoding of
   theirs. So it is enough that the window's ends agree with the tokens beside them.
 
+Leaves are short (``leaf`` characters), so that nine of ten documents are joined from several; the library encodes a leaf.
 The value of a piece is always the encoding of that piece alone, so the join is associative and any tree gives the same ids.
 """
 
@@ -38,7 +39,7 @@ _LONG = 256
 class TreeEncoder:
     """Encoder and decoder for a file of base64 tokens and ranks, and a pattern of matches to merge apart."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, leaf: int = 2048):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, leaf: int = 512):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.leaf = max(1, leaf)
@@ -124,11 +125,11 @@ class TreeEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, leaf: int = 2048) -> TreeEncoder:
+def encoder(path: str, leaf: int = 512) -> TreeEncoder:
     return TreeEncoder(path, leaf=leaf)
 
 
-def encode_table(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 2048) -> DataFrame:
+def encode_table(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 512) -> DataFrame:
     """id, n_tokens, ids of every text. NULL counts as empty; an empty text has no ids. Rows are kept one to one."""
 
     def block(rows: dict[str, list]) -> dict[str, list]:
@@ -147,7 +148,7 @@ def decode_table(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", id
     return batch_map(encoded.selectExpr(f"CAST(`{id_col}` AS LONG) AS id", f"`{ids_col}` AS ids"), block, f"`{id_col}` long, text string", 64)
 
 
-def round_trip_digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 2048) -> DataFrame:
+def round_trip_digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 512) -> DataFrame:
     """id, n_tokens, SHA-256 of the decimal ids and of the bytes they decode to; the ids stay in the task."""
 
     def block(rows: dict[str, list]) -> dict[str, list]:
